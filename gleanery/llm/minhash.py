@@ -5,10 +5,13 @@ so ``collections * half`` minhashes serve ``collections * (collections - 1) / 2`
 a square root of the work of independent tables. Two texts share a table bucket exactly if at least two of their small
 keys agree, so a text's small keys that no other text has are dropped before any pair is formed; nothing is lost by it.
 
-Texts with equal shingle sets are one class, so copies never meet as pairs. Buckets are compared as stars (every member
-with the smallest) first; a bucket whose other members are still in several components is compared further, in full if
-it is small and by sixteen more centres a round otherwise, until its members are one component or all compared. No cap
-drops a comparison. All candidates are confirmed on full shingle sets.
+Texts with equal shingle sets are one class, so copies never meet as pairs. Every bucket is compared as a star: each
+member with the smallest, the centre; all pairs of a bucket are never formed. What a star leaves open are links of a
+member x that is not similar to its centre c. They are found exactly, by differences from the centre: with D(x) the
+elements in one of x and c only, |D(x) & D(y)| = (|D(x)| + |D(y)| - |x ^ y|) / 2, a similar pair has
+|x ^ y| <= k (|x| + |y|) with k = (100 - p) / (100 + p), and so D(x) and D(y) share an element among their first few in
+any common order (the prefix principle). Elements that the centre lacks come first, as edits of a text rarely agree
+in those. No cap drops a comparison, and all candidates are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -23,10 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, materialize, mix, small_batches, window_hashes, word_hashes, words_of
 
-#: Members of a bucket that are compared each with each.
-SMALL_BUCKET = 24
-#: Centres a round for buckets that are larger.
-CENTRES = 16
 _seen = WordHashes()
 
 
@@ -80,24 +79,55 @@ def _sets(size: int):
     return run
 
 
+def _shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.intersect1d(p, q, assume_unique=True)
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             keep = []
             for x, y in zip(rows["set_a"], rows["set_b"], strict=True):
                 p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
+                both = len(_shared(p, q))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield rows.loc[keep, ["a", "b"]]
 
     return run
 
 
-def _confirmed(edges: DataFrame, sets: DataFrame, percent: int, label: str) -> DataFrame:
-    """The edges (a, b) whose full sets are similar enough, written."""
+def _compare_with_centre(percent: int):
+    """Of a centre and a member: whether they are linked, and the first elements of the member's difference from the
+    centre that a link of it needs to share: ``with_near`` for links between a linked and an unlinked member, and
+    ``with_far`` for links between two unlinked members (none for a linked one)."""
+    k = (100 - percent) / (100 + percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for a, b, x, y in zip(rows["a"], rows["b"], rows["set_a"], rows["set_b"], strict=True):
+                c, m = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                both = _shared(c, m)
+                linked = 100 * len(both) >= percent * (len(c) + len(m) - len(both))
+                added, lost = np.setdiff1d(m, both, assume_unique=True), np.setdiff1d(c, both, assume_unique=True)
+                first = np.concatenate([added, lost]).view(np.int64)
+                n = len(first)
+                half = max(1, int(np.ceil((n - k * len(m) + k * len(c)) / 2 - 1e-9)))
+                most = int(k * len(m) * (1 + 100 / percent) + 1e-9)
+                if linked:
+                    near, far = first[: n - half + 1], first[:0]
+                else:
+                    near, far = first[: min(n, most + 1)], first[: n - max(half, n - most) + 1]
+                out.append((a, b, len(m), bool(linked), near, far))
+            yield pd.DataFrame(out, columns=["a", "b", "n", "linked", "with_near", "with_far"])
+
+    return run
+
+
+def _with_sets(edges: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("nd_id").alias("a"), F.col("nd_set").alias("set_a"))
     right = sets.select(F.col("nd_id").alias("b"), F.col("nd_set").alias("set_b"))
-    return materialize(edges.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInPandas(_confirm(percent), "a long, b long"), label)
+    return edges.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -136,41 +166,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prep = materialize(rows.mapInPandas(_signatures(shingle_words, collections, half, seed), "nd_id long, nd_n long, nd_class binary, nd_keys array<long>"), "minhash-keys")
     classes = materialize(prep.where("nd_class is not null").groupBy("nd_class").agg(F.min(F.struct("nd_id", "nd_n", "nd_keys")).alias("r")).select("nd_class", "r.*"), "minhash-classes")
 
-    keys = classes.select("nd_id", "nd_n", F.explode("nd_keys").alias("key"))
+    keys = classes.select("nd_id", F.explode("nd_keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     tables = (
-        keys.join(shared, "key").groupBy("nd_id", "nd_n").agg(F.array_sort(F.collect_set("key")).alias("ks")).where("size(ks) > 1")
-        .select("nd_id", "nd_n", F.explode(F.expr("flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, size(ks)), y -> xxhash64(x, y))))")).alias("bucket"))
+        keys.join(shared, "key").groupBy("nd_id").agg(F.array_sort(F.collect_set("key")).alias("ks")).where("size(ks) > 1")
+        .select("nd_id", F.explode(F.expr("flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, size(ks)), y -> xxhash64(x, y))))")).alias("bucket"))
     )
     tables = materialize(tables, "minhash-tables")
-    stars = tables.groupBy("bucket").agg(F.min(F.struct("nd_id", "nd_n")).alias("c"), F.max("nd_id").alias("last")).where("c.nd_id < last").select("bucket", F.col("c.nd_id").alias("centre"), F.col("c.nd_n").alias("centre_n"))
-    members = materialize(tables.join(stars, "bucket").where("nd_id <> centre"), "minhash-members")
+    stars = tables.groupBy("bucket").agg(F.min("nd_id").alias("centre"), F.max("nd_id").alias("last")).where("centre < last").select("bucket", "centre")
+    members = materialize(tables.join(stars, "bucket").where("nd_id <> centre").select("nd_id", "centre").distinct(), "minhash-members")
 
     close = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-    edges = members.where(close("nd_n", "centre_n")).select(F.col("centre").alias("a"), F.col("nd_id").alias("b")).distinct()
+    spokes = members.select(F.col("centre").alias("a"), F.col("nd_id").alias("b"))
     ids = members.select("nd_id").union(members.select("centre")).distinct()
     sets = materialize(rows.join(ids, "nd_id").mapInPandas(_sets(shingle_words), "nd_id long, nd_set binary").dropDuplicates(["nd_id"]), "minhash-sets")
-    links = _confirmed(edges, sets, percent, "minhash-links")
-    labels = components(links)
-
-    rest, turn = members.select("bucket", "nd_id", "nd_n"), 0
-    while True:
-        turn += 1
-        placed = rest.join(labels, rest["nd_id"] == labels["id"], "left").select("bucket", "nd_id", "nd_n", F.coalesce("label", "nd_id").alias("label"))
-        several = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("bucket", "c")
-        rest = materialize(placed.join(several, "bucket"), f"minhash-rest-{turn}")
-        if rest.isEmpty():
-            break
-        few, many = rest.where(F.col("c") <= SMALL_BUCKET), rest.where(F.col("c") > SMALL_BUCKET)
-        x, y = few.alias("x"), few.alias("y")
-        pairs = x.join(y, F.expr(f"x.bucket = y.bucket and x.nd_id < y.nd_id and x.label <> y.label and {close('x.nd_n', 'y.nd_n')}")).select(F.col("x.nd_id").alias("a"), F.col("y.nd_id").alias("b"))
-        slot = F.pmod(F.xxhash64("nd_id", F.lit(turn)), F.lit(CENTRES))
-        centres = materialize(many.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("nd_id", "nd_n", "label")).alias("c")).select("bucket", "c.*"), f"minhash-centres-{turn}")
-        x, y = centres.alias("x"), many.alias("y")
-        spokes = x.join(y, F.expr(f"x.bucket = y.bucket and x.label <> y.label and {close('x.nd_n', 'y.nd_n')}")).select(F.least("x.nd_id", "y.nd_id").alias("a"), F.greatest("x.nd_id", "y.nd_id").alias("b"))
-        links = links.union(_confirmed(pairs.union(spokes).distinct(), sets, percent, f"minhash-links-{turn}"))
-        labels = components(links, f"components-{turn}")
-        rest = many.select("bucket", "nd_id", "nd_n").join(centres.select("bucket", "nd_id"), ["bucket", "nd_id"], "left_anti")
+    compared = materialize(_with_sets(spokes, sets).mapInPandas(_compare_with_centre(percent), "a long, b long, n long, linked boolean, with_near array<long>, with_far array<long>"), "minhash-stars")
+    open_stars = compared.where("not linked").select("a").distinct()
+    part = lambda df, column, side: df.select("a", F.col("b").alias(f"b_{side}"), F.col("n").alias(f"n_{side}"), F.explode(column).alias("element"))
+    far, near = compared.where("not linked"), compared.where("linked").join(open_stars, "a", "left_semi")
+    crossed = part(far, "with_near", "x").join(part(near, "with_near", "y"), ["a", "element"])
+    apart = part(far, "with_far", "x").join(part(far, "with_far", "y"), ["a", "element"]).where("b_x < b_y")
+    pairs = crossed.unionByName(apart).where(close("n_x", "n_y")).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+    found = materialize(_with_sets(pairs, sets).mapInPandas(_confirm(percent), "a long, b long"), "minhash-links")
+    labels = components(compared.where("linked").select("a", "b").union(found))
 
     named = classes.join(labels, classes["nd_id"] == labels["id"], "left").select("nd_class", F.coalesce("label", "nd_id").alias("component_id"))
     out = prep.select("nd_id", "nd_n", "nd_class").join(named, "nd_class", "left")
