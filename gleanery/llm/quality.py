@@ -140,7 +140,7 @@ def fit(rows: DataFrame, options: TreeOptions = TreeOptions()) -> Forest:
     share = min(1.0, options.sample_rows / max(1, rows.select("tr_id").count()))
     dice = F.pmod(F.xxhash64("tr_id"), F.lit(1_000_000)) / F.lit(1e6)
     schema = "tr_id long, tr_label int, " + ", ".join(f"{s} double" for s in STATISTICS)
-    got = rows.where(dice < share).select("tr_id", "tr_text", F.col("tr_label").cast("int")).mapInPandas(_stats, schema).toPandas().sort_values(["tr_id", *STATISTICS])
+    got = rows.where(dice < share).select("tr_id", "tr_text", F.col("tr_label").cast("int")).mapInPandas(_stats, schema).toArrow().to_pandas().sort_values(["tr_id", *STATISTICS])
     return fit_forest(got[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS)), got["tr_label"].to_numpy(float), options)
 
 

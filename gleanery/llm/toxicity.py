@@ -126,14 +126,14 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, options
         share = (pos + 0.5) / (neg + pos + 1)
         return NgramModel(options, np.zeros(1 << options.bits, np.float32), float(np.log(share / (1 - share))))
     odds = (F.col("pos") * neg - F.col("neg") * pos) * (F.col("pos") * neg - F.col("neg") * pos) / ((F.col("pos") + F.col("neg")) * (neg + pos - F.col("pos") - F.col("neg") + 1))
-    best = counted.where(f"bucket >= 0 and neg + pos >= {options.least}").withColumn("odds", odds.cast("double")).orderBy(F.desc("odds"), "bucket").limit(options.features).toPandas()
+    best = counted.where(f"bucket >= 0 and neg + pos >= {options.least}").withColumn("odds", odds.cast("double")).orderBy(F.desc("odds"), "bucket").limit(options.features).toArrow().to_pandas()
     chosen = best["bucket"].to_numpy(np.int64)
     p, q = best["pos"].to_numpy(float) + options.smooth, best["neg"].to_numpy(float) + options.smooth
     ratio = np.log(p / (pos + 2 * options.smooth)) - np.log(q / (neg + 2 * options.smooth))
     share = lambda n: min(1.0, options.sample_rows / n)
     dice = F.pmod(F.xxhash64("tx_id"), F.lit(1_000_000)) / F.lit(1e6)
     sample = rows.where(dice < F.when(F.col("tx_label") == 1, share(pos)).otherwise(share(neg)))
-    got = sample.select("tx_text", "tx_label").mapInPandas(_project(options, chosen), "tx_label int, at binary").toPandas()
+    got = sample.select("tx_text", "tx_label").mapInPandas(_project(options, chosen), "tx_label int, at binary").toArrow().to_pandas()
     lists, labels = [np.frombuffer(x, np.int32) for x in got["at"]], got["tx_label"].to_numpy(float)
     weight = np.where(labels == 1, 1 / share(pos), 1 / share(neg))
     order = sorted(range(len(lists)), key=lambda i: (labels[i], got["at"][i]))
