@@ -28,9 +28,9 @@ _seen = WordHashes()
 
 @dataclass(frozen=True)
 class TreeOptions:
-    """``sample_rows`` that the trees are fitted on, their ``trees`` and ``depth``, ``bins`` of a statistic, ``rate``."""
+    """``sample_rows`` of each class that the trees are fitted on at most, their ``trees`` and ``depth``, ``bins`` of a statistic, ``rate``."""
 
-    sample_rows: int = 20_000
+    sample_rows: int = 10_000
     trees: int = 80
     depth: int = 4
     bins: int = 64
@@ -134,13 +134,10 @@ def forest_scores(forest: Forest, x: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, options: TreeOptions = TreeOptions()) -> Forest:
-    """Trees from ``tr_id, tr_text, tr_label``; the sample is chosen by a hash of the id and sorted, so it is repeatable."""
+    """Trees from a bounded number of rows ``tr_id, tr_text, tr_label``, which are sorted, so that fits repeat."""
     small_batches(rows.sparkSession)
-    rows = rows.where("tr_label in (0, 1)")
-    share = min(1.0, options.sample_rows / max(1, rows.select("tr_id").count()))
-    dice = F.pmod(F.xxhash64("tr_id"), F.lit(1_000_000)) / F.lit(1e6)
     schema = "tr_id long, tr_label int, " + ", ".join(f"{s} double" for s in STATISTICS)
-    got = rows.where(dice < share).select("tr_id", "tr_text", F.col("tr_label").cast("int")).mapInPandas(_stats, schema).toArrow().to_pandas().sort_values(["tr_id", *STATISTICS])
+    got = rows.select("tr_id", "tr_text", F.col("tr_label").cast("int")).mapInPandas(_stats, schema).toArrow().to_pandas().sort_values(["tr_id", *STATISTICS])
     return fit_forest(got[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS)), got["tr_label"].to_numpy(float), options)
 
 
@@ -164,6 +161,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, options:
     labels or one class only: every score is that class's smoothed share. Empty tables give no rows. Other columns of
     either table, whatever their names, are not read.
     """
-    forest = fit(training_rows(docs, labels, "quality", 5, 0), options)
+    forest = fit(training_rows(docs, labels, "quality", 5, 0, options.sample_rows), options)
     held = F.coalesce(F.pmod(crc32_text("doc_id"), F.lit(5)) == 0, F.lit(False))
     return score(docs, forest).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

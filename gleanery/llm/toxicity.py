@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Spark counts, over every labelled training row, in how many documents of each class each hashed n-gram occurs. The
-n-grams that tell the classes apart best (chi-square) become features; a feature's value is its log-count ratio where
-the n-gram occurs. A logistic regression is fitted to those on a bounded, hash-chosen sample of the labelled rows.
-Texts are the only input of a score.
+The classifier is fitted on a bounded, hash-chosen sample of labelled training rows. Spark counts in how many of its
+documents of each class each hashed n-gram occurs. The n-grams that tell the classes apart best (chi-square) become
+features; a feature's value is its log-count ratio where the n-gram occurs, and a logistic regression is fitted to
+those. Texts are the only input of a score.
 """
 
 from __future__ import annotations
@@ -22,16 +22,16 @@ from .common import U64, materialize, mix, small_batches
 @dataclass(frozen=True)
 class NgramOptions:
     """``sizes`` of character n-grams, ``bits`` of the hash space, ``features`` kept, ``least`` documents a feature
-    needs, ``sample_rows`` of each class that the regression is fitted on, ``smooth``ing, ``ridge`` penalty."""
+    needs, ``sample_rows`` of each class that are fitted on at most, ``smooth``ing, ``ridge`` penalty, ``steps``."""
 
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 19
-    features: int = 20_000
+    features: int = 4_000
     least: int = 3
-    sample_rows: int = 3_000
+    sample_rows: int = 10_000
     smooth: float = 1.0
-    ridge: float = 1e-3
-    steps: int = 200
+    ridge: float = 1e-4
+    steps: int = 600
 
 
 @dataclass(frozen=True)
@@ -115,29 +115,26 @@ def _logistic(lists: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, we
     return w[:-1] * ratio, b
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str, options: NgramOptions = NgramOptions()) -> NgramModel:
-    """A model from rows with 0/1 labels (others are left out). One class or no rows at all: its share as every score."""
+def fit(labelled: DataFrame, text_col: str, label_col: str, options: NgramOptions = NgramOptions()) -> NgramModel:
+    """A model from a bounded number of rows with 0/1 labels. One class or no rows at all: its share as every score."""
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("tx_id"), F.col(text_col).alias("tx_text"), F.col(label_col).cast("int").alias("tx_label"))
-    counted = materialize(rows.select("tx_text", "tx_label").mapInPandas(_count(options), "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")), "ngram-counts")
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("tx_text"), F.col(label_col).cast("int").alias("tx_label"))
+    counted = materialize(rows.mapInPandas(_count(options), "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")), "ngram-counts")
     total = counted.where("bucket = -1").head()
     neg, pos = (total["neg"], total["pos"]) if total else (0, 0)
     if not neg or not pos:
         share = (pos + 0.5) / (neg + pos + 1)
         return NgramModel(options, np.zeros(1 << options.bits, np.float32), float(np.log(share / (1 - share))))
-    odds = (F.col("pos") * neg - F.col("neg") * pos) * (F.col("pos") * neg - F.col("neg") * pos) / ((F.col("pos") + F.col("neg")) * (neg + pos - F.col("pos") - F.col("neg") + 1))
+    apart = F.col("pos") * neg - F.col("neg") * pos
+    odds = apart * apart / ((F.col("pos") + F.col("neg")) * (neg + pos - F.col("pos") - F.col("neg") + 1))
     best = counted.where(f"bucket >= 0 and neg + pos >= {options.least}").withColumn("odds", odds.cast("double")).orderBy(F.desc("odds"), "bucket").limit(options.features).toArrow().to_pandas()
     chosen = best["bucket"].to_numpy(np.int64)
     p, q = best["pos"].to_numpy(float) + options.smooth, best["neg"].to_numpy(float) + options.smooth
     ratio = np.log(p / (pos + 2 * options.smooth)) - np.log(q / (neg + 2 * options.smooth))
-    share = lambda n: min(1.0, options.sample_rows / n)
-    dice = F.pmod(F.xxhash64("tx_id"), F.lit(1_000_000)) / F.lit(1e6)
-    sample = rows.where(dice < F.when(F.col("tx_label") == 1, share(pos)).otherwise(share(neg)))
-    got = sample.select("tx_text", "tx_label").mapInPandas(_project(options, chosen), "tx_label int, at binary").toArrow().to_pandas()
+    got = rows.mapInPandas(_project(options, chosen), "tx_label int, at binary").toArrow().to_pandas()  # a bounded sample's features
     lists, labels = [np.frombuffer(x, np.int32) for x in got["at"]], got["tx_label"].to_numpy(float)
-    weight = np.where(labels == 1, 1 / share(pos), 1 / share(neg))
     order = sorted(range(len(lists)), key=lambda i: (labels[i], got["at"][i]))
-    scaled, bias = _logistic([lists[i] for i in order], labels[order], ratio, weight[order], options)
+    scaled, bias = _logistic([lists[i] for i in order], labels[order], ratio, np.ones(len(order)), options)
     weights = np.zeros(1 << options.bits, np.float32)
     weights[chosen] = scaled
     return NgramModel(options, weights, bias)
@@ -157,13 +154,18 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("tx_id"), F.col(text_col).alias("tx_text")).mapInPandas(run, "doc_id long, score double")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``tr_id, tr_text, tr_label`` of labelled documents outside the held-out fold, crc32(id as text) mod modulus = held.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, sample_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``tr_id, tr_text, tr_label`` of at most ``sample_rows`` labelled ids of each class, written.
 
-    Null ids and null labels take no part; an id with several labels counts once, with the highest.
+    Ids of the held-out fold, crc32(id as text) mod modulus = held, are never among them. The sample is the ids whose
+    hashes are smallest, so its size is bounded whatever the input, and only its ids are broadcast. Null ids and null
+    labels take no part; an id with several labels counts once, with the highest.
     """
-    marks = labels.where(f"doc_id is not null and {label} is not null").where(F.pmod(crc32_text("doc_id"), F.lit(modulus)) != held).groupBy(F.col("doc_id").alias("tr_id")).agg(F.max(label).alias("tr_label"))
-    return docs.select(F.col(id_col).cast("long").alias("tr_id"), F.col(text_col).alias("tr_text")).join(marks, "tr_id")
+    marks = labels.where(f"doc_id is not null and {label} in (0, 1)").where(F.pmod(crc32_text("doc_id"), F.lit(modulus)) != held).groupBy(F.col("doc_id").alias("tr_id")).agg(F.max(label).alias("tr_label"))
+    sample = lambda k: marks.where(F.col("tr_label") == k).orderBy(F.xxhash64("tr_id"), "tr_id").limit(sample_rows)
+    chosen = materialize(sample(0).union(sample(1)), "training-ids")
+    rows = docs.select(F.col(id_col).cast("long").alias("tr_id"), F.col(text_col).alias("tr_text"))
+    return materialize(rows.join(F.broadcast(chosen), "tr_id"), "training-rows")  # at most 2 * sample_rows ids are broadcast
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, options: NgramOptions = NgramOptions(), text_source: DataFrame | None = None) -> DataFrame:
@@ -173,7 +175,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, options
     labels or one class only: every score is that class's smoothed share. Empty tables give no rows. Other columns of
     either table, whatever their names, are not read. ``text_source`` gives the texts of the labelled ids, if not docs.
     """
-    rows = training_rows(text_source or docs, labels, "toxic", 4, 2)
-    model = fit(rows, "tr_id", "tr_text", "tr_label", options)
+    rows = training_rows(text_source or docs, labels, "toxic", 4, 2, options.sample_rows)
+    model = fit(rows, "tr_text", "tr_label", options)
     held = F.coalesce(F.pmod(crc32_text("doc_id"), F.lit(4)) == 2, F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
