@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Sources up to which their rates are broadcast; beyond it they are joined by shuffle.
+BROADCAST_SOURCES = 10_000
+
 
 def hash_number(*parts: Column) -> Column:
     """A 52-bit number from the md5 of the parts joined by ``|``; nulls count as empty."""
@@ -32,11 +35,12 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, temperature:
         for name, weight in weights.items():
             share = F.when(F.col("mx_source") == name, float(weight)).otherwise(share)
     shares = counts.select("mx_source", "rows", share.alias("share"))
-    sums = shares.agg(F.sum("rows").alias("rows"), F.sum("share").alias("share")).head()
+    sums = shares.agg(F.sum("rows").alias("rows"), F.sum("share").alias("share"), F.count("*").alias("sources")).head()
     if not sums["rows"] or not sums["share"]:
         return shares.select("mx_source", "rows", F.lit(0.0).alias("rate"))
     wanted = float(total if total is not None else sums["rows"])
-    return shares.select("mx_source", "rows", (F.col("share") / F.lit(float(sums["share"])) * wanted / F.col("rows")).alias("rate"))
+    rates = shares.select("mx_source", "rows", (F.col("share") / F.lit(float(sums["share"])) * wanted / F.col("rows")).alias("rate"))
+    return F.broadcast(rates) if sums["sources"] <= BROADCAST_SOURCES else rates
 
 
 def poisson_steps(rate: Column) -> Column:
