@@ -160,6 +160,7 @@ ORACLE_SQL = {
     "detail_join": "SELECT 'V' || l_partkey AS own, CASE WHEN p_partkey % 2 = 0 THEN '/car/' || p_name ELSE '/vehicle/v' || l_partkey || '/' END AS url, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
     "strict_snapshot": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_partkey) AND count(*) = count(DISTINCT l_suppkey) AND count(*) = max(l_linenumber))",
     "listing_post_join": "WITH o AS (SELECT o_orderkey, o_custkey, o_custkey % 20 AS run FROM orders), p AS (SELECT * FROM customer WHERE c_custkey % 50 <> 0), bad AS (SELECT DISTINCT run FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM p)) SELECT o_orderkey, run, n_name FROM o JOIN p ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE run NOT IN (SELECT run FROM bad)",
+    "json_pick": "SELECT event_id, '' AS page, coalesce(nullif(trim(props->>'$.k'), ''), '') AS other FROM events",
     "regex_extract_rows": r"""SELECT doc_id, (unnest(range(len(f))))::INT AS pos, unnest(f) AS value FROM (SELECT doc_id, regexp_extract_all(text, '(?i)(?:key|token|secret)\s*[:=]\s*"?([A-Za-z0-9]+)', 1) AS f FROM documents)""",
     "run_status": "SELECT user_id, items, errors, CASE WHEN items = 0 THEN 'failed' WHEN errors > 0 THEN 'partial_success' ELSE 'success' END AS status, first_error FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS items, count(*) FILTER (event_type = 'error') AS errors, arg_min(event_id, ts) FILTER (event_type = 'error') AS first_error FROM events GROUP BY user_id)",
     "ring_bound": "SELECT log, event_id, place, dropped FROM (SELECT user_id % 5 AS log, event_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS place, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts DESC, event_id DESC) AS back, greatest(count(*) OVER (PARTITION BY user_id % 5) - 160, 0) AS dropped FROM events) WHERE place <= 16 OR back <= 144",
