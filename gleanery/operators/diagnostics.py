@@ -46,7 +46,7 @@ def bounded_events(events: DataFrame, by: list[str], order: list[str], first: in
 def bounded_tail(output: Column, limit: int = 16384) -> Column:
     """The last bytes of a stream; where it was cut, a note stands for the broken first line."""
     tail = text.byte_suffix(output, limit)
-    rest = F.when(tail.contains("\n"), F.substring_index(tail, "\n", -F.size(F.split(tail, "\n")) + 1)).otherwise("")
+    rest = F.regexp_extract(tail, "(?s)^[^\n]*\n(.*)$", 1)
     return F.when(F.octet_length(output) <= limit, output).otherwise(F.concat(F.lit("[earlier stderr truncated]\n"), rest))
 
 
