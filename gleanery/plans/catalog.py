@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import identity, text, urls
 from ..operators import dedupe as dd
 from ..operators import diagnostics as dg
+from ..operators import extract, paginate, platforms, stores
 from ..operators import inventory as inv
 from ..operators import normalize as nz
-from ..operators import stores
 from ..operators.steps import step
+from . import pipeline
 from .samples import items, raw_items, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -389,3 +390,83 @@ def run_errors(spark, sf_dir):
     errors = events.where("event_type = 'error'").select("user_id", F.when(F.col("event_id") % 2 == 0, "FALLBACK_EMPTY").otherwise("OTHER").alias("code"), F.col("event_id").cast("string").alias("message"))
     counts = events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("items"))
     return inv.run_errors(errors, counts, ["user_id"])
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as one run a host, in order of their ids."""
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("page_id"))
+    return _pages(spark, sf_dir).withColumn("run_id", urls.host_key(F.col("url"))).select("run_id", place.alias("page_seq"), "url", "html")
+
+
+SITE = {"cardSelector": "article", "titleSelector": "h1", "urlSelector": "a[href]", "imageSelector": "img", "stockPatterns": []}
+
+
+@query
+def dom_extract(spark, sf_dir):
+    """Cards (articles) of the pages with their titles: the tree is parsed in Arrow batches."""
+    return extract.structured_rows(_landed(spark, sf_dir), SITE).select("run_id", "page_seq", "pos", text.clean(F.col("item.title")).alias("title"))
+
+
+@query
+def extract_pipeline(spark, sf_dir):
+    return pipeline.run(_landed(spark, sf_dir), SITE).runs
+
+
+def _payloads(spark: SparkSession, sf_dir: str, path: list[str], **fields: Column) -> DataFrame:
+    """Parts by size as landed payloads of a platform: JSON with the listings under ``path``."""
+    body = F.sort_array(F.collect_list(F.struct(*[c.alias(n) for n, c in fields.items()])))
+    for name in reversed(path):
+        body = F.array(body) if name == "[]" else F.struct(body.alias(name))
+    made = table(spark, sf_dir, "part").groupBy("p_size").agg(F.to_json(body).alias("payload"))
+    return made.select(F.lit("r").alias("run_id"), F.lit("https://a.example/x").alias("source_url"), F.col("p_size").alias("page_seq"), "payload")
+
+
+@query
+def platform_imotor(spark, sf_dir):
+    c = F.col
+    hit = F.struct(c("p_partkey").alias("id"), F.when(c("p_partkey") % 2 == 0, "New").alias("vehType"), c("p_brand").alias("make"), c("p_type").alias("model"), (1990 + c("p_size")).alias("year"), c("p_retailprice").alias("price"))
+    hits = table(spark, sf_dir, "part").groupBy("p_size").agg(F.collect_list(hit).alias("hits"))
+    landed = hits.select(F.lit("r").alias("run_id"), F.lit("https://a.example/x").alias("source_url"), F.col("p_size").alias("page_seq"), F.to_json(F.struct(F.array(F.struct("hits")).alias("results"))).alias("payload"))
+    return platforms.imotor(landed).select("stockId", "title", "url")
+
+
+@query
+def platform_dealer_sync(spark, sf_dir):
+    c = F.col
+    landed = _payloads(spark, sf_dir, ["Vehicles"], Vin=F.concat(F.lit("v"), (c("p_partkey") % 90).cast("string")), StockNo=c("p_partkey").cast("string"), Year=(1990 + c("p_size")).cast("string"), Make=c("p_brand"), InternetPrice=F.floor("p_retailprice").cast("double"), VehicleDetailUrl=F.concat(F.lit("/v/"), c("p_partkey").cast("string")))
+    return platforms.dealer_sync(landed).groupBy("vin").agg(F.count("*").alias("n"))
+
+
+@query
+def platform_space_auto(spark, sf_dir):
+    c = F.col
+    landed = _payloads(spark, sf_dir, ["vehicles"], vin=F.concat(F.lit("v"), c("p_partkey").cast("string")), make=c("p_brand"), price=F.floor("p_retailprice").cast("double"), mileage=(c("p_partkey") * 7).cast("double"))
+    links = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("V"), c("p_partkey").cast("string")).alias("vin"), F.concat(F.lit("/car/"), c("p_partkey").cast("string")).alias("url"), F.lit(0).alias("pos"))
+    return platforms.space_auto(landed, links).select("title", "url", "price", "mileage")
+
+
+@query
+def paging_urls(spark, sf_dir):
+    """Further pages of each URL under each pager rule, for pagers made from the page ids."""
+    pages, u = _pages(spark, sf_dir), F.col("url")
+    n = (F.col("page_id") % 4).cast("int")
+    made = pages.select("page_id", paginate.counted_urls(u, n).alias("counted"), paginate.offset_urls(u, n * 15, F.lit(10)).alias("offsets"), paginate.page_of_urls(u, F.concat(F.lit("Page 1 of "), n.cast("string"))).alias("stated"))
+    return made.select("page_id", F.size("counted").alias("counted"), F.size("offsets").alias("offsets"), F.size("stated").alias("stated"))
+
+
+@query
+def inventory_total(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", paginate.total(F.concat(F.lit("Showing 1 - "), F.col("p_size").cast("string"), F.lit(" of "), F.format_number(F.col("p_partkey") * 7, 0), F.lit(" vehicles"))).alias("total"))
+
+
+@query
+def capped_items(spark, sf_dir):
+    return inv.capped(raw_items(spark, sf_dir), ["dealer_id"], 20).select("dealer_id", "seq")
+
+
+@query
+def template_resolution(spark, sf_dir):
+    """URLs whose site has a template, of templates for every second host."""
+    named = _pages(spark, sf_dir).select("page_id", "url", urls.host_key(F.col("url")).alias("host"))
+    known = named.groupBy("host").agg(F.min("page_id").alias("first")).where("first % 2 = 0").select("host")
+    return named.join(known, "host", "left_semi").select("page_id", "host")

@@ -179,4 +179,12 @@ ORACLE_SQL = {
     "scoped_keys": f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'k' || page_id || '|d1|' || {SOURCE} ELSE '' END AS scoped, 'scrape-once-cache|d1|' || {SOURCE} AS once FROM (SELECT page_id, url AS u FROM pages)",
     "error_predicates": "SELECT doc_id, regexp_matches(lower(text), 'datadome|captcha-delivery|blocked|all strategies failed') AS block, regexp_matches(lower(text), 'deadline exceeded|client\\.timeout|timeout|temporary|connection reset|eof') AS timeout FROM documents",
     "run_errors": "WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS items FROM events GROUP BY 1), e AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'FALLBACK_EMPTY' ELSE 'OTHER' END AS code, event_id::VARCHAR AS message FROM events WHERE event_type = 'error') SELECT user_id, code, message FROM e JOIN c USING (user_id) WHERE NOT (code = 'FALLBACK_EMPTY' AND items > 0) UNION ALL SELECT user_id, 'NO_ITEMS', 'no items found' FROM c WHERE items = 0",
+    "dom_extract": f"WITH p AS (SELECT {HOST} AS run_id, page_id, html FROM (SELECT page_id, html, url AS u FROM pages)), q AS (SELECT run_id, html, row_number() OVER (PARTITION BY run_id ORDER BY page_id)::INT AS page_seq FROM p) SELECT run_id, page_seq, 0::INT AS pos, {clean(r"replace(replace(replace(regexp_extract(html, '(?s)<article>.*?<h1>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS title FROM q WHERE contains(html, '<article>')",
+    "platform_imotor": "SELECT p_partkey::VARCHAR AS \"stockId\", (1990 + p_size) || ' ' || p_brand || ' ' || p_type AS title, '/' || CASE WHEN p_partkey % 2 = 0 THEN 'new' ELSE 'used' END || '-trucks/for-sale/' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') || '/' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') || '/' || (1990 + p_size) || '/' || p_partkey || '/' AS url FROM part WHERE p_partkey > 0",
+    "platform_dealer_sync": "SELECT DISTINCT 'v' || p_partkey % 90 AS vin, 1 AS n FROM part",
+    "platform_space_auto": "SELECT p_brand AS title, CASE WHEN p_partkey % 3 = 0 THEN '/car/' || p_partkey ELSE '/vehicle/v' || p_partkey || '/' END AS url, '$' || format('{:,}', floor(p_retailprice)::BIGINT) AS price, CASE WHEN p_partkey > 0 THEN format('{:,}', p_partkey * 7) ELSE '' END AS mileage FROM part",
+    "paging_urls": f"SELECT page_id, greatest(n - greatest(p, 1), 0)::INT AS counted, greatest(ceil(n * 1.5)::INT - 1, 0)::INT AS offsets, greatest(n - 1, 0)::INT AS stated FROM (SELECT page_id, (page_id % 4)::INT AS n, greatest(coalesce(try_cast(regexp_extract(u, '[?&]page=([^&#]*)', 1) AS INT), 0), 0) AS p FROM (SELECT page_id, url AS u FROM pages))",
+    "inventory_total": "SELECT p_partkey, (p_partkey * 7)::INT AS total FROM part",
+    "capped_items": f"WITH {ITEMS} SELECT dealer_id, seq FROM items QUALIFY row_number() OVER (PARTITION BY dealer_id ORDER BY seq) <= 20",
+    "template_resolution": f"WITH p AS (SELECT page_id, {HOST} AS host FROM (SELECT page_id, url AS u FROM pages)) SELECT page_id, host FROM p WHERE host IN (SELECT host FROM p GROUP BY host HAVING min(page_id) % 2 = 0)",
 }

@@ -100,7 +100,7 @@ def sequential(given):
     key_url = lambda u: re.sub("/$", "", re.sub(r"[?#].*$", "", u)).lower()
 
     def key(i):
-        for p, v in (("stock:", (i["stockId"] or i["stock"]).upper()), ("vin:", i["vin"].upper()), ("url:", key_url(i["url"])), ("img:", i["images"][0] if i["images"] else ""), ("content:", i["title"].lower())):
+        for p, v in (("stock:", (i["stockId"] or i["stock"]).upper()), ("vin:", i["vin"].upper()), ("url:", key_url(i["url"])), ("img:", i["images"][0] if i["images"] else ""), ("content:", (i["title"] + "|" + i["price"]).lower().strip("|"))):
             if v:
                 return p + v
         return ""

@@ -31,5 +31,10 @@ def test_query(spark, sql, sf, name):
     assert sorted(got.columns) == sorted(want.columns) and plain(got) == plain(want)
 
 
+def test_runs_without_sql(spark, sf):
+    for name in set(catalog.QUERIES) - set(oracles.ORACLE_SQL):
+        assert catalog.QUERIES[name](spark, sf).count() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
