@@ -79,4 +79,53 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pack, op2_toxicity, op3_top_k, op4_quality, op5_url_filter, op6_quality_rules, op7_near_duplicates, op8_shards, op9_mix, op10_revisits)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _trust_sql(rounds: int = 20) -> str:
+    """Rules, seeds and both propagations of url_trust, a step a common table expression."""
+    part = lambda k, u: f"coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)([^?#]*)', {k}), '')"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ordered = sorted(RULES, key=lambda r: (-len(r.text), r.text))
+    fits = lambda r: f"((host = '{r.host}' OR host LIKE '%.{r.host}') AND path LIKE '{r.path}%')"
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in ordered) + " END"
+    steps = "".join(
+        f""", s{k} AS MATERIALIZED (SELECT s.host, s.good, s.bad, 0.15 * s.good + 0.85 * coalesce(t, 0) AS trust, 0.15 * s.bad + 0.85 * coalesce(d, 0) AS distrust FROM s{k - 1} s
+        LEFT JOIN (SELECT dst AS host, sum(trust * w) AS t FROM e JOIN s{k - 1} ON src = host GROUP BY 1) USING (host) LEFT JOIN (SELECT src AS host, sum(distrust * v) AS d FROM e JOIN s{k - 1} ON dst = host GROUP BY 1) USING (host))"""
+        for k in range(1, rounds + 1)
+    )
+    return f"""WITH p AS (SELECT page_id, html, {lower.format(part(1, "url"))} AS host, {part(2, "url")} AS path FROM pages), j AS (SELECT page_id, host, path, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS by_rule FROM p),
+      l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?((?:https?:)?//[^"''\\s>]+)', 1)) AS u FROM p),
+      c AS (SELECT src, {lower.format(part(1, "CASE WHEN u LIKE '//%' THEN 'http:' || u ELSE u END"))} AS dst, count(*) AS n FROM l GROUP BY ALL),
+      e AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w, n / sum(n) OVER (PARTITION BY dst) AS v FROM c WHERE src <> '' AND dst <> '' AND src <> dst),
+      h AS (SELECT host, (2 * count(*) FILTER (by_rule = 'allow') > count(*))::DOUBLE AS good, (2 * count(*) FILTER (by_rule = 'block') > count(*))::DOUBLE AS bad FROM j WHERE host <> '' GROUP BY host),
+      s0 AS MATERIALIZED (SELECT host, max(good) AS good, max(bad) AS bad, 0.15 * max(good) AS trust, 0.15 * max(bad) AS distrust FROM (SELECT * FROM h UNION ALL SELECT src, 0, 0 FROM e UNION ALL SELECT dst, 0, 0 FROM e) GROUP BY host){steps}
+      SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN distrust > trust AND distrust >= 0.05 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN s{rounds} USING (host)"""
+
+
+_TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS t FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, least(len(q.t), len(c.t)) + 1), lambda i: q.t[i] * c.t[i])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+_MIX = """WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source), r AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM c),
+  k AS (SELECT source, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 25)::BIGINT + 1)) AS k, rate FROM r), f AS (SELECT source, sum(exp(-rate + k * ln(rate) - CASE WHEN k < 2 THEN 0 ELSE lgamma(k + 1) END)) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
+  d AS (SELECT *, (CAST('0x' || substr(md5('13|' || coalesce(doc_id::VARCHAR, '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE AS u FROM documents),
+  m AS (SELECT d.*, (SELECT count(*) FROM f WHERE f.source IS NOT DISTINCT FROM d.source AND f.cdf <= d.u) AS times FROM d)
+  SELECT doc_id, text, lang, source, n_chars, mix_copy, CAST('0x' || substr(md5('13 order|' || coalesce(doc_id::VARCHAR, '') || '|' || mix_copy), 1, 13) AS BIGINT) AS mix_key FROM (SELECT * EXCLUDE (u, times), CAST(unnest(range(1, times + 1)) AS INT) AS mix_copy FROM m)"""
+
+_REVISITS = """WITH b AS (SELECT page_id, url, 1700000000 + (page_id * 7919) % 2592000 AS ts, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, coalesce(strlen(html), 0) AS size, page_id % 3 AS kase,
+    regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS h FROM pages),
+  w AS (SELECT *, CASE WHEN h <> '' THEN regexp_replace(regexp_replace(lower(h), '^www\\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/$', '') || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) END AS url_key FROM b),
+  r AS (SELECT page_id, page_id * 3 AS record_id, url_key, ts, 'response' AS kind, tag AS digest, 'time ' || ts AS since, tag, size, kase FROM w
+    UNION ALL SELECT page_id, page_id * 3 + 1, url_key, ts + 86400, 'revisit', NULL, NULL, 'W/' || tag, size, kase FROM w
+    UNION ALL SELECT page_id, page_id * 3 + 2, url_key, ts + CASE WHEN kase = 1 THEN -86400 ELSE 172800 END, 'revisit', NULL, CASE WHEN kase <> 0 THEN 'time ' || ts END, CASE WHEN kase = 0 THEN '"other"' END, size, kase FROM w),
+  a AS (SELECT r.*, (SELECT max((o.ts, o.record_id)) FROM r o WHERE o.kind = 'response' AND o.url_key = r.url_key AND o.ts < r.ts) AS found FROM r),
+  f AS (SELECT a.*, o.record_id AS oid, o.ts AS oat, o.tag AS otag, o.since AS osince, o.size AS osize FROM a LEFT JOIN r o ON o.kind = 'response' AND o.record_id = a.found[2]),
+  g AS (SELECT *, CASE WHEN kind = 'response' THEN 'full' WHEN url_key IS NULL OR ts IS NULL THEN 'invalid' WHEN oid IS NULL THEN 'no_earlier_response' WHEN CASE WHEN tag IS NOT NULL THEN replace(tag, 'W/', '') = otag ELSE since = osince END THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM f)
+  SELECT page_id, record_id, url_key, ts AS "at", kind, outcome, CASE WHEN outcome = 'resolved' THEN oid END AS source_record_id, CASE WHEN outcome = 'resolved' THEN oat END AS source_at, CASE WHEN kind = 'response' OR outcome = 'resolved' THEN 200 ELSE 304 END AS status,
+    CASE WHEN kind = 'response' THEN concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || size, 'etag: ' || tag, 'last-modified: ' || since)
+      WHEN outcome = 'resolved' AND tag IS NOT NULL THEN concat_ws(chr(10), 'cache-control: max-age=90', 'content-length: ' || osize, 'etag: ' || tag, 'last-modified: ' || osince)
+      WHEN outcome = 'resolved' THEN concat_ws(chr(10), 'cache-control: max-age=60', 'content-length: ' || osize, 'etag: ' || otag, 'last-modified: ' || since, 'x-seen: again')
+      WHEN record_id % 3 = 1 THEN concat_ws(chr(10), 'cache-control: max-age=90', 'content-length: 0', 'etag: ' || tag) WHEN kase = 0 THEN 'etag: ' || tag ELSE concat_ws(chr(10), 'last-modified: ' || since, 'x-seen: again') END AS headers,
+    CASE WHEN kind = 'response' THEN digest WHEN outcome = 'resolved' THEN otag END AS digest FROM g"""
+
+ORACLE_SQL: dict[str, str] = {"op3_top_k": _TOP_K, "op5_url_filter": _trust_sql(), "op9_mix": _MIX, "op10_revisits": _REVISITS}

@@ -44,8 +44,8 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 29, bucket_rows: i
     before = cells.select("cell", F.coalesce(F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("cell").orderBy("part", "strat", "u", "doc_id", "text_crc32", "size"))
     at = ranked.withColumn("place", place).join(before, "cell").withColumn("at", (F.col("before") + F.col("place") - 1).cast("long"))
-    shard = F.floor(F.col("at") * shards / F.lit(max(1, total))) if total < 2**40 else F.floor(F.col("at") / F.lit(max(1, total)) * shards)
-    first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
+    shard = F.expr(f"(at * {shards}) div {max(1, total)}")
+    first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")  # the shard's first place
     return at.withColumn("shard", shard.cast("int")).select("doc_id", "source", "size", "text_crc32", "shard", (F.col("at") - first).cast("long").alias("slot"))
 
 
