@@ -6,7 +6,8 @@ a square root of the work of independent tables. Two texts share a table bucket
 keys agree, so a text's small keys that no other text has are dropped before any pair is formed; nothing is lost by it.
 
 Texts with equal shingle sets are one class, so copies never meet as pairs. Every bucket is compared as a star: each
-member with the smallest, the centre; all pairs of a bucket are never formed. What a star leaves open are links of a
+member with the centre, the member whose small keys the most texts share (so near the middle of its group); all pairs
+of a bucket are never formed. What a star leaves open are links of a
 member x that is not similar to its centre c. They are found exactly, by differences from the centre: with D(x) the
 elements in one of x and c only, |D(x) & D(y)| = (|D(x)| + |D(y)| - |x ^ y|) / 2, a similar pair has
 |x ^ y| <= k (|x| + |y|) with k = (100 - p) / (100 + p), and so D(x) and D(y) share an element among their first few in
@@ -167,19 +168,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(prep.where("nd_class is not null").groupBy("nd_class").agg(F.min(F.struct("nd_id", "nd_n", "nd_keys")).alias("r")).select("nd_class", "r.*"), "minhash-classes")
 
     keys = classes.select("nd_id", F.explode("nd_keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     tables = (
-        keys.join(shared, "key").groupBy("nd_id").agg(F.array_sort(F.collect_set("key")).alias("ks")).where("size(ks) > 1")
-        .select("nd_id", F.explode(F.expr("flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, size(ks)), y -> xxhash64(x, y))))")).alias("bucket"))
+        keys.join(shared, "key").groupBy("nd_id").agg(F.array_sort(F.collect_set("key")).alias("ks"), F.sum("c").alias("weight")).where("size(ks) > 1")
+        .select("nd_id", "weight", F.explode(F.expr("flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, size(ks)), y -> xxhash64(x, y))))")).alias("bucket"))
     )
     tables = materialize(tables, "minhash-tables")
-    stars = tables.groupBy("bucket").agg(F.min("nd_id").alias("centre"), F.max("nd_id").alias("last")).where("centre < last").select("bucket", "centre")
+    central = F.max(F.struct("weight", (-F.col("nd_id")).alias("at")))
+    stars = tables.groupBy("bucket").agg(F.min("nd_id").alias("low"), F.max("nd_id").alias("high"), central.alias("c")).where("low < high").select("bucket", (-F.col("c.at")).alias("centre"))
     members = materialize(tables.join(stars, "bucket").where("nd_id <> centre").select("nd_id", "centre").distinct(), "minhash-members")
 
     close = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
     spokes = members.select(F.col("centre").alias("a"), F.col("nd_id").alias("b"))
     ids = members.select("nd_id").union(members.select("centre")).distinct()
-    sets = materialize(rows.join(ids, "nd_id").mapInPandas(_sets(shingle_words), "nd_id long, nd_set binary").dropDuplicates(["nd_id"]), "minhash-sets")
+    texts = rows.join(ids.hint("merge"), "nd_id").dropDuplicates(["nd_id"])  # one shuffle of the texts, at every size
+    sets = materialize(texts.mapInPandas(_sets(shingle_words), "nd_id long, nd_set binary"), "minhash-sets")
     compared = materialize(_with_sets(spokes, sets).mapInPandas(_compare_with_centre(percent), "a long, b long, n long, linked boolean, with_near array<long>, with_far array<long>"), "minhash-stars")
     open_stars = compared.where("not linked").select("a").distinct()
     part = lambda df, column, side: df.select("a", F.col("b").alias(f"b_{side}"), F.col("n").alias(f"n_{side}"), F.explode(column).alias("element"))
