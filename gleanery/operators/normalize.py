@@ -26,22 +26,23 @@ def with_item_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(texts | arrays)
 
 
-def title_words(title: Column, make: Column, model: Column) -> tuple[Column, Column]:
-    """Make and model: filled from the two words after the year (or after the first word), two-word models joined."""
-    words = F.filter(F.split(text.clean(title), " "), lambda w: w != "")
-    years = F.transform(words, lambda w: w.rlike(YEAR))
-    at = F.array_position(years, True)
-    start = F.when(at > 0, at.cast("int")).otherwise(1)
-    enough = F.size(words) > start + 1
-    first, second, third = (F.coalesce(F.get(words, start + k), F.lit("")) for k in (0, 1, 2))
-    longer = F.when((F.size(words) > start + 2) & F.upper(second).isin(*HALF_MODELS), F.concat_ws(" ", second, third)).otherwise(second)
-    return F.when((make == "") & enough, first).otherwise(make), F.when((model == "") & enough, longer).otherwise(model)
+def with_title_words(items: DataFrame) -> DataFrame:
+    """Make and model filled from the two words after the year (or after the first word), two-word models joined."""
+    words = F.filter(F.split("title", " "), lambda w: w != "")
+    out = step(items.withColumn("_words", words), "words")
+    at = F.array_position(F.transform("_words", lambda w: w.rlike(YEAR)), True)
+    out = step(out.withColumn("_start", F.when(at > 0, at.cast("int")).otherwise(1)), "start")
+    word = lambda k: F.coalesce(F.get("_words", F.col("_start") + k), F.lit(""))
+    more = F.size("_words") - F.col("_start")
+    model = F.when((more > 2) & F.upper(word(1)).isin(*HALF_MODELS), F.concat_ws(" ", word(1), word(2))).otherwise(word(1))
+    fill = lambda n, v: F.when((F.col(n) == "") & (more > 1), v).otherwise(F.col(n))
+    return out.withColumns({"make": fill("make", word(0)), "model": fill("model", model)}).drop("_words", "_start")
 
 
 def normalize(items: DataFrame, base: str = "source_url") -> DataFrame:
     """Every item field in its normal form; ``base`` is the column that relative URLs are resolved against."""
-    c = F.col
-    out = with_item_columns(items).withColumns({n: text.clean(c(n)) for n in CLEANED} | {n: text.strip_label(c(n)) for n in LABELLED})
+    c, given = F.col, set(items.columns)  # columns that are absent stay '' and cost nothing
+    out = with_item_columns(items).withColumns({n: text.clean(c(n)) for n in CLEANED if n in given} | {n: text.strip_label(c(n)) for n in LABELLED if n in given})
     out = step(out, "cleaned")
     out = out.withColumns({"stockId": identity.stock_number(c("stockId")), "mileage": text.mileage(c("mileage")), "vin": F.upper(text.clean(c("vin"))), "url": urls.resolve(c(base), c("url")), "primaryImage": urls.resolve(c(base), c("primaryImage")), "images": F.transform("images", lambda i: urls.resolve(c(base), i))})
     out = step(out, "resolved")
@@ -54,12 +55,13 @@ def normalize(items: DataFrame, base: str = "source_url") -> DataFrame:
         "images": F.array_distinct(F.filter("images", identity.is_vehicle_image)),
     })
     out = step(out, "identified")
-    make, model = title_words(c("title"), c("make"), c("model"))
     out = out.withColumns({
         "primaryImage": F.when(c("primaryImage") == "", F.coalesce(F.get("images", F.lit(0)), F.lit(""))).otherwise(c("primaryImage")),
-        "year": F.when(c("year") == "", F.regexp_extract("title", YEAR, 1)).otherwise(c("year")), "make": make, "model": model,
+        "year": F.when(c("year") == "", F.regexp_extract("title", YEAR, 1)).otherwise(c("year")),
     })
-    return step(fuel_conversions(step(out, "titled")), "normalized")
+    out = with_title_words(out)
+    out = step(out, "titled")
+    return step(fuel_conversions(out), "normalized") if given & {"fuelEconomy", "milesPerGallon", "cityMPG", "highwayMPG"} else out
 
 
 def fuel_conversions(items: DataFrame) -> DataFrame:

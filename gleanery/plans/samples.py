@@ -35,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item rows as sites publish them. ``seq`` numbers them globally, which only this sample needs."""
-    return spark.sql(ITEMS_SQL, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
+    rows = spark.sql(ITEMS_SQL, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
+    return rows.repartition("dealer_id", "seq")  # numbering leaves all rows in one partition
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
