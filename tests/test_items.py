@@ -258,3 +258,24 @@ def test_bounded_log(spark):
     got = diagnostics.bounded_events(events, ["log"], ["at"]).orderBy("at").collect()
     assert [r["at"] for r in got] == [*range(16), *range(56, 200)] and {r["dropped"] for r in got} == {40}
     assert one(spark, lambda c: diagnostics.bounded_tail(c, 8), "abc\ndefgh\nij", "short") == ["[earlier stderr truncated]\nij", "short"]
+
+
+def test_strict_listings(spark):
+    from gleanery.operators import strict
+
+    page = lambda n, *cars: json.dumps({"page": n, "total_pages": 2, "total": 2, "listings": list(cars)}).replace('"P"', "221995.50")
+    car = lambda k: {"vin": f"1HGCM82633A00435{k}", "stock": f"S{k}", "year": 2020, "make": "Kia", "pricing": {"our_price": "P"}, "extra_fields": {"lightning": {"pricing": {"low": {"value": None}}}}}
+    given = [("good", 0, page(1, car(1))), ("good", 1, page(2, car(2))), ("bad", 0, page(1, car(1))), ("bad", 1, page(2, car(1)))]
+    got, failed = strict.all_or_nothing(strict.listings(spark.createDataFrame(given, "run_id string, page_seq int, payload string")))
+    assert [(r.run_id, r.stockId, r.price, r.title) for r in got.orderBy("page_seq").collect()] == [("good", "S1", "221995.50", "2020 Kia"), ("good", "S2", "221995.50", "2020 Kia")]
+    assert [r.run_id for r in failed.collect()] == ["bad"]
+
+
+def test_joined_posts(spark):
+    from gleanery.operators import strict
+
+    listed = spark.createDataFrame([("a", 1, "v1"), ("a", 2, "V2"), ("b", 3, "V3")], "run_id string, id int, vin string")
+    posts = spark.createDataFrame([(1, "V1", "s1"), (2, "v2", "s2"), (3, "V3", "V3")], "id int, vin string, stock string")
+    media = spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "parent int, rank int, url string")
+    got, failed = strict.joined_posts(listed, posts, media)
+    assert [(r.id, r.stock, r.images) for r in got.orderBy("id").collect()] == [(1, "s1", ["x", "y"]), (2, "s2", [])] and [r.run_id for r in failed.collect()] == ["b"]
