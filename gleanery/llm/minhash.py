@@ -119,8 +119,8 @@ def _compare_with_centre(percent: int):
                     near, far = first[: n - half + 1], first[:0]
                 else:
                     near, far = first[: min(n, most + 1)], first[: n - max(half, n - most) + 1]
-                out.append((a, b, len(m), bool(linked), near, far))
-            yield pd.DataFrame(out, columns=["a", "b", "n", "linked", "with_near", "with_far"])
+                out.append((a, b, len(m), n, bool(linked), near, far))
+            yield pd.DataFrame(out, columns=["a", "b", "n", "d", "linked", "with_near", "with_far"])
 
     return run
 
@@ -183,13 +183,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = members.select("nd_id").union(members.select("centre")).distinct()
     texts = rows.join(ids.hint("merge"), "nd_id").dropDuplicates(["nd_id"])  # one shuffle of the texts, at every size
     sets = materialize(texts.mapInPandas(_sets(shingle_words), "nd_id long, nd_set binary"), "minhash-sets")
-    compared = materialize(_with_sets(spokes, sets).mapInPandas(_compare_with_centre(percent), "a long, b long, n long, linked boolean, with_near array<long>, with_far array<long>"), "minhash-stars")
+    compared = materialize(_with_sets(spokes, sets).mapInPandas(_compare_with_centre(percent), "a long, b long, n long, d long, linked boolean, with_near array<long>, with_far array<long>"), "minhash-stars")
     open_stars = compared.where("not linked").select("a").distinct()
-    part = lambda df, column, side: df.select("a", F.col("b").alias(f"b_{side}"), F.col("n").alias(f"n_{side}"), F.explode(column).alias("element"))
+    part = lambda df, column, side: df.select("a", F.col("b").alias(f"b_{side}"), F.col("n").alias(f"n_{side}"), F.col("d").alias(f"d_{side}"), F.explode(column).alias("element"))
     far, near = compared.where("not linked"), compared.where("linked").join(open_stars, "a", "left_semi")
     crossed = part(far, "with_near", "x").join(part(near, "with_near", "y"), ["a", "element"])
     apart = part(far, "with_far", "x").join(part(far, "with_far", "y"), ["a", "element"]).where("b_x < b_y")
-    pairs = crossed.unionByName(apart).where(close("n_x", "n_y")).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+    near_enough = f"abs(d_x - d_y) * {100 + percent} <= {100 - percent} * (n_x + n_y)"  # as |x ^ y| >= ||D(x)| - |D(y)||
+    pairs = crossed.unionByName(apart).where(close("n_x", "n_y")).where(near_enough).select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
     found = materialize(_with_sets(pairs, sets).mapInPandas(_confirm(percent), "a long, b long"), "minhash-links")
     labels = components(compared.where("linked").select("a", "b").union(found))
 
