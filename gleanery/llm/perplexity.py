@@ -206,21 +206,29 @@ def quality_rules(docs: DataFrame, order: int = 5, width: float = 6.0, least_wor
     sqrt(1 + 200 / words) as the means of short texts scatter more.
 
     Null texts have no words and fail. A null language is a language of its own. Null ids stay null; repeated rows are
-    each returned. Other columns are ignored; an empty table gives none. The model is of ``docs`` unless one is given.
+    each returned. Other columns are ignored; an empty table gives none.
+
+    Unless a model is given, texts are dealt by a hash into two folds, and each is scored under the model of its
+    language's other fold: no text, nor an exact copy of it, is known to the model that scores it. Every text is counted
+    in one model and scored by the other. A text whose language has no other fold is scored as uniformly random bytes.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model or fit(docs, order, lang_col, text_col))  # at most 2 ** SLOT_BITS entries
+    lang = F.coalesce(F.col(lang_col), F.lit(""))
+    fold = F.pmod(F.xxhash64(F.col(text_col)), F.lit(2))
+    model_of = lambda f: F.concat(f.cast("string"), F.lit(":"), lang)
+    fitted = model or fit(docs.select(model_of(1 - fold).alias("r_model"), F.col(text_col).alias("r_text")), order, "r_model", "r_text")
+    shared = spark.sparkContext.broadcast(fitted)  # at most 2 ** SLOT_BITS entries
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             logs = np.zeros(len(rows))
-            for lang, at in rows.reset_index(drop=True).groupby("r_lang").groups.items():
-                logs[at] = log_perplexities(shared.value, lang, rows["r_text"].iloc[at].tolist())
+            for name, at in rows.reset_index(drop=True).groupby("r_model").groups.items():
+                logs[at] = log_perplexities(shared.value, name, rows["r_text"].iloc[at].tolist())
             base = pd.DataFrame([base_statistics(t) for t in rows["r_text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype=np.int64)
             yield pd.concat([rows[["r_id", "r_lang"]].reset_index(drop=True), base, pd.Series(logs, name="log_perplexity")], axis=1)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("r_id"), F.coalesce(F.col(lang_col), F.lit("")).alias("r_lang"), F.col(text_col).alias("r_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("r_id"), lang.alias("r_lang"), (lang if model else model_of(fold)).alias("r_model"), F.col(text_col).alias("r_text"))
     schema = "r_id long, r_lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
     scored = materialize(rows.mapInPandas(run, schema).withColumn("base_failed", failed), "rules")

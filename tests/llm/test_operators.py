@@ -288,6 +288,31 @@ def test_model_is_kneser_ney(spark):
         assert abs(perplexity.log_probabilities(model, "xx", gram(g))[0] - math.log(p(g))) < 1e-4
 
 
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Verdicts on the documents of sf0.01 with shuffled, random and wrong-language texts planted among the English."""
+    docs = collected(queries.read(spark, "/root/testdata/sf0.01", "documents"))
+    clean = {r["doc_id"]: r for r in perplexity.quality_rules(spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in docs], "doc_id long, text string, lang string")).where("kept").collect()}
+    words = lambda lang: " ".join(r["text"] for r in docs if r["lang"] == lang and r["doc_id"] in clean).split()
+    rng, rows = np.random.default_rng(7), []
+    for other in sorted({r["lang"] for r in docs} - {"en", None}):
+        rows += [(f"{other} as en", n, " ".join(words(other)[n : 2 * n])) for n in (60, 150, 500)]
+    for n in (25, 60, 150, 500):
+        text = list(" ".join(words("en")[n : 2 * n]))
+        rng.shuffle(text)
+        rows.append(("shuffled", n, "".join(text)))
+        rows.append(("random", n, " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 10)))) for _ in range(n))))
+    table = [(r["doc_id"], r["text"], r["lang"]) for r in docs] + [(-k, t, "en") for k, (_, _, t) in enumerate(rows, 1)]
+    verdicts = {r["doc_id"]: r for r in collected(perplexity.quality_rules(spark.createDataFrame(table, "doc_id long, text string, lang string")))}
+    return [(*row[:2], verdicts[-k]) for k, row in enumerate(rows, 1)], [r for i, r in verdicts.items() if i > 0 and not r["base_failed"]]
+
+
+def test_planted_garbage_is_rejected(planted):
+    garbage, others = planted
+    wrong = [(kind, n, round(r["log_perplexity"], 2)) for kind, n, r in garbage if r["kept"]]
+    assert not wrong and sum(r["kept"] for r in others) > 0.95 * len(others)
+
+
 # Near-duplicates
 
 
