@@ -3,27 +3,31 @@
 The model is over UTF-8 bytes, a model for each language: an n-gram of up to seven bytes is one exact 64-bit number, its
 context and suffix are a shift and a mask of it, and the table of n-grams is bounded by the alphabet, not by the corpus.
 Every task counts the n-grams of its texts (all texts, whole), Spark adds them up and derives continuation counts,
-discounts and interpolated probabilities with DataFrame operations. Workers get them as two arrays sorted by hash: 24
-bits of a hash of (language, order, n-gram) and the log probability or back-off weight. The hash space bounds the arrays
-whatever the input: at most 2 ** 24 entries; n-grams that share a slot share the mean of their values.
+discounts and interpolated probabilities with DataFrame operations. They are written to the shared folder as files of
+consecutive ranges of keys, sorted: 64 bits that tell (order, n-gram) exactly within a language, and the log probability
+or back-off weight. The table grows with the corpus; workers map its files into memory and look up distinct n-grams, so
+neither the driver nor a worker holds it.
 """
 
 from __future__ import annotations
 
-import zlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, materialize, mix, small_batches, window_hashes, word_hashes, words_of
+from .common import U64, WordHashes, materialize, mix, shared_dir, small_batches, window_hashes, word_hashes, words_of
 
 SYMBOLS = "#*$%&|<>"
-SLOT_BITS = 24
+#: Entries of a model file, of twelve bytes each.
+FILE_ENTRIES = 1 << 20
 #: Bytes whose n-grams are looked up at once.
 CHUNK = 1 << 20
 _seen = WordHashes()
@@ -31,11 +35,10 @@ _seen = WordHashes()
 
 @dataclass(frozen=True)
 class ByteModel:
-    """``slots`` ascending, their ``values`` (log probabilities and log back-off weights), and the ``order``."""
+    """The ``order``, and (first key, path, entries) of the files that hold sorted keys and their values, ascending."""
 
     order: int
-    slots: np.ndarray
-    values: np.ndarray
+    files: tuple[tuple[int, str, int], ...]
 
 
 def padded(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,17 +86,40 @@ def _counts(order: int):
     return run
 
 
-def slot_of(lang: str, kind: int, keys: np.ndarray) -> np.ndarray:
-    """Hash slots of n-grams: ``kind`` is n for probabilities and -n for the back-off weights of contexts of n bytes."""
-    seed = (zlib.crc32(lang.encode("utf-8", "surrogatepass")) << 8 | (kind & 0xFF)) * 0x9E3779B97F4A7C15 & (2**64 - 1)
-    return (mix(mix(keys.astype(U64)) ^ U64(seed)) >> U64(64 - SLOT_BITS)).astype(np.uint32)
+def keys_of(lang: str, kind: int, keys: np.ndarray) -> np.ndarray:
+    """Signed 64-bit keys of n-grams: ``kind`` is n for probabilities and -n for the back-off weights of contexts of n bytes.
+
+    Within a language no two are alike, as n-grams have seven bytes at most and the mixing is one to one.
+    """
+    seed = U64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+    return mix(mix(keys.astype(U64) | U64((kind & 0xFF) << 56)) ^ seed).view(np.int64)
 
 
-def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         for (lang, kind), own in rows.groupby(["lang", "kind"], sort=True):
             keys = own["gram"].to_numpy(np.int64).view(U64)
-            yield pd.DataFrame({"slot": slot_of(lang, int(kind), keys).astype(np.int64), "value": own["value"].to_numpy(float)})
+            yield pd.DataFrame({"key": keys_of(lang, int(kind), keys), "value": own["value"].to_numpy(np.float32)})
+
+
+def _to_files(folder: str):
+    """Writes a task's keys, which are a range of all, to one file; a repeated task writes another and only one counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [(b["key"].to_numpy(np.int64), b["value"].to_numpy(np.float32)) for b in batches if len(b)]
+        if not parts:
+            return
+        keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        place = np.argsort(keys, kind="stable")
+        store, path = FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        name = uuid.uuid4().hex
+        with store.open_output_stream(f"{path}/{name}") as out:
+            out.write(keys[place].tobytes())
+            out.write(values[place].tobytes())
+        yield pd.DataFrame({"first": [keys[place[0]]], "name": [name], "entries": [len(keys)]})
+
+    return run
 
 
 def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
@@ -129,19 +155,44 @@ def fit(docs: DataFrame, order: int = 5, lang_col: str = "lang", text_col: str =
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lm_lang"), F.col(text_col).alias("lm_text"))
     counts = rows.mapInPandas(_counts(order), "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     model = kneser_ney(materialize(counts, "gram-counts"), order)
-    slots = model.mapInPandas(_slots, "slot long, value double").groupBy("slot").agg(F.avg("value").cast("float").alias("value"))
-    got = slots.select(F.col("slot").cast("int"), "value").toArrow()  # at most 2 ** SLOT_BITS rows of eight bytes
-    slot, value = got["slot"].to_numpy().astype(np.uint32), got["value"].to_numpy().astype(np.float32)
-    place = np.argsort(slot, kind="stable")
-    return ByteModel(order, slot[place], value[place])
+    keyed = materialize(model.mapInPandas(_keyed, "key long, value float"), "model-entries")
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/model-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    ranges = keyed.repartitionByRange(-(-keyed.count() // FILE_ENTRIES) or 1, "key")
+    files = ranges.mapInPandas(_to_files(folder), "first long, name string, entries long").collect()  # a row a file
+    return ByteModel(order, tuple(sorted((f["first"], f"{folder}/{f['name']}", f["entries"]) for f in files)))
+
+
+def _read(path: str, entries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values of a model file: mapped where the folder is mounted, else read."""
+    store, at = FileSystem.from_uri(path)
+    if isinstance(store, LocalFileSystem):
+        return np.memmap(at, np.int64, "r", 0, (entries,)), np.memmap(at, np.float32, "r", 8 * entries, (entries,))
+    with store.open_input_stream(at) as data:
+        whole = data.read()
+    return np.frombuffer(whole, np.int64, entries), np.frombuffer(whole, np.float32, entries, 8 * entries)
+
+
+#: A worker keeps some files open; read ones hold 12 MB each.
+_opened = lru_cache(maxsize=16)(_read)
 
 
 def _found(model: ByteModel, lang: str, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(model.slots):
-        return np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
-    h = slot_of(lang, kind, keys)
-    at = np.minimum(np.searchsorted(model.slots, h), len(model.slots) - 1)
-    return model.values[at], model.slots[at] == h
+    value, known = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+    if not model.files or not len(keys):
+        return value, known
+    h = keys_of(lang, kind, keys)
+    place = np.argsort(h)
+    h = h[place]
+    edges = np.append(np.searchsorted(h, np.array([f[0] for f in model.files], np.int64)), len(h))
+    for (_, path, entries), start, end in zip(model.files, edges[:-1], edges[1:], strict=True):
+        if start < end:
+            all_keys, values = _opened(path, entries)
+            at = np.minimum(np.searchsorted(all_keys, h[start:end]), entries - 1)
+            value[place[start:end]], known[place[start:end]] = values[at], all_keys[at] == h[start:end]
+    return value, known
 
 
 def log_probabilities(model: ByteModel, lang: str, keys: np.ndarray) -> np.ndarray:
@@ -218,13 +269,12 @@ def quality_rules(docs: DataFrame, order: int = 5, width: float = 6.0, least_wor
     fold = F.pmod(F.xxhash64(F.col(text_col)), F.lit(2))
     model_of = lambda f: F.concat(f.cast("string"), F.lit(":"), lang)
     fitted = model or fit(docs.select(model_of(1 - fold).alias("r_model"), F.col(text_col).alias("r_text")), order, "r_model", "r_text")
-    shared = spark.sparkContext.broadcast(fitted)  # at most 2 ** SLOT_BITS entries
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             logs = np.zeros(len(rows))
             for name, at in rows.reset_index(drop=True).groupby("r_model").groups.items():
-                logs[at] = log_perplexities(shared.value, name, rows["r_text"].iloc[at].tolist())
+                logs[at] = log_perplexities(fitted, name, rows["r_text"].iloc[at].tolist())
             base = pd.DataFrame([base_statistics(t) for t in rows["r_text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype=np.int64)
             yield pd.concat([rows[["r_id", "r_lang"]].reset_index(drop=True), base, pd.Series(logs, name="log_perplexity")], axis=1)
 

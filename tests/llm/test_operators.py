@@ -288,6 +288,20 @@ def test_model_is_kneser_ney(spark):
         assert abs(perplexity.log_probabilities(model, "xx", gram(g))[0] - math.log(p(g))) < 1e-4
 
 
+def test_model_holds_every_gram_apart(spark):
+    docs = queries.read(spark, "/root/testdata/sf0.01", "documents")
+    model = perplexity.fit(docs)
+    unseen = np.random.default_rng(3).integers(0xF8, 0x100, (200_000, 5)).astype(np.uint64)  # bytes that no UTF-8 text has
+    unseen = np.unique(sum(unseen[:, j] << np.uint64(8 * j) for j in range(5)))
+    assert not any(perplexity._found(model, lang, kind, unseen)[1].any() for lang in ("en", "de") for kind in (5, -4))
+    of_all = collections.defaultdict(set)
+    for r in docs.collect():
+        data = b"\0" * 4 + (r["text"] or "").encode()
+        of_all[r["lang"] or ""].update(data[i : i + 5] for i in range(len(data) - 4))
+    for lang, seen in of_all.items():
+        assert perplexity._found(model, lang, 5, np.array([int.from_bytes(g, "big") for g in seen], np.uint64))[1].all()
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     """Verdicts on the documents of sf0.01 with shuffled, random and wrong-language texts planted among the English."""
