@@ -4,9 +4,9 @@ Texts are tokenised and cut where Spark reads them; only (id, length) rows trave
 groups of a bounded number of pieces, each group is packed alone, and a group wastes about one bin among thousands, so
 the work is linear in the input and no task sees more than its group.
 
-Within a group: best-fit decreasing, then local search over the bins that are not full. A move, a one-for-one exchange
-or a two-for-one exchange is made when it raises the sum of squared fills (fuller bins get fuller, emptier ones
-emptier) and fits; bins that run empty are dropped.
+Within a group: best-fit decreasing, then local search over the bins that are not full. A move or an exchange of up to
+two pieces for up to two is made when it raises the sum of squared fills (fuller bins get fuller, emptier ones emptier)
+and fits, until none does; bins that run empty are dropped.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import json
 import zlib
 from array import array
 from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -133,60 +134,75 @@ def best_fit_decreasing(lengths: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int, rounds: int = 3, beside: int = 24) -> list[list[int]]:
-    """Moves, one-for-one and two-for-one exchanges among underfull bins while they raise the sum of squared fills.
+def local_search(bins: list[list[int]], lengths: np.ndarray, limit: int) -> list[list[int]]:
+    """Moves and exchanges of up to two pieces for up to two, any underfull bin with any other, until none raises squared fill.
 
-    Each underfull bin, emptiest first, gives to up to ``beside`` fuller bins near it in order of room. A change takes
-    more tokens into the fuller bin than it gives back, so squared fill rises and the search ends; at most ``rounds``
-    passes are made. Bins that run empty are dropped.
+    Underfull bins are indexed by the sums of up to two of their pieces and by room. Each bin, emptiest first, gives what
+    raises squared fill most, as long as anything does; passes end when one makes no change. Each change raises squared
+    fill, so the search ends. Bins that run empty are dropped.
     """
     size = lengths.tolist()
+    bins = [list(b) for b in bins]
     fill = [sum(size[i] for i in b) for b in bins]
-
-    def exchange(small: int, big: int) -> bool:
-        """The change that brings most into ``big`` from ``small``; what it may give back is shorter."""
-        free = limit - fill[big]
-        best, change = 0, None
-        mine, theirs = bins[small], bins[big]
-        for x in mine:
-            if best < size[x] <= free:  # a move
-                best, change = size[x], ([x], [])
-        for x in mine:  # one for one
-            for y in theirs:
-                if best < size[x] - size[y] <= free:
-                    best, change = size[x] - size[y], ([x], [y])
-        if best < free and len(mine) > 1:  # two for one
-            for p, x in enumerate(mine):
-                for z in mine[p + 1 :]:
-                    for y in theirs:
-                        if best < size[x] + size[z] - size[y] <= free:
-                            best, change = size[x] + size[z] - size[y], ([x, z], [y])
-        if best < free and len(theirs) > 1:  # one for two
-            for x in mine:
-                for p, y in enumerate(theirs):
-                    for w in theirs[p + 1 :]:
-                        if best < size[x] - size[y] - size[w] <= free:
-                            best, change = size[x] - size[y] - size[w], ([x], [y, w])
-        if change is None:
-            return False
-        give, take = change
-        bins[small] = [i for i in mine if i not in give] + take
-        bins[big] = [i for i in theirs if i not in take] + give
-        fill[small] -= best
-        fill[big] += best
-        return True
-
-    for _ in range(rounds):
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < limit), key=lambda b: fill[b])
-        changed = False
-        for p, small in enumerate(under):
-            for big in reversed(under[p + 1 :][-beside:]):
-                while fill[small] and fill[small] <= fill[big] < limit and exchange(small, big):
-                    changed = True
-                if not fill[small]:
+    sums: list[dict[int, tuple[int, ...]]] = [{} for _ in bins]  # of none, one or two pieces: which
+    holders: list[list[tuple[int, int]]] = [[] for _ in range(limit)]  # of a sum: (room, bin), ascending
+    reach = np.full(limit, -1)  # a sum and the most room beside it: the largest sum that can replace it
+
+    def enter(b: int) -> None:
+        if not 0 < fill[b] < limit:
+            return
+        alike = defaultdict(list)
+        for i in bins[b]:
+            alike[size[i]].append(i)
+        few = [i for same in alike.values() for i in same[:2]]
+        sums[b] = {0: ()}
+        for x in few:
+            sums[b][size[x]] = (x,)
+        for p, x in enumerate(few):
+            for z in few[p + 1 :]:
+                sums[b].setdefault(size[x] + size[z], (x, z))
+        for y in sums[b]:
+            insort(holders[y], (limit - fill[b], b))
+            reach[y] = y + holders[y][-1][0]
+
+    def leave(b: int) -> None:
+        for y in sums[b]:
+            del holders[y][bisect_left(holders[y], (limit - fill[b], b))]
+            reach[y] = y + holders[y][-1][0] if holders[y] else -1
+        sums[b] = {}
+
+    def best_change(small: int) -> tuple[int, int, int] | None:
+        """What ``small`` gives, the bin that takes it, and what that one gives back, as sums."""
+        most, change, room = 0, None, limit - fill[small]
+        for x in sums[small]:
+            for y in np.flatnonzero(reach[:x] >= x).tolist():
+                more = x - y
+                if more * room <= most:  # not even into a bin that it fills
                     break
-        if not changed:
-            break
+                at = bisect_left(holders[y], (more, -1))  # the fullest that takes it
+                at += at < len(holders[y]) and holders[y][at][1] == small
+                if at < len(holders[y]) and more * (room - holders[y][at][0] + more) > most:
+                    most, change = more * (room - holders[y][at][0] + more), (x, holders[y][at][1], y)
+        return change
+
+    for b in range(len(bins)):
+        enter(b)
+    changed = True
+    while changed:
+        changed = False
+        for small in sorted((b for b in range(len(bins)) if 0 < fill[b] < limit), key=lambda b: fill[b]):
+            while change := best_change(small):
+                x, big, y = change
+                give, take = sums[small][x], sums[big][y]
+                leave(small)
+                leave(big)
+                bins[small] = [i for i in bins[small] if i not in give] + [*take]
+                bins[big] = [i for i in bins[big] if i not in take] + [*give]
+                fill[small] -= x - y
+                fill[big] += x - y
+                enter(small)
+                enter(big)
+                changed = True
     return [b for b in bins if b]
 
 

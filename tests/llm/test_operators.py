@@ -98,6 +98,15 @@ def test_local_search_empties_bins():
     assert packing.cut(1024, 1024) == [(0, 1024)] and packing.cut(2049, 1024) == [(0, 1), (1, 1024), (1025, 1024)]
 
 
+def test_local_search_packs_middle_sizes_tighter():
+    lengths = np.random.default_rng(1).integers(250, 601, 3000)
+    first = packing.best_fit_decreasing(lengths, 1024)
+    out = packing.local_search(first, lengths, 1024)
+    assert sorted(i for b in out for i in b) == list(range(3000)) and all(lengths[b].sum() <= 1024 for b in out)
+    assert len(out) < 0.98 * len(first) and len(out) >= lengths.sum() / 1024
+    assert len(packing.local_search(out, lengths, 1024)) == len(out)
+
+
 # Classifiers
 
 
