@@ -389,7 +389,36 @@ def test_near_duplicates_edge_cases(spark, odd, none):
     assert [by[i]["n_shingles"] for i in (3, 4, 6, 7)] == [0, 0, 0, 1] and all(by[i]["component_id"] == i for i in (3, 4, 6, 7))
     assert minhash.near_duplicates(none).count() == 0
     kept = collected(minhash.keep_one_of_each_group(odd, shingle_words=2))
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1, 3, 4, 5, 6, 7, 9] and sum(r["doc_id"] is None for r in kept) == 2
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"]) == [1, 3, 4, 5, 6, 7, 9]
+    assert [r["text"] for r in kept if r["doc_id"] is None] == ["no id here"]  # the other one is a copy of 1
+    assert [c for c in minhash.keep_one_of_each_group(odd).columns] == odd.columns
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    words = lambda stem, n=45: [f"{stem}{i}" for i in range(n)]
+    edited = lambda w: " ".join([*w[:-1], "edit"])
+    one, two, three = words("a"), words("b"), words("c")
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (6, edited(one)), (7, edited(two)), (None, " ".join(three)), (None, edited(three)), (None, " ".join(one)), (8, None), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in collected(minhash.near_duplicates(df, shingle_words=2)))
+    assert got == {(5, 5, True): 2, (6, 5, False): 1, (7, 5, False): 1, (None, None, True): 4, (None, 5, False): 1, (8, 8, True): 1}
+    kept = collections.Counter(r["doc_id"] for r in collected(minhash.keep_one_of_each_group(df, shingle_words=2)))
+    assert kept == {5: 1, None: 3, 8: 1}
+
+
+def test_near_duplicates_of_groups_within_groups(spark, monkeypatch):
+    """Small blocks and few spokes a copy: groups are settled by stars of stars, whose centres are copied."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SPOKES", 50)
+    rng = np.random.default_rng(5)
+    docs = []
+    for i in range(420):
+        w = [f"w{j}" for j in range(60)]
+        for j in rng.choice(60, rng.integers(0, 13), replace=False):
+            w[j] = f"e{rng.integers(0, 6)}"
+        docs.append((i, " ".join([*w, "same end"] if i else w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in collected(minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle_words=2))}
+    assert got == brute_components(docs, 2, 80)
 
 
 def test_components_of_a_chain(spark):
