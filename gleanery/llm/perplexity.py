@@ -18,10 +18,12 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, WordHashes, materialize, mix, shared_dir, small_batches, window_hashes, word_hashes, words_of
 
@@ -30,6 +32,10 @@ SYMBOLS = "#*$%&|<>"
 FILE_ENTRIES = 1 << 20
 #: Bytes whose n-grams are looked up at once.
 CHUNK = 1 << 20
+#: Robust deviations of a band to either side, and the words at which a band is wider by the square root of two.
+WIDTH, SHORT = 6.0, 200.0
+#: Languages up to which their bands and discounts are broadcast; beyond it, they are joined by shuffle.
+BROADCAST_LANGUAGES = 10_000
 _seen = WordHashes()
 
 
@@ -124,6 +130,7 @@ def _to_files(folder: str):
 
 def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     """``lang, kind, gram, value`` of the interpolated model from highest-order counts ``lang, gram, c``."""
+    few = counts.select("lang").distinct().count() <= BROADCAST_LANGUAGES
     tables = {order: counts}
     for n in range(order - 1, 0, -1):  # continuation counts: the distinct bytes before
         tables[n] = materialize(tables[n + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("gram")).agg(F.count("*").alias("c")), f"grams-{n}")
@@ -134,7 +141,7 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
         y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
         discount = lambda k: F.greatest(F.lit(0.05), F.least(F.lit(k * 0.95), F.coalesce(k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0)), F.lit(k * 0.5)))).alias(f"d{k}")  # noqa: B023, E731
         discounts = t.groupBy("lang").agg(*many).select("lang", discount(1), discount(2), discount(3))
-        own = t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), *[F.count(F.when(F.col("c") == k, 1)).alias(f"m{k}") for k in (1, 2)], F.count(F.when(F.col("c") > 2, 1)).alias("m3")).join(discounts, "lang")
+        own = t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), *[F.count(F.when(F.col("c") == k, 1)).alias(f"m{k}") for k in (1, 2)], F.count(F.when(F.col("c") > 2, 1)).alias("m3")).join(F.broadcast(discounts) if few else discounts, "lang")
         own = own.withColumn("gamma", (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total"))
         p = t.join(own, ["lang", "ctx"])
         seen = (F.col("c") - F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
@@ -248,7 +255,39 @@ def base_statistics(text: str | None, window: int = 8) -> tuple[int, int, int, i
     return len(words), len(text) - blank, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat
 
 
-def quality_rules(docs: DataFrame, order: int = 5, width: float = 6.0, least_words: int = 20, most_repeat_percent: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: ByteModel | None = None) -> DataFrame:
+def _judged(docs: DataFrame, carried: list[str], order: int, width: float, least_words: int, most_repeat_percent: int, text_col: str, lang_col: str, model: ByteModel | None) -> DataFrame:
+    """``r_row`` (the ``carried`` columns of a row of ``docs``), its statistics, ``base_failed``, ``kept`` and ``log_perplexity``."""
+    small_batches(docs.sparkSession)
+    lang = F.coalesce(F.col(lang_col), F.lit(""))
+    fold = F.pmod(F.xxhash64(F.col(text_col)), F.lit(2))
+    model_of = lambda f: F.concat(f.cast("string"), F.lit(":"), lang)
+    fitted = model or fit(docs.select(model_of(1 - fold).alias("r_model"), F.col(text_col).alias("r_text")), order, "r_model", "r_text")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts, logs = rows.column("r_text").to_pylist(), np.zeros(len(rows))
+            models = np.array(rows.column("r_model").to_pylist(), object)
+            for name in sorted(set(models)):
+                at = np.flatnonzero(models == name)
+                logs[at] = log_perplexities(fitted, name, [texts[i] for i in at])
+            base = np.array([base_statistics(t) for t in texts], np.int64).reshape(-1, len(counts))
+            yield pa.RecordBatch.from_arrays([rows.column("r_row"), rows.column("r_lang"), *(pa.array(base[:, k]) for k in range(len(counts))), pa.array(logs)], names=["r_row", "r_lang", *counts, "log_perplexity"])
+
+    rows = docs.select(F.struct(*carried).alias("r_row"), lang.alias("r_lang"), (lang if model else model_of(fold)).alias("r_model"), F.col(text_col).alias("r_text"))
+    schema = T.StructType([*rows.select("r_row", "r_lang").schema, *(T.StructField(c, T.LongType()) for c in counts), T.StructField("log_perplexity", T.DoubleType())])
+    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
+    scored = materialize(rows.mapInArrow(run, schema).withColumn("base_failed", failed), "rules")
+    q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000)
+    bands = scored.where("not base_failed").groupBy("r_lang").agg(q.alias("q")).select("r_lang", F.col("q")[1].alias("mid"), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(0.03)).alias("spread"))
+    bands = materialize(bands, "bands")
+    inside = F.abs(F.col("log_perplexity") - F.col("mid")) <= width * F.col("spread") * F.sqrt(1 + F.lit(SHORT) / F.col("n_words"))
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
+    few = F.broadcast(bands) if bands.count() <= BROADCAST_LANGUAGES else bands
+    return scored.join(few, "r_lang", "left").select("r_row", *counts, "base_failed", kept.alias("kept"), "log_perplexity")
+
+
+def quality_rules(docs: DataFrame, order: int = 5, width: float = WIDTH, least_words: int = 20, most_repeat_percent: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: ByteModel | None = None) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` and ``log_perplexity``.
 
     ``base_failed``: fewer than ``least_words`` words, or over ``most_repeat_percent`` of them in repeated windows of
@@ -263,27 +302,10 @@ def quality_rules(docs: DataFrame, order: int = 5, width: float = 6.0, least_wor
     language's other fold: no text, nor an exact copy of it, is known to the model that scores it. Every text is counted
     in one model and scored by the other. A text whose language has no other fold is scored as uniformly random bytes.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    lang = F.coalesce(F.col(lang_col), F.lit(""))
-    fold = F.pmod(F.xxhash64(F.col(text_col)), F.lit(2))
-    model_of = lambda f: F.concat(f.cast("string"), F.lit(":"), lang)
-    fitted = model or fit(docs.select(model_of(1 - fold).alias("r_model"), F.col(text_col).alias("r_text")), order, "r_model", "r_text")
+    rows = docs.select(F.col(id_col).cast("long").alias("r_id"), F.col(text_col).alias("r_text"), F.col(lang_col).alias("r_lang"))
+    return _judged(rows, ["r_id"], order, width, least_words, most_repeat_percent, "r_text", "r_lang", model).select(F.col("r_row.r_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            logs = np.zeros(len(rows))
-            for name, at in rows.reset_index(drop=True).groupby("r_model").groups.items():
-                logs[at] = log_perplexities(fitted, name, rows["r_text"].iloc[at].tolist())
-            base = pd.DataFrame([base_statistics(t) for t in rows["r_text"]], columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"], dtype=np.int64)
-            yield pd.concat([rows[["r_id", "r_lang"]].reset_index(drop=True), base, pd.Series(logs, name="log_perplexity")], axis=1)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("r_id"), lang.alias("r_lang"), (lang if model else model_of(fold)).alias("r_model"), F.col(text_col).alias("r_text"))
-    schema = "r_id long, r_lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
-    scored = materialize(rows.mapInPandas(run, schema).withColumn("base_failed", failed), "rules")
-    q = F.percentile_approx("log_perplexity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000)
-    bands = scored.where("not base_failed").groupBy("r_lang").agg(q.alias("q")).select("r_lang", F.col("q")[1].alias("mid"), F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(0.03)).alias("spread"))
-    inside = F.abs(F.col("log_perplexity") - F.col("mid")) <= width * F.col("spread") * F.sqrt(1 + F.lit(200.0) / F.col("n_words"))
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return scored.join(bands, "r_lang", "left").select(F.col("r_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_perplexity")
+
+def drop_poor(docs: DataFrame, order: int = 5, width: float = WIDTH, least_words: int = 20, most_repeat_percent: int = 30, text_col: str = "text", lang_col: str = "lang", model: ByteModel | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, each judged by itself, whatever its id."""
+    return _judged(docs, docs.columns, order, width, least_words, most_repeat_percent, text_col, lang_col, model).where("kept").select("r_row.*")

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +155,21 @@ def score(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("tx_id"), F.col(text_col).alias("tx_text")).mapInPandas(run, "doc_id long, score double")
 
 
+def without_label(docs: DataFrame, model: NgramModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score under ``threshold``: each row by its own text, in place."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits floats, whatever the input
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for rows in batches:
+            z = np.array([m.bias + float(m.weights[ngram_buckets(t, m.options)].sum()) for t in rows.column(at).to_pylist()], float)
+            yield rows.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, sample_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``tr_id, tr_text, tr_label`` of at most ``sample_rows`` labelled ids of each class, written.
 
@@ -175,7 +191,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, options
     labels or one class only: every score is that class's smoothed share. Empty tables give no rows. Other columns of
     either table, whatever their names, are not read. ``text_source`` gives the texts of the labelled ids, if not docs.
     """
-    rows = training_rows(text_source or docs, labels, "toxic", 4, 2, options.sample_rows)
-    model = fit(rows, "tr_text", "tr_label", options)
+    model = fitted(text_source or docs, labels, options)
     held = F.coalesce(F.pmod(crc32_text("doc_id"), F.lit(4)) == 2, F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, options: NgramOptions = NgramOptions()) -> NgramModel:
+    """The model of ``labels.toxic`` outside fold 2 of 4."""
+    return fit(training_rows(docs, labels, "toxic", 4, 2, options.sample_rows), "tr_text", "tr_label", options)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, options: NgramOptions = NgramOptions()) -> DataFrame:
+    """The rows of ``docs`` that ``toxicity`` predicts 0 for, each judged by its own text, whatever its id."""
+    return without_label(docs, fitted(docs, labels, options), threshold)
