@@ -6,7 +6,6 @@ Each stage reads what its predecessor wrote, works on all of it, and all but the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gleanery.llm import minhash, mixing, packing, perplexity, toxicity
 from gleanery.llm.common import materialize
@@ -14,21 +13,14 @@ from gleanery.llm.common import materialize
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``kept``. Rows without an id go together: they stay if one of them is kept."""
-    ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
-    scored = toxicity.toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, scored.where("predicted = 0"))
+    """Documents that the toxicity classifier rejects go, each row by its own text."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the quality rules or their language's perplexity band go."""
-    return _only(docs, perplexity.quality_rules(docs).where("kept"))
+    """Documents that fail the quality rules or their language's perplexity band go, each row by its own text."""
+    return perplexity.drop_poor(docs).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
