@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ITEMS_SQL = """
-SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax) AS seq,
+SELECT {place} AS seq,
   CAST(l_suppkey AS STRING) AS dealer_id,
   'https://www.Dealer' || CAST(l_suppkey AS STRING) || '.example/inventory/' AS source_url,
   CASE WHEN l_orderkey % 4 = 0 THEN '' WHEN l_orderkey % 4 = 1 THEN ' Stock #  p' || CAST(l_partkey AS STRING) || ' '
@@ -26,7 +26,10 @@ SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppke
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
 """
 
-ITEMS_ORACLE = ITEMS_SQL.replace("{", "").replace("}", "")
+#: What numbers the rows, and how many order keys a run of numbers covers.
+ORDER, RUN_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax", 4096
+
+ITEMS_ORACLE = ITEMS_SQL.replace("{place}", f"row_number() OVER (ORDER BY {ORDER})").replace("{", "").replace("}", "")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item rows as sites publish them. ``seq`` numbers them globally, which only this sample needs."""
-    rows = spark.sql(ITEMS_SQL, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
-    return rows.repartition("dealer_id", "seq")  # numbering leaves all rows in one partition
+    """Item rows as sites publish them. ``seq`` numbers them globally: within runs of order keys, after the counts of the
+    runs before, which are a row for each run."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("run", F.expr(f"l_orderkey div {RUN_KEYS}"))
+    counts = lines.groupBy("run").agg(F.count("*").alias("rows"))
+    before = counts.select("run", F.coalesce(F.sum("rows").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    numbered = lines.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy(*ORDER.split(", ")))).join(before, "run")
+    return spark.sql(ITEMS_SQL.replace("{place}", "before + place"), lineitem=numbered, part=table(spark, sf_dir, "part"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
