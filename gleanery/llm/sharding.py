@@ -18,15 +18,16 @@ from .mixing import hash_number
 BITS = 52
 
 
-def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 29, bucket_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 29, bucket_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """``doc_id, source, size, text_crc32, shard, slot`` of every row; shard counts differ by one at most.
 
     ``size`` is the text's UTF-8 bytes plus one (a null text has none), ``slot`` counts from 0 without gaps in a shard.
     A null source is a source of its own, a null id hashes as empty. Equal rows are interchangeable. Other columns are
-    ignored; an empty table gives none.
+    ignored; an empty table gives none. ``row_col``, a number of each row, is returned too if it is named.
     """
+    own = [row_col] if row_col else []
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *own)
     rows = materialize(rows.withColumn("u", hash_number(F.lit(seed), F.col("doc_id"), F.col("text_crc32"))), "shard-rows")
     total = rows.count()
     bits = max(0, (max(1, total) // bucket_rows).bit_length())
@@ -38,7 +39,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 29, bucket_rows: i
     phase = (hash_number(F.lit(f"{seed} phase"), F.col("strat")) + F.lit(0.5)) / F.lit(float(2**BITS))
     part = (F.col("before") + F.col("place") - 1 + phase) / F.col("n")
     ranked = keyed.withColumn("place", place).join(starts, ["strat", "bucket"]).withColumn("part", part)
-    ranked = materialize(ranked.select("doc_id", "source", "size", "text_crc32", "strat", "u", "part", F.floor(F.col("part") * F.lit(float(1 << bits))).cast("long").alias("cell")), "shard-ranks")
+    ranked = materialize(ranked.select("doc_id", "source", "size", "text_crc32", *own, "strat", "u", "part", F.floor(F.col("part") * F.lit(float(1 << bits))).cast("long").alias("cell")), "shard-ranks")
     cells = ranked.groupBy("cell").agg(F.count("*").alias("c"))
     # A cell table has a row for every bucket_rows rows of input.
     before = cells.select("cell", F.coalesce(F.sum("c").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -46,11 +47,16 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 29, bucket_rows: i
     at = ranked.withColumn("place", place).join(before, "cell").withColumn("at", (F.col("before") + F.col("place") - 1).cast("long"))
     shard = F.expr(f"(at * {shards}) div {max(1, total)}")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")  # the shard's first place
-    return at.withColumn("shard", shard.cast("int")).select("doc_id", "source", "size", "text_crc32", "shard", (F.col("at") - first).cast("long").alias("slot"))
+    return at.withColumn("shard", shard.cast("int")).select("doc_id", "source", "size", "text_crc32", *own, "shard", (F.col("at") - first).cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", **options) -> None:
-    """Writes the rows of ``docs`` into ``path/shard=N`` in slot order. Ids must be unique and not null here."""
-    placed = shard_rows(docs, shards, id_col=id_col, **options).select(F.col("doc_id").alias("sh_id"), "shard", "slot")
-    rows = docs.drop("shard", "slot").join(placed, docs[id_col] == placed["sh_id"]).drop("sh_id")
+def write_shards(docs: DataFrame, path: str, shards: int = 16, **options) -> None:
+    """Writes the rows of ``docs`` into ``path/shard=N`` in slot order; each row goes where it was placed, whatever its id.
+
+    Columns ``shard``, ``slot`` and ``sh_row`` of ``docs`` are replaced.
+    """
+    rows = docs.drop("shard", "slot", "sh_row").withColumn("sh_row", F.monotonically_increasing_id())
+    rows = materialize(rows, "shard-input")  # so that a row has one number in both uses
+    placed = shard_rows(rows, shards, row_col="sh_row", **options).select("sh_row", "shard", "slot")
+    rows = rows.join(placed, "sh_row").drop("sh_row")
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -459,6 +459,13 @@ def test_written_shards(spark, tmp_path):
     assert [r["count"] for r in collected(spark.read.parquet(f"file://{tmp_path}/out").groupBy("shard").count())] == [10] * 4
 
 
+def test_written_shards_keep_every_row(spark, odd, tmp_path):
+    sharding.write_shards(odd, f"file://{tmp_path}/out", shards=4, bucket_rows=3)
+    got = spark.read.parquet(f"file://{tmp_path}/out")
+    rows = lambda df: collections.Counter((r["doc_id"], r["text"], r["source"]) for r in collected(df))
+    assert rows(got) == rows(odd) and [r["count"] for r in collected(got.groupBy("shard").count())] == [3] * 4
+
+
 def test_mix_rates(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 15_000, "big").otherwise("small").alias("source"))
     out = mixing.mix_sources(docs, weights={"big": 0.25, "small": 0.75}, total=12_000)
