@@ -61,3 +61,22 @@ def test_packed(steps):
     packed_ok([r.asDict() for r in steps["packing"]])
     copies = collections.Counter(r.doc_id for r in steps["mixing"])
     assert collections.Counter(r.doc_id for r in steps["packing"] if r.piece == 0) == copies
+
+
+def test_stages_of_odd_rows(spark, sf):
+    """Nulls, empty and long texts, repeated and missing ids, ties, clashing columns and an empty table, stage by stage."""
+    plain = spark.read.parquet(f"{sf}/documents.parquet")
+    good = next(r.text for r in plain.orderBy("doc_id").collect() if 40 < brute_rules(r.text)[0] < 400 and 100 * brute_rules(r.text)[4] <= 30 * brute_rules(r.text)[0])
+    odd = [(None, good, "en", "a", 1), (None, good, "en", "a", 1), (None, "x y", "en", "a", 1), (7001, good, None, None, None), (7001, "too short", "en", "a", 1), (7002, None, "en", "b", 0), (7003, "", "en", "b", 0), (7004, "word " * 30_000, "en", "b", 0)]
+    docs = plain.unionByName(spark.createDataFrame(odd, plain.schema)).selectExpr("*", "1 as score", "2 as nd_row", "'x' as r_row", "0 as kept")
+    calm = cp.drop_toxic(spark, docs, sf)
+    kept = cp.drop_poor(spark, docs, sf).collect()
+    assert calm.columns == cp.COLUMNS and calm.where("doc_id = 7002 or doc_id is null").count() >= 1
+    assert all(brute_rules(r.text)[0] >= 20 and 100 * brute_rules(r.text)[4] <= 30 * brute_rules(r.text)[0] for r in kept)
+    few = docs.where("doc_id is null or doc_id >= 7001")
+    one = cp.drop_near_duplicates(spark, few, sf).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in one) == [(0, "x y"), (7001, good[:9]), (7002, ""), (7003, ""), (7004, "word word")]
+    mixed = cp.mix(spark, few, sf)
+    packed_ok([r.asDict() for r in cp.pack(spark, mixed, sf).collect()])
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
