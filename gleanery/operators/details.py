@@ -12,43 +12,122 @@ from pyspark.sql import functions as F
 from ..functions import html as tree
 from .extract import image_of, vin_of
 
-# Labels by field, in order of trust, and where pages keep label/value pairs.
+# Labels by field, in order of trust; labels of numbers; body types; classes of named title/value blocks.
 LABELS = {
-    "vin": ("vin", "vehicle identification number"), "stockId": ("stock", "stock number", "stock #"), "engine": ("engine", "engine type", "engine description"), "transmission": ("transmission", "trans"),
-    "transmissionType": ("transmission type",), "driveType": ("drivetrain", "drive train", "drive type", "drive line", "driveline"), "fuelType": ("fuel type", "fuel"), "color": ("exterior color", "ext color", "color", "exterior"),
-    "bodyType": ("body type", "body style", "body"), "cylinders": ("cylinders", "cylinder"), "horsepower": ("horsepower",), "torque": ("torque",), "mileage": ("mileage", "miles", "odometer"), "cityMPG": ("city mpg", "mpg city"),
-    "highwayMPG": ("highway mpg", "mpg highway", "hwy mpg"), "fuelEconomy": ("fuel economy", "combined mpg"), "fuelCapacity": ("fuel capacity", "fuel tank capacity"), "passengerCapacity": ("passenger capacity", "seating capacity", "passengers"),
+    "make": ("make",), "model": ("model",), "year": ("year",), "color": ("exterior color", "ext color"), "mileage": ("mileage", "miles", "odometer"),
+    "engine": ("engine", "engine type", "engine description"), "cylinders": ("cylinders", "cylinder"), "horsepower": ("horsepower", "hp"), "torque": ("torque",),
+    "transmission": ("transmission",), "transmissionType": ("transmission type",), "driveType": ("drivetrain", "drive train", "drive type", "drive"),
+    "fuelType": ("fuel type", "fuel"), "fuelCapacity": ("fuel capacity", "fuel tank capacity"), "fuelEconomy": ("fuel economy", "combined mpg", "mpg"),
+    "cityMPG": ("city mpg", "city"), "highwayMPG": ("highway mpg", "hwy mpg", "hwy", "highway"), "bodyType": ("body type", "body style", "body", "style"),
+    "style": ("style", "trim"), "seatInfo": ("seat info", "seats", "seating"), "passengerCapacity": ("passengers", "passenger capacity", "seating capacity"),
+    "tireInfo": ("tire", "tires"), "frontTire": ("front tire",), "rearTire": ("rear tire",), "wheelInfo": ("wheel", "wheels"), "frontWheel": ("front wheel",), "rearWheel": ("rear wheel",),
 }
-PAIRS = (("dl", "dt", "dd"), ("tr", "th", "td"), ("li", ".label", ".value"), ("div", ".label", ".value"))
+IDENTITY = {"vin": ("vin",), "stockId": ("stock", "stock number", "stock no", "stock id", "stock #")}
+BODIES = ("SEDAN", "COUPE", "CONVERTIBLE", "HATCHBACK", "WAGON", "SUV", "TRUCK", "VAN", "MINIVAN", "ROADSTER")
+BLOCK_TITLE, BLOCK_VALUE = ".vdp-info-block__info-item-title", ".vdp-info-block__info-item-description"
+NAMED = {"engine": "engine", "transmission": "transmission", "driveType": "drivetrain", "color": "exterior color"}
+DRIVES = (("AWD", "all wheel drive"), ("FWD", "front wheel drive"), ("RWD", "rear wheel drive"), ("4WD", "four wheel drive"))
+KNOWN = {"color", *(x for labels in (*LABELS.values(), *IDENTITY.values()) for x in labels)}
+#: Bytes of a text that may be one label with its value, and of one that may be a bare value.
+MOST_PAIR, MOST_TILE = 160, 80
 LEAST_SIDE = 300
-SCHEMA = "url string, found map<string,string>, images array<string>"
-
-
-def label_of(raw: str) -> str:
-    return re.sub(r"\s+", " ", raw).strip().rstrip(":#").strip().lower()
-
+#: ``found`` fills blanks, ``named`` replaces what an item has.
+SCHEMA = "url string, found map<string,string>, named map<string,string>, images array<string>"
+
+_flags = re.I | re.A
+_MILES = re.compile(r"\b([0-9][0-9,]*)\s*(miles?|mi)\b", _flags)
+_GEARS = re.compile(r"\b([0-9]{1,2}\s*speed|automatic|manual|dual\s+clutch|cvt)\b", _flags)
+_ENGINE = re.compile(r"\b(v[0-9]{1,2}|i[0-9]|[0-9](?:\.[0-9])?\s*l(?:iter)?|[0-9]+\s*cylinders?)\b", _flags)
+_CYLINDERS = re.compile(r"\b([0-9]{1,2}\s*cylinders?)\b", _flags)
+_ECONOMY = re.compile(r"\b([0-9]{1,3}\s*mpg)\b", _flags)
+_CITY = re.compile(r"\b([0-9]{1,3})\s*city\s*mpg\b|\bcity\s*mpg\s*([0-9]{1,3})\b", _flags)
+_HIGHWAY = re.compile(r"\b([0-9]{1,3})\s*(?:hwy|highway)\s*mpg\b|\b(?:hwy|highway)\s*mpg\s*([0-9]{1,3})\b", _flags)
+_COLOR = re.compile(r"\b(?:exterior\s+color|color)\b[:\s]+([a-z0-9][a-z0-9\s\-/]{1,40})", _flags)
+
+
+def clean(raw: str) -> str:
+    return " ".join(raw.split())
+
+
+def known_label(raw: str) -> str:
+    """A text as a canonical label, '' if it is none."""
+    label = clean(re.sub("[_-]", " ", clean(raw).lower().strip(" :-#")))
+    return label if label in KNOWN else ""
+
+
+def label_and_value(text: str) -> tuple[str, str]:
+    """A text cut after its label: at the first colon, else number sign, else after the fewest words that are a label."""
+    for sign in ":#":
+        before, cut, after = text.partition(sign)
+        if cut and (label := known_label(before)) and (value := clean(after)):
+            return label, value
+    words = text.split()
+    cuts = ((known_label(" ".join(words[:i])), " ".join(words[i:])) for i in range(1, len(words)))
+    return next((c for c in cuts if c[0]), ("", ""))
+
+
+def _following(doc: tree.Node) -> dict[int, tree.Node]:
+    """Each element's next sibling element."""
+    out = {}
+    for parent in (doc, *doc.walk()):
+        inner = [c for c in parent.children if isinstance(c, tree.Node)]
+        out.update({id(a): b for a, b in zip(inner, inner[1:], strict=False)})
+    return out
 
-def pairs(doc: tree.Node) -> dict[str, str]:
-    """Label/value pairs in document order; the first value of a label stays."""
-    out: dict[str, str] = {}
 
-    def put(label: str, value: str) -> None:
-        label, value = label_of(label), re.sub(r"\s+", " ", value).strip()
+def named_blocks(doc: tree.Node, after: dict[int, tree.Node]) -> dict[str, str]:
+    """Pairs of named title and value elements: the element behind a title, else the first value element behind it."""
+    out = {}
+    for title in doc.find(BLOCK_TITLE):
+        label, at = clean(title.text()).lower(), after.get(id(title))
+        value = clean(at.text()) if at else ""
+        while at and not value:
+            value = clean(at.text()) if BLOCK_VALUE[1:] in at.attr("class").split() else ""
+            at = after.get(id(at))
         if label and value:
-            out.setdefault(label, value)
-
-    for box, key, val in PAIRS:
-        for node in doc.find(box):
-            for k, v in zip(node.find(key), node.find(val), strict=False):
-                put(k.text(), v.text())
-    for node in doc.find("li, p, span, div"):
-        if not any(isinstance(c, tree.Node) and c.tag in ("div", "ul", "li", "p") for c in node.children):
-            label, colon, value = node.text().partition(":")
-            if colon and len(label) <= 40 and len(value) <= 120:
-                put(label, value)
+            out[label] = value
     return out
 
 
+def pairs(doc: tree.Node, after: dict[int, tree.Node]) -> dict[str, str]:
+    """Label/value pairs of table rows, definition lists, single texts and neighbouring elements; the last of a label stays."""
+    out = {}
+    for row in doc.find("tr"):
+        if len(cells := row.find("th, td")) > 1:
+            out[clean(cells[0].text()).lower()] = clean(cells[1].text()) or out.get(clean(cells[0].text()).lower(), "")
+    behind = lambda n: clean(after[id(n)].text()) if id(n) in after else ""
+    for term in doc.find("dt"):
+        if value := behind(term):
+            out[clean(term.text()).lower()] = value
+    for node in doc.find("li, div, p, span"):
+        text = clean(node.text())
+        if text and len(text.encode()) <= MOST_PAIR:
+            label, value = label_and_value(text)
+            out[label] = value
+    for node in doc.find("li, div, p, span, strong, b"):
+        if (label := known_label(node.text())) and (value := behind(node)) and not known_label(value):
+            out[label] = value
+    return {k: v for k, v in (out | named_blocks(doc, after)).items() if k and v}
+
+
+def tile(text: str) -> dict[str, str]:
+    """Fields that a short text without a label gives away."""
+    upper, number = text.upper(), lambda m: f"{m[1] or m[2]} MPG" if m else ""
+    out = {
+        "mileage": f"{m[1]} {m[2].lower()}" if (m := _MILES.search(text)) else "",
+        "driveType": text if any(short in upper or words in upper.lower() for short, words in DRIVES) else "",
+        "transmission": text if _GEARS.search(text) else "",
+        "transmissionType": next((kind for kind in ("Automatic", "Manual") if kind.upper() in upper), ""),
+        "engine": text if _ENGINE.search(text) else "",
+        "cylinders": m[1] if (m := _CYLINDERS.search(text)) else "",
+        "fuelEconomy": m[1] if (m := _ECONOMY.search(text)) else "",
+        "cityMPG": number(_CITY.search(text)),
+        "highwayMPG": number(_HIGHWAY.search(text)),
+        "bodyType": text if upper.strip() in BODIES else "",
+    }
+    return {k: v for k, v in out.items() if v}
+
+
 def value_of(found: dict[str, str], labels: tuple[str, ...]) -> str:
     """By label: equal, then starting with it and a colon, then containing it; ties by place in the document."""
     for want in labels:
@@ -58,32 +137,52 @@ def value_of(found: dict[str, str], labels: tuple[str, ...]) -> str:
     return ""
 
 
-def page_details(html: str | None, site: dict) -> tuple[dict[str, str], list[str]]:
+def page_details(html: str | None, site: dict) -> tuple[dict[str, str], dict[str, str], list[str]]:
+    """Fields that fill blanks, fields that replace, and images of a page.
+
+    A bare value comes before a labelled one. ``drive label`` is the labelled drive type alone: it also replaces a drive
+    type that still holds its own label.
+    """
     doc = tree.parse(re.sub(r"(?is)<(script|style|noscript|svg)\b.*?</\1>", "", html or ""))
-    found = pairs(doc)
-    fields = {field: value_of(found, labels) for field, labels in LABELS.items()}
+    after = _following(doc)
+    found = pairs(doc, after)
+    labelled = {field: value_of(found, labels) for field, labels in (LABELS | IDENTITY).items()}
+    labelled["color"] = labelled["color"] or found.get("color", "") or (clean(m[1]) if (m := _COLOR.search(doc.text())) else "")
+    tiles: dict[str, str] = {}
+    for node in doc.find("li, div, p, span"):
+        text = clean(node.text())
+        if text and len(text.encode()) <= MOST_TILE:
+            tiles = tile(text) | tiles
+    fields = {**labelled, **tiles, "drive label": labelled["driveType"]}
+    if "drivetrain" in fields["driveType"].lower():
+        fields["driveType"] = labelled["driveType"] or fields["driveType"]
     fields["vin"] = vin_of(fields["vin"]) or vin_of(doc.first_text(site.get("vinSelector", ""))) or next((v for m in re.findall(r"\b[A-HJ-NPR-Z0-9]{17}\b", doc.text().upper()) if (v := vin_of(m))), "")
     fields["stockId"] = fields["stockId"] or doc.first_text(site.get("stockSelector", "")).strip()
+    blocks = named_blocks(doc, after)
     side = lambda n, name: int(v) if (v := n.attr(name) or n.attr(f"data-{name}")).isdigit() else LEAST_SIDE
     images = [image_of(n) or n.attr("href") for n in doc.find(site.get("imageSelector", "")) if min(side(n, "width"), side(n, "height")) >= LEAST_SIDE]
-    return {k: v for k, v in fields.items() if v}, list(dict.fromkeys(i for i in images if i))
+    return {k: v for k, v in fields.items() if v}, {f: blocks[x] for f, x in NAMED.items() if x in blocks}, list(dict.fromkeys(i for i in images if i))
 
 
 def parse_details(details: DataFrame, site: dict) -> DataFrame:
-    """``url, found, images`` of landed detail pages (url, html), each parsed once."""
+    """``url, found, named, images`` of landed detail pages (url, html), each parsed once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             got = [page_details(h, site) for h in rows["html"]]
-            yield pd.DataFrame({"url": rows["url"], "found": [g[0] for g in got], "images": [g[1] for g in got]})
+            yield pd.DataFrame({"url": rows["url"], "found": [g[0] for g in got], "named": [g[1] for g in got], "images": [g[2] for g in got]})
 
     return details.select("url", "html").mapInPandas(run, SCHEMA)
 
 
 def enrich(items: DataFrame, details: DataFrame, site: dict) -> DataFrame:
-    """Items with blank fields filled from their detail page; found images replace the list's. Normalise afterwards."""
-    pages = parse_details(details, site).select(F.col("url").alias("_url"), "found", F.col("images").alias("_images")).dropDuplicates(["_url"])
+    """Items with blank fields filled from their detail page, and those of named blocks replaced; found images replace the
+    list's. Normalise afterwards."""
+    pages = parse_details(details, site).select(F.col("url").alias("_url"), "found", "named", F.col("images").alias("_images")).dropDuplicates(["_url"])
     joined = items.join(pages, items["url"] == F.col("_url"), "left")
-    fill = {f: F.when(F.col(f) == "", F.coalesce(F.try_element_at("found", F.lit(f)), F.lit(""))).otherwise(F.col(f)) for f in LABELS}
+    of = lambda column, key: F.try_element_at(column, F.lit(key))
+    fill = {f: F.when(F.col(f) == "", F.coalesce(of("found", f), F.lit(""))).otherwise(F.col(f)) for f in LABELS | IDENTITY}
+    fill["driveType"] = F.when(F.lower("driveType").contains("drivetrain"), F.coalesce(of("found", "drive label"), "driveType")).otherwise(fill["driveType"])
+    fill |= {f: F.coalesce(of("named", f), fill[f]) for f in NAMED}
     images = F.when(F.size(F.coalesce("_images", F.array())) > 0, F.col("_images")).otherwise(F.col("images"))
-    return joined.withColumns(fill | {"images": images}).drop("_url", "found", "_images")
+    return joined.withColumns(fill | {"images": images}).drop("_url", "found", "named", "_images")

@@ -197,8 +197,37 @@ def test_pipeline(spark):
 
 
 def test_details_page():
-    found, images = details.page_details("<table><tr><th>Stock #</th><td>K1</td></tr></table><p>Transmission: Auto</p><img class=g src=/a.jpg width=100><img class=g src=/b.jpg>", {"imageSelector": "img.g"})
-    assert found["stockId"] == "K1" and found["transmission"] == "Auto" and images == ["/b.jpg"]
+    found, named, images = details.page_details("<table><tr><th>Stock #</th><td>K1</td></tr></table><p>Transmission: Auto</p><img class=g src=/a.jpg width=100><img class=g src=/b.jpg>", {"imageSelector": "img.g"})
+    assert found["stockId"] == "K1" and found["transmission"] == "Auto" and images == ["/b.jpg"] and not named
+
+
+def test_details_labels():
+    of = lambda html: details.page_details(html, {})[0]
+    assert details.known_label(" Engine-Type: ") == "engine type" and details.known_label("STOCK #") == "stock" and details.known_label("colour") == ""
+    cut = details.label_and_value
+    assert [cut(t) for t in ("Engine: 3.6L V6", "Stock # A7", "Fuel Type Gas", "Engine:", "about us", "x")] == [("engine", "3.6L V6"), ("stock", "A7"), ("fuel", "Type Gas"), ("", ""), ("", ""), ("", "")]
+    assert of("<dl><dt>HP</dt><dd>300</dd><dt>Trim</dt><dd>EX</dd></dl>")["horsepower"] == "300"
+    assert of("<tr><td>Torque</td><td>1</td></tr><tr><td>Torque</td><td>2</td></tr>")["torque"] == "2"  # the last of a label
+    assert of("<strong>Hwy</strong><i>31</i>")["highwayMPG"] == "31" and "cityMPG" not in of("<b>City</b><b>Hwy</b>")
+    assert of("<i>Exterior Color: deep blue.</i>")["color"] == "deep blue" and "color" not in of("<style>a{font:Apple Color Emoji}</style>")
+
+
+def test_details_tiles():
+    of = lambda html: details.page_details(html, {})[0]
+    got = of("<ul><li>43,100 Miles<li>AWD<li>6 Speed Manual<li>V6<li>Suv<li>21 city MPG<li>hwy mpg 30<li>25 mpg<li>4 cylinders</ul>")
+    want = {"mileage": "43,100 miles", "driveType": "AWD", "transmission": "6 Speed Manual", "transmissionType": "Manual", "engine": "V6", "bodyType": "Suv", "cityMPG": "21 MPG", "highwayMPG": "30 MPG", "fuelEconomy": "25 mpg", "cylinders": "4 cylinders"}
+    assert {k: got[k] for k in want} == want
+    assert "bodyType" not in of("<p>Suv deals</p>") and not of("") and not of(None)
+
+
+def test_details_replace(spark):
+    block = lambda k, v: f"<div class=vdp-info-block__info-item-title>{k}</div><div></div><div class=vdp-info-block__info-item-description>{v}</div>"
+    page = block("Engine", "3.6L V6 308hp") + block("Drivetrain", "AWD") + "<table><tr><td>Year</td><td>2020</td></tr></table>"
+    given = items(spark, {"url": "u1", "engine": "engineEngine3.6L", "year": "2019"}, {"url": "u2", "driveType": "Drivetrain FWD"}, {"url": "u3", "engine": "old"})
+    pages = spark.createDataFrame([("u1", page), ("u2", "<table><tr><td>Drivetrain</td><td>RWD</td></tr></table>"), ("u4", page)], "url string, html string")
+    got = {r["url"]: r for r in rows(details.enrich(given, pages, {}), "url")}
+    assert (got["u1"]["engine"], got["u1"]["driveType"], got["u1"]["year"]) == ("3.6L V6 308hp", "AWD", "2019")
+    assert got["u2"]["driveType"] == "RWD" and got["u3"]["engine"] == "old" and len(got) == 3
 
 
 def test_paging(spark):
