@@ -1,18 +1,21 @@
 """Entity resolution: order-preserving duplicates by a ladder of keys, field-wise merge, weak rows folded in by URL.
 
 The sequential rule "merge into the first row of the same key, unless the vehicle numbers differ" is order-free: within
-a key the number is fixed by its first non-empty value, and rows with another number form groups of their own. So it
-is one window, one grouping and a fold of each group's rows in order.
+a key the number is fixed by its first non-empty value, and rows with another number form groups of their own. Groups are
+merged field by field, as aggregations with map-side combine; nothing but a group's distinct images, and the distinct
+models that lengthen its first, is gathered in a row, whatever share of the rows a key holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text, urls
-from .steps import step
+from .steps import written
 
 PRICE_TITLE = r"^\$?[\t\n\f\r ]*[0-9][0-9,]*(?:\.[0-9]{2})?$"
 #: Fields that keep the first row's value, whatever the later rows have (fixed values).
@@ -53,43 +56,70 @@ def has_identity(c=F.col) -> Column:
     return (text.trim(c("stockId")) != "") | (text.trim(c("stock")) != "") | (text.trim(c("vin")) != "")
 
 
-def merge_items(base: Column, cand: Column) -> Column:
-    """The first row's item with gaps filled from a later one."""
-    made = {}
-    for n in schemas.ITEM_TEXTS:
-        b, c = base[n], cand[n]
-        better = b == ""
-        if n == "title":
-            better = better | (is_price_title(b) & ~is_price_title(c))
-        if n == "model":
-            better = better | extends_model(b, c)
-        made[n] = b if n in NEVER_MERGED else F.when(better, c).otherwise(b)
-    images = F.array_distinct(F.concat(base["images"], cand["images"]))
-    made["primaryImage"] = F.when(made["primaryImage"] == "", F.coalesce(F.get(images, F.lit(0)), F.lit(""))).otherwise(made["primaryImage"])
-    return F.struct(*[made[n].alias(n) for n in schemas.ITEM_TEXTS], images.alias("images"), base["photoURLs"].alias("photoURLs"))
-
-
-def _fold(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Groups of (seq, item) folded in order; seq is the first's."""
-    ordered = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "item"))).alias("rows"))
-    first = F.get("rows", F.lit(0))
-    folded = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), first["item"], lambda acc, r: merge_items(acc, r["item"]))
-    return ordered.select(*by, first["seq"].alias("seq"), folded.alias("item"))
+def _beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """A join on ``by`` in which nulls are equal, with one copy of those columns."""
+    named = right.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    return left.join(named, same, how).drop(*[f"_by_{c}" for c in by])
+
+
+def _merged(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by, seq`` of the first row and an item for each group of written ``by, seq, item columns``, as if each row were
+    merged into the first in order of ``seq``, which is unique in a group.
+
+    A text is the first that is not blank, but for: columns never merged, the first row's; a title, the first that is
+    not a price, and without such the first price behind the last blank; a model, lengthened by each that extends it;
+    an image, which becomes the primary one where none is known yet when the second row or a later one is merged.
+    """
+    title, model = F.col("title"), F.col("model")
+    known = lambda n, when: F.min(F.when(when, F.struct("seq", F.col(n).alias("v")))).alias(n)
+    plain = [n for n in schemas.ITEM_TEXTS if n not in (*NEVER_MERGED, "title")]
+    heads = rows.groupBy(*by).agg(
+        F.min(F.struct("seq", *NEVER_MERGED, "title", "images")).alias("_first"), F.max("seq").alias("_last"), F.max(F.when(title == "", F.col("seq"))).alias("_blank"),
+        known("title", (title != "") & ~is_price_title(title)), *[known(n, F.col(n) != "") for n in plain],
+    )
+    heads = written(heads, "dedupe-heads")
+    several = heads.where("_last > _first.seq").select(*by, F.col("_first.seq").alias("_from"), "_blank", F.col("model.v").alias("_model"))
+
+    seen = _beside(rows.select(*by, "seq", "title", "model"), several, by, "inner")
+    behind = is_price_title(title) & (F.col("_blank").isNull() | (F.col("seq") > F.col("_blank")))
+    more = seen.groupBy(*by).agg(F.min(F.when(F.col("seq") > F.col("_from"), F.col("seq"))).alias("_second"), known("title", behind).alias("_price"))
+    longer = seen.where(extends_model(F.col("_model"), model)).groupBy(*by, "model").agg(F.min("seq").alias("seq"))
+    longer = longer.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "model"))).alias("_longer"))
+    shown = _beside(rows.select(*by, "seq", "images"), several.select(*by), by, "inner").select(*by, "seq", F.posexplode("images").alias("pos", "image"))
+    shown = shown.groupBy(*by, "image").agg(F.min(F.struct("seq", "pos")).alias("at"))
+    shown = shown.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "image"))).alias("_images"))
+
+    out = _beside(_beside(_beside(heads, more, by), longer, by), shown, by)
+    single, value = F.col("_second").isNull(), lambda n: F.coalesce(F.col(f"{n}.v"), F.lit(""))
+    images = F.coalesce("_images", F.array().cast("array<struct<at:struct<seq:bigint,pos:int>,image:string>>"))
+    top = F.coalesce(F.get(images, F.lit(0))["image"], F.lit(""))
+    when = lambda seq: F.greatest(seq, F.col("_second"))
+    early = F.col("primaryImage").isNotNull() & ((top == "") | (when(F.col("primaryImage.seq")) <= when(F.get(images, F.lit(0))["at"]["seq"])))
+    made = {n: value(n) for n in plain} | {n: F.col(f"_first.{n}") for n in NEVER_MERGED}
+    made["title"] = F.when(single, F.col("_first.title")).otherwise(F.coalesce("title.v", "_price.v", F.lit("")))
+    made["model"] = F.aggregate(F.coalesce("_longer", F.array().cast("array<struct<seq:bigint,model:string>>")), value("model"), lambda held, r: F.when(extends_model(held, r["model"]), r["model"]).otherwise(held))
+    made["primaryImage"] = F.when(single | early, value("primaryImage")).otherwise(top)
+    made["images"] = F.when(single, F.col("_first.images")).otherwise(F.transform(images, lambda i: i["image"]))
+    return out.select(*by, F.col("_first.seq").alias("seq"), *[made[n].alias(n) for n in (*schemas.ITEM_TEXTS, *schemas.ITEM_ARRAYS)])
 
 
 def dedupe(items: DataFrame, by: list[str]) -> DataFrame:
-    """One row a vehicle within the run columns ``by``: item columns and the ``seq`` of its first row."""
+    """One row a vehicle within the run columns ``by``: item columns and the ``seq`` of its first row.
+
+    Rows without any key are dropped. A run column may be null; item texts are never null. Tables between the steps are
+    written to the shared folder.
+    """
     fields = [*schemas.ITEM_TEXTS, *schemas.ITEM_ARRAYS]
-    keyed = step(items.withColumns({"key": dedupe_key(), "own": F.upper(text.trim(F.col("vin")))}), "keyed").where("key <> ''")
-    first = F.first(F.nullif("own", F.lit("")), ignorenulls=True).over(Window.partitionBy(*by, "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    keyed = keyed.withColumn("group", F.when((F.col("own") != "") & (F.col("own") != first), F.concat(F.lit("vin:"), "own")).otherwise(F.col("key")))
-    groups = _fold(keyed.select(*by, "group", "seq", F.struct(*fields).alias("item")), [*by, "group"]).drop("group")
-
-    item = lambda n: F.col(f"item.{n}")
-    groups = groups.withColumns({"strong": has_identity(item), "link": urls.canonical_key(F.col("item.url"))})
-    groups = step(groups, "grouped")
-    target = F.min(F.when(F.col("strong"), F.col("seq"))).over(Window.partitionBy(*by, "link"))
-    home = F.when(~F.col("strong") & (F.col("link") != ""), F.coalesce(target, F.col("seq"))).otherwise(F.col("seq"))
-    placed = groups.withColumn("home", home).withColumn("rank", F.when(F.col("seq") == F.col("home"), F.lit(-1)).otherwise(F.col("seq")))
-    merged = _fold(placed.select(*by, F.col("home"), F.col("rank").alias("seq"), "item"), [*by, "home"])
-    return merged.select(*by, F.col("home").alias("seq"), "item.*")
+    keyed = items.select(*by, F.col("seq").cast("long").alias("seq"), *fields, dedupe_key().alias("key"), F.upper(text.trim(F.col("vin"))).alias("own"))
+    keyed = written(keyed, "dedupe-keys").where("key <> ''")
+    first = keyed.where("own <> ''").groupBy(*by, "key").agg(F.min(F.struct("seq", "own")).alias("f")).select(*by, "key", F.col("f.own").alias("first"))
+    group = F.when((F.col("own") != "") & (F.col("own") != F.col("first")), F.concat(F.lit("vin:"), "own")).otherwise(F.col("key"))
+    groups = _merged(written(_beside(keyed, first, [*by, "key"]).select(*by, group.alias("group"), "seq", *fields), "dedupe-rows"), [*by, "group"]).drop("group")
+
+    groups = written(groups.withColumns({"strong": has_identity(), "link": urls.canonical_key(F.col("url"))}), "dedupe-groups")
+    strong = groups.where("strong and link <> ''").groupBy(*by, "link").agg(F.min("seq").alias("target"))
+    home = F.when(F.col("strong"), F.col("seq")).otherwise(F.coalesce("target", "seq"))
+    placed = _beside(groups, strong, [*by, "link"]).withColumn("home", home).withColumn("seq", F.when(F.col("seq") == F.col("home"), F.lit(-1)).otherwise(F.col("seq")))
+    merged = _merged(written(placed.select(*by, "home", "seq", *fields), "dedupe-homes"), [*by, "home"])
+    return merged.select(*by, F.col("home").alias("seq"), *fields)

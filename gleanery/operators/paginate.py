@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from .steps import written
 
 #: How pagers state their page and totals, and the bounds of a walk.
 PAGE_OF = r"(?i)page[\s]*:?[\s]*([0-9]+)[\s]+of[\s]+([0-9]+)"
@@ -93,7 +94,8 @@ def walk(pages: DataFrame, links: DataFrame, starts: DataFrame, max_pages: int =
     seen = frontier = starts.select("run_id", "url", F.lit(0).alias("page_seq"))
     for turn in range(1, max_pages):
         following = frontier.select("run_id", "url").join(links, "url").select("run_id", F.col("next_url").alias("url")).distinct()
-        frontier = following.join(good, "url").join(seen, ["run_id", "url"], "left_anti").select("run_id", "url", F.lit(turn).alias("page_seq")).checkpoint()
+        reached = following.join(good, "url").join(seen, ["run_id", "url"], "left_anti")
+        frontier = written(reached.select("run_id", "url", F.lit(turn).alias("page_seq")), "walk")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

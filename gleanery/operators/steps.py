@@ -1,12 +1,17 @@
-"""Boundaries inside long projections."""
+"""Boundaries inside long projections and between the steps of an operator."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own: list[str] = []
+
 
 def step(df: DataFrame, name: str) -> DataFrame:
     """Counts the rows that pass as an observed metric.
@@ -15,3 +20,27 @@ def step(df: DataFrame, name: str) -> DataFrame:
     instead of repeating their expressions, which would multiply at every further step.
     """
     return df.observe(f"{name}-{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
+
+
+def _shared(spark: SparkSession) -> str:
+    """The shared folder of the session; a local session without one gets a temporary folder, a cluster an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="gleanery-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: later steps read only the columns they need, and lost executors
+    cost no more than the step at hand."""
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

@@ -100,7 +100,7 @@ def sequential(given):
     key_url = lambda u: re.sub("/$", "", re.sub(r"[?#].*$", "", u)).lower()
 
     def key(i):
-        for p, v in (("stock:", (i["stockId"] or i["stock"]).upper()), ("vin:", i["vin"].upper()), ("url:", key_url(i["url"])), ("img:", i["images"][0] if i["images"] else ""), ("content:", (i["title"] + "|" + i["price"]).lower().strip("|"))):
+        for p, v in (("stock:", (i["stockId"] or i["stock"]).upper()), ("vin:", i["vin"].upper()), ("url:", key_url(i["url"])), ("img:", i["primaryImage"] or (i["images"][0] if i["images"] else "")), ("content:", (i["title"] + "|" + i["price"]).lower().strip("|"))):
             if v:
                 return p + v
         return ""
@@ -112,6 +112,9 @@ def sequential(given):
         out["images"] = list(dict.fromkeys(a["images"] + b["images"]))
         if not a["title"] or re.fullmatch(r"\$?\d+", a["title"]) and not re.fullmatch(r"\$?\d+", b["title"]):
             out["title"] = b["title"]
+        longer = b["model"][: len(a["model"])].lower() == a["model"].lower() and b["model"][len(a["model"]) :].startswith(" ")
+        out["model"] = b["model"] if not a["model"] or longer else a["model"]
+        out["primaryImage"] = a["primaryImage"] or b["primaryImage"] or next(iter(out["images"]), "")
         return out
 
     seen, out = {}, []
@@ -145,9 +148,9 @@ def test_dedupe_is_the_sequential_rule(spark):
     runs = []
     for run in range(60):
         for _ in range(rnd.randint(1, 9)):
-            runs.append((run, {"stockId": pick("", "", "A", "b"), "vin": pick("", "", "V1", "v2"), "url": pick("", "https://a.test/1", "https://a.test/2/?x"), "title": pick("", "$5", "Car", "Bus"), "price": pick("", "$1"), "images": pick([], ["a.jpg"], ["b.jpg", "a.jpg"])}))
+            runs.append((run, {"stockId": pick("", "", "A", "b"), "vin": pick("", "", "V1", "v2"), "url": pick("", "https://a.test/1", "https://a.test/2/?x"), "title": pick("", "$5", "Car", "Bus"), "price": pick("", "$1"), "images": pick([], [], ["a.jpg"], ["b.jpg", "a.jpg"]), "model": pick("", "Model", "model s", "Model S Plaid", "Models"), "primaryImage": pick("", "", "p.jpg")}))
     df = items(spark, *[r for _, r in runs]).withColumn("run", F.element_at(F.array(*[F.lit(str(n)) for n, _ in runs]), (F.col("seq") + 1).cast("int")))
-    fields = ("stockId", "vin", "url", "title", "price", "images")
+    fields = ("stockId", "vin", "url", "title", "price", "images", "model", "primaryImage")
     got = rows(dedupe.dedupe(df, ["run"]), "seq")
     for run in range(60):
         want = sequential([{"stock": ""} | r for n, r in runs if n == run])
@@ -240,8 +243,7 @@ def test_paging(spark):
     assert one(spark, lambda c: paginate.elided_urls(c, "p", F.array(*map(F.lit, (2, 3, 6)))), "https://a.test/l?p=2&k=v") == [["https://a.test/l?p=4&k=v", "https://a.test/l?p=5&k=v"]]
 
 
-def test_walk(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}/cp")
+def test_walk(spark):
     landed = spark.createDataFrame([(f"p{i}", 0 if i == 4 else 3) for i in range(8)], "url string, cards int")
     links = spark.createDataFrame([("p0", "p1"), ("p0", "p2"), ("p1", "p2"), ("p2", "p3"), ("p3", "p4"), ("p4", "p5"), ("p3", "p0")], "url string, next_url string")
     got = paginate.walk(landed, links, spark.createDataFrame([("r", "p0")], "run_id string, url string"))
