@@ -95,7 +95,7 @@ def next_page_urls(spark, sf_dir):
 
 @query
 def card_selector_counts(spark, sf_dir):
-    """The two commonest class names of each page, ties by name; the counts from which card_selector infers are not cut off."""
+    """The two commonest class names of each page, ties by name; there is no least count."""
     names = F.flatten(F.transform(F.regexp_extract_all("html", F.lit(r'class="([^"]*)"'), F.lit(1)), lambda c: F.split(c, " +")))
     counts = _pages(spark, sf_dir).select("page_id", F.explode(names).alias("name")).where("name <> ''").groupBy("page_id", "name").agg(F.count("*").alias("n"))
     ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "name")))
