@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, text, urls
 from ..operators import dedupe as dd
 from ..operators import diagnostics as dg
-from ..operators import extract, paginate, platforms, stores
+from ..operators import extract, paginate, platforms, routing, stores
 from ..operators import inventory as inv
 from ..operators import normalize as nz
 from ..operators.steps import step
@@ -470,3 +470,75 @@ def template_resolution(spark, sf_dir):
     named = _pages(spark, sf_dir).select("page_id", "url", urls.host_key(F.col("url")).alias("host"))
     known = named.groupBy("host").agg(F.min("page_id").alias("first")).where("first % 2 = 0").select("host")
     return named.join(known, "host", "left_semi").select("page_id", "host")
+
+
+@query
+def cache_routing(spark, sf_dir):
+    """Which URLs (made from the page ids, of 97 hosts) are answered from the cache: some hosts are flagged, some URLs listed."""
+    host = F.col("page_id") % 97
+    u = F.concat(F.lit("https://"), F.when(F.col("page_id") % 2 == 0, "www.").otherwise(""), F.lit("h"), host.cast("string"), F.lit(".example/used?x="), (F.col("page_id") % 5).cast("string"))
+    asked = _pages(spark, sf_dir).select("page_id", host.alias("k"), u.alias("request_url"))
+    listed = lambda rule: asked.where(rule).select(F.col("request_url").alias("source_url"))
+    out = routing.route(asked, listed("k >= 90 and page_id % 5 = 1"), listed("k < 10 and page_id % 5 = 0"), ("h50.example",))
+    return out.select("page_id", "from_cache")
+
+
+@query
+def cache_answers(spark, sf_dir):
+    return routing.answers(_pages(spark, sf_dir).select(F.col("url").alias("request_url")), _cache(spark, sf_dir))
+
+
+@query
+def failure_retries(spark, sf_dir):
+    """Users as runs: which are tried again, and how many of their errors may pass."""
+    events = table(spark, sf_dir, "events")
+    message = F.when(F.col("event_id") % 7 == 0, "Blocked redirect to LOCAL host, timeout").when(F.col("event_id") % 3 == 0, "read: Connection reset").otherwise("HTTP 500")
+    errors = events.where("event_type = 'error'").select("user_id", message.alias("message"))
+    counts = events.groupBy("user_id").agg(F.count_if((F.col("event_type") == "purchase") & (F.col("user_id") % 3 == 0)).alias("items"))
+    passing = errors.groupBy("user_id").agg(F.count_if(routing.is_transient(F.col("message"))).alias("transient"))
+    return routing.retryable_runs(errors, counts, ["user_id"]).join(passing, "user_id", "left").select("user_id", "retry", F.coalesce("transient", F.lit(0)).alias("transient"))
+
+
+@query
+def shown_counts(spark, sf_dir):
+    e = F.col("event_id")
+    stage = F.element_at(F.array(*[F.lit(s) for s in ("items_deduped", "details_started", "completed", "ai_progress")]), (e % 4 + 1).cast("int"))
+    status = F.when(F.col("event_type") == "purchase", "running").otherwise("success")
+    return table(spark, sf_dir, "events").select("event_id", routing.shown_count(status, stage, e % 5, e % 3, e % 7).alias("shown"))
+
+
+@query
+def site_freshness(spark, sf_dir):
+    """Orders as cached runs, their lines as items: the templates of a third have a stock selector, a third are of the API site."""
+    key, part = F.col("o_orderkey"), F.col("l_partkey")
+    base = F.when(key % 3 == 0, "https://www.a.example/inventory/").otherwise("https://b.example/inventory")
+    runs = table(spark, sf_dir, "orders").select("o_orderkey", (key % 5 != 0).alias("fresh"), (key % 3 == 1).alias("has_stock_selector"), base.alias("base_url"))
+    vin = F.concat(F.lit("1hgcm82633a"), F.lpad((part % 1000000).cast("string"), 6, "0"))
+    stock = F.when(part % 11 == 0, " ").when(part % 13 == 0, F.upper(vin)).when(part % 17 == 0, "n/a").otherwise(F.concat(F.lit("S"), part.cast("string")))
+    page = F.concat(F.when(part % 19 == 0, "https://a.example/about/").otherwise("https://A.example/vehicle/"), part.cast("string"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), stock.alias("stockId"), F.lit("").alias("stock"), vin.alias("vin"), page.alias("url"))
+    return routing.fresh_for_site(runs, items, ["o_orderkey"], "a.example")
+
+
+def _keyed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs that hold a key of their customer."""
+    url = F.concat(F.lit("https://S.example/list"), (F.col("o_orderkey") % 3).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("idempotencyKey"), F.lit("D1").alias("dealer"), url.alias("source_url"))
+
+
+MOVED = [("d1", "s.example", "/list2", "https://s.example/list1")]
+
+
+@query
+def idempotency_lookup(spark, sf_dir):
+    """The last run that holds a request's key, and whether it is of the request's source."""
+    key = F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.concat(F.lit("k"), F.col("c_custkey").cast("string")))
+    asked = table(spark, sf_dir, "customer").select("c_custkey", key.alias("idempotencyKey"))
+    found = routing.find_by_key(asked, _keyed_runs(spark, sf_dir), ["o_orderkey"])
+    return found.select("c_custkey", "o_orderkey", routing.same_target(F.col("dealer"), F.col("source_url"), F.lit("d1"), F.lit("https://s.example/list1/"), MOVED).alias("same"))
+
+
+@query
+def idempotency_release(spark, sf_dir):
+    freed = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("idempotencyKey"))
+    return routing.release_keys(_keyed_runs(spark, sf_dir), freed).select("o_orderkey", "idempotencyKey")

@@ -188,3 +188,19 @@ ORACLE_SQL = {
     "capped_items": f"WITH {ITEMS} SELECT dealer_id, seq FROM items QUALIFY row_number() OVER (PARTITION BY dealer_id ORDER BY seq) <= 20",
     "template_resolution": f"WITH p AS (SELECT page_id, {HOST} AS host FROM (SELECT page_id, url AS u FROM pages)) SELECT page_id, host FROM p WHERE host IN (SELECT host FROM p GROUP BY host HAVING min(page_id) % 2 = 0)",
 }
+
+ORACLE_SQL["cache_routing"] = """WITH p AS (SELECT page_id, page_id % 97 AS k, CASE WHEN page_id % 2 = 0 THEN 'www.' ELSE '' END || page_id % 97 || '?' || page_id % 5 AS u FROM pages)
+  SELECT page_id, k = 50 OR k IN (SELECT k FROM p WHERE k < 10 AND page_id % 5 = 0) OR u IN (SELECT u FROM p WHERE k >= 90 AND page_id % 5 = 1) AS from_cache FROM p"""
+ORACLE_SQL["cache_answers"] = f"""WITH l AS ({ORACLE_SQL["cache_lookup"]}), c AS (SELECT source_url, arg_max(items, (updated_at, items)) AS n FROM {CACHED} GROUP BY source_url)
+  SELECT request_url, cached_url, CASE WHEN cached_url IS NULL THEN 'failed' ELSE 'success' END AS status, CASE WHEN cached_url IS NULL THEN 'CACHE_NOT_FOUND' ELSE '' END AS code,
+  CASE WHEN cached_url IS NULL THEN '' ELSE 'completed_from_cache' END AS progress_stage, coalesce(n, 0) AS total_items, coalesce(n, 0) AS success_items, (cached_url IS NOT NULL)::INT AS attempts
+  FROM l LEFT JOIN c ON cached_url = source_url"""
+ORACLE_SQL["failure_retries"] = """SELECT user_id, count(*) FILTER (event_type = 'purchase' AND user_id % 3 = 0) = 0 AND count(*) FILTER (event_type = 'error' AND event_id % 7 = 0) = 0 AS retry,
+  count(*) FILTER (event_type = 'error' AND event_id % 7 <> 0 AND event_id % 3 = 0) AS transient FROM events GROUP BY user_id"""
+ORACLE_SQL["shown_counts"] = """SELECT event_id, CASE WHEN event_type = 'purchase' AND event_id % 4 = 1 THEN 0 WHEN event_id % 3 > 0 THEN event_id % 3 WHEN event_id % 5 = 0 THEN event_id % 7 ELSE event_id % 5 END AS shown FROM events"""
+ORACLE_SQL["site_freshness"] = """WITH i AS (SELECT l_orderkey AS o, l_partkey AS p, '1HGCM82633A' || lpad((l_partkey % 1000000)::VARCHAR, 6, '0') AS v FROM lineitem),
+  s AS (SELECT o, p, v, CASE WHEN p % 11 = 0 THEN '' WHEN p % 13 = 0 THEN v WHEN p % 17 = 0 THEN 'N/A' ELSE 'S' || p END AS s FROM i),
+  c AS (SELECT o, bool_or(p % 11 = 0 OR p % 13 = 0) AS poor, bool_or(p % 19 = 0 OR s = 'N/A') OR count(*) > count(DISTINCT s) OR count(*) > count(DISTINCT v) AS odd FROM s GROUP BY o)
+  SELECT o_orderkey, o_orderkey % 5 <> 0 AND CASE o_orderkey % 3 WHEN 0 THEN NOT coalesce(poor OR odd, false) WHEN 1 THEN NOT coalesce(poor, false) ELSE true END AS fresh FROM orders LEFT JOIN c ON o = o_orderkey"""
+ORACLE_SQL["idempotency_lookup"] = """SELECT c_custkey, max(o_orderkey) AS o_orderkey, max(o_orderkey) % 3 <> 0 AS same FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey % 7 <> 0 GROUP BY c_custkey"""
+ORACLE_SQL["idempotency_release"] = """SELECT o_orderkey, CASE WHEN c_acctbal < 0 THEN '' ELSE 'k' || o_custkey END AS "idempotencyKey" FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""
