@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, perplexity, quality, revisits, sharding, topk, toxicity, url_trust
+from . import automaton, fim, minhash, mixing, packing, perplexity, quality, revisits, search, sharding, topk, toxicity, url_trust
 
 RULES = [
     url_trust.Rule("allow", "com", "/"),
@@ -78,7 +78,21 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.expr("record_id div 3").alias("page_id"), "record_id", "url_key", "at", "kind", "outcome", "source_record_id", "source_at", "status", shown.alias("headers"), "digest")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_toxicity, op3_top_k, op4_quality, op5_url_filter, op6_quality_rules, op7_near_duplicates, op8_shards, op9_mix, op10_revisits)}
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.score_texts(read(spark, sf_dir, "documents"), held_out=automaton.fold("doc_id", 7) == 2)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(read(spark, sf_dir, "documents"), seed="7", percent=100, spm_percent=50)
+    digest = lambda text: F.sha2(text, 256)
+    return made.select("doc_id", "n", "form", F.char_length("prefix").cast("long").alias("prefix_chars"), F.char_length("middle").cast("long").alias("middle_chars"), digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_toxicity, op3_top_k, op4_quality, op5_url_filter, op6_quality_rules, op7_near_duplicates, op8_shards, op9_mix, op10_revisits, op11_lm_scores, op12_fill_in_middle, op13_ranked_search)}
 
 
 def _trust_sql(rounds: int = 20) -> str:
@@ -128,4 +142,18 @@ _REVISITS = """WITH b AS (SELECT page_id, url, 1700000000 + (page_id * 7919) % 2
       WHEN record_id % 3 = 1 THEN concat_ws(chr(10), 'cache-control: max-age=90', 'content-length: 0', 'etag: ' || tag) WHEN kase = 0 THEN 'etag: ' || tag ELSE concat_ws(chr(10), 'last-modified: ' || since, 'x-seen: again') END AS headers,
     CASE WHEN kind = 'response' THEN digest WHEN outcome = 'resolved' THEN otag END AS digest FROM g"""
 
-ORACLE_SQL: dict[str, str] = {"op3_top_k": _TOP_K, "op5_url_filter": _trust_sql(), "op9_mix": _MIX, "op10_revisits": _REVISITS}
+_FIM = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+  c AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS y, ('0x' || substr(h, 25, 8))::BIGINT % 100 < 50 AS spm FROM d),
+  p AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+    coalesce(array_to_string(u[1:least(x, y)], ''), '') AS a, coalesce(array_to_string(u[least(x, y) + 1:greatest(x, y)], ''), '') AS b, coalesce(array_to_string(u[greatest(x, y) + 1:n], ''), '') AS c FROM c)
+  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+_SEARCH = r"""WITH q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+  t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+  l AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM l), f AS (SELECT doc_id, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY ALL),
+  w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY term, docs),
+  s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score FROM f JOIN l USING (doc_id) JOIN w USING (term) JOIN q USING (term), g GROUP BY ALL)
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50"""
+
+ORACLE_SQL: dict[str, str] = {"op12_fill_in_middle": _FIM, "op13_ranked_search": _SEARCH, "op3_top_k": _TOP_K, "op5_url_filter": _trust_sql(), "op9_mix": _MIX, "op10_revisits": _REVISITS}
