@@ -95,7 +95,7 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_pack, op2_toxicity, op3_top_k, op4_quality, op5_url_filter, op6_quality_rules, op7_near_duplicates, op8_shards, op9_mix, op10_revisits, op11_lm_scores, op12_fill_in_middle, op13_ranked_search)}
 
 
-def _trust_sql(rounds: int = 20) -> str:
+def _trust_sql(rounds: int = 60) -> str:
     """Rules, seeds and both propagations of url_trust, a step a common table expression."""
     part = lambda k, u: f"coalesce(regexp_extract({u}, '(?s)^.*?://([^/?#]*)([^?#]*)', {k}), '')"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -104,13 +104,13 @@ def _trust_sql(rounds: int = 20) -> str:
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in ordered) + " END"
     steps = "".join(
         f""", s{k} AS MATERIALIZED (SELECT s.host, s.good, s.bad, 0.15 * s.good + 0.85 * coalesce(t, 0) AS trust, 0.15 * s.bad + 0.85 * coalesce(d, 0) AS distrust FROM s{k - 1} s
-        LEFT JOIN (SELECT dst AS host, sum(trust * w) AS t FROM e JOIN s{k - 1} ON src = host GROUP BY 1) USING (host) LEFT JOIN (SELECT src AS host, sum(distrust * v) AS d FROM e JOIN s{k - 1} ON dst = host GROUP BY 1) USING (host))"""
+        LEFT JOIN (SELECT dst AS host, sum(trust * w) AS t FROM e JOIN s{k - 1} ON src = host GROUP BY 1) USING (host) LEFT JOIN (SELECT src AS host, sum(distrust * w) AS d FROM e JOIN s{k - 1} ON dst = host GROUP BY 1) USING (host))"""
         for k in range(1, rounds + 1)
     )
     return f"""WITH p AS (SELECT page_id, html, {lower.format(part(1, "url"))} AS host, {part(2, "url")} AS path FROM pages), j AS (SELECT page_id, host, path, {case(lambda r: r.text)} AS rule, {case(lambda r: r.verdict)} AS by_rule FROM p),
       l AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?((?:https?:)?//[^"''\\s>]+)', 1)) AS u FROM p),
       c AS (SELECT src, {lower.format(part(1, "CASE WHEN u LIKE '//%' THEN 'http:' || u ELSE u END"))} AS dst, count(*) AS n FROM l GROUP BY ALL),
-      e AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w, n / sum(n) OVER (PARTITION BY dst) AS v FROM c WHERE src <> '' AND dst <> '' AND src <> dst),
+      e AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM c WHERE src <> '' AND dst <> '' AND src <> dst),
       h AS (SELECT host, (2 * count(*) FILTER (by_rule = 'allow') > count(*))::DOUBLE AS good, (2 * count(*) FILTER (by_rule = 'block') > count(*))::DOUBLE AS bad FROM j WHERE host <> '' GROUP BY host),
       s0 AS MATERIALIZED (SELECT host, max(good) AS good, max(bad) AS bad, 0.15 * max(good) AS trust, 0.15 * max(bad) AS distrust FROM (SELECT * FROM h UNION ALL SELECT src, 0, 0 FROM e UNION ALL SELECT dst, 0, 0 FROM e) GROUP BY host){steps}
       SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN distrust > trust AND distrust >= 0.05 THEN 'block' ELSE 'allow' END) AS verdict FROM j LEFT JOIN s{rounds} USING (host)"""

@@ -212,16 +212,15 @@ def test_propagation_is_pagerank(spark):
     seeds = [("a", 1, 0), ("bad", 0, 1)]
     got = {r["host"]: r for r in collected(url_trust.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, good int, bad int"), rounds=40, tolerance=1e-5))}
     hosts = sorted({h for e in edges for h in e[:2]})
-    out, into = collections.Counter(), collections.Counter()
-    for s, d, n in edges:
+    out = collections.Counter()
+    for s, _, n in edges:
         out[s] += n
-        into[d] += n
     t, b = dict.fromkeys(hosts, 0.0), dict.fromkeys(hosts, 0.0)
     for _ in range(300):
         nt, nb = {h: 0.15 * (h == "a") for h in hosts}, {h: 0.15 * (h == "bad") for h in hosts}
         for s, d, n in edges:
             nt[d] += 0.85 * t[s] * n / out[s]
-            nb[s] += 0.85 * b[d] * n / into[d]
+            nb[s] += 0.85 * b[d] * n / out[s]
         t, b = nt, nb
     assert all(abs(got[h]["trust"] - t[h]) < 1e-3 and abs(got[h]["distrust"] - b[h]) < 1e-3 for h in hosts)
 
@@ -233,6 +232,16 @@ def test_linked_hosts_are_blocked(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+@pytest.mark.parametrize("linkers", [3, 100, 10_000])
+def test_linkers_are_blocked_however_many(spark, linkers):
+    """All links to a blocked host: block. Half of them: block. One in twenty, or none: allow. A host before it: block."""
+    link = lambda i, host, *to: (i, f"http://{host}/", "".join(f'<a href="http://{t}/">x</a>' for t in to))
+    rows = [link(i, f"farm{i}.org", "bad.net/fr") for i in range(linkers)]
+    rows += [link(-1, "half.org", "bad.net/fr", "a.org"), link(-2, "twentieth.org", "bad.net/fr", *["a.org"] * 19), link(-3, "a.org", "b.org"), link(-4, "before.org", "farm1.org"), link(-5, "bad.net/fr")]
+    got = {r["page_id"]: r["verdict"] for r in collected(url_trust.filter_urls(spark.createDataFrame(rows, "page_id int, url string, html string"), queries.RULES))}
+    assert got == dict.fromkeys(range(linkers), "block") | {-1: "block", -2: "allow", -3: "allow", -4: "block", -5: "block"}
+
+
 # Quality rules
 
 
