@@ -14,7 +14,7 @@ from ..functions import identity, text
 
 ATTR = "array<struct<name:string,value:string>>"
 # The platforms' payload fields.
-DEALER_DOT_COM = f"INVENTORY array<struct<vin:string,stockNumber:string,year:int,make:string,model:string,trim:string,title:array<string>,link:string,bodyStyle:string,fuelType:string,images:array<struct<uri:string>>,pricing:struct<retailPrice:string,dprice:array<struct<value:string,isFinalPrice:boolean>>>,attributes:{ATTR},trackingAttributes:{ATTR},highlightedAttributes:{ATTR}>>"
+DEALER_DOT_COM = f"WIS struct<inventory:array<struct<vin:string,stockNumber:string,year:int,make:string,model:string,trim:string,title:array<string>,link:string,bodyStyle:string,fuelType:string,images:array<struct<uri:string>>,pricing:struct<retailPrice:string,dprice:array<struct<value:string,isFinalPrice:boolean>>>,attributes:{ATTR},trackingAttributes:{ATTR},highlightedAttributes:{ATTR}>>>"
 DEALER_ON = "DisplayCards array<struct<VehicleCard:struct<VehicleVin:string,VehicleYear:int,VehicleMake:string,VehicleModel:string,VehicleTrim:string,VehicleStockNumber:string,Mileage:string,VehicleInternetPrice:double,VehicleDetailUrl:string,VehicleImageModel:struct<VehiclePhotoSrc:string>,WasabiVehiclePricingPanelViewModel:struct<PriceStakViewModel:struct<PriceStakTabsModel:struct<BuyContent:string>>>>>>"
 DEALER_SYNC = "Vehicles array<struct<Vin:string,StockNo:string,VehicleTitle:string,VehicleName:string,Year:string,Make:string,Model:string,Trim:string,Mileage:int,FinalPrice:double,InternetPrice:double,VehicleDetailUrl:string,FirstImageUrl:string>>"
 DRIVEN_MOTION = "props struct<pageProps:struct<inventory:struct<results:array<struct<vin:string,stocknumber:string,year:int,make:string,model:string,trim:string,price:double,mileage:double,status:string,wholesale:int,dealer_id:int,url:string,photos:array<string>,exteriorcolor:string,body:string,fuel:string,drivetrainstandard:string>>>>>"
@@ -24,9 +24,9 @@ SPACE_AUTO = "vehicles array<struct<vin:string,stock:string,year:int,make:string
 
 
 
-def _rows(payloads: DataFrame, schema: str, path: str) -> DataFrame:
-    parsed = payloads.select("run_id", "source_url", "page_seq", F.from_json("payload", schema).alias("j"))
-    return parsed.select("run_id", "source_url", "page_seq", F.posexplode(f"j.{path}").alias("pos", "v"))
+def _rows(payloads: DataFrame, schema: str, path: str, *carried: str) -> DataFrame:
+    parsed = payloads.select("run_id", "source_url", "page_seq", *carried, F.from_json("payload", schema).alias("j"))
+    return parsed.select("run_id", "source_url", "page_seq", *carried, F.posexplode(f"j.{path}").alias("pos", "v"))
 
 
 def _item(rows: DataFrame, **given: Column) -> DataFrame:
@@ -105,12 +105,12 @@ def attribute(v: Column, *names: str) -> Column:
 
 def dealer_dot_com(payloads: DataFrame) -> DataFrame:
     """Final price over retail price, odometer without its unit, attributes by priority."""
-    rows, v = _rows(payloads, DEALER_DOT_COM, "INVENTORY"), F.col("v")
+    rows, v = _rows(payloads, DEALER_DOT_COM, "WIS.inventory"), F.col("v")
     title = first_filled(unescape(F.array_join(v["title"], " ")), joined(positive(v["year"]), unescape(v["make"]), unescape(v["model"]), unescape(v["trim"])))
     final = F.get(F.filter(v["pricing"]["dprice"], lambda d: d["isFinalPrice"] & ~blank(d["value"])), F.lit(0))["value"]
     return _item(
         rows.where(title != ""), title=title, url=v["link"], vin=identity.structured_vin(F.coalesce(v["vin"], F.lit(""))), stockId=v["stockNumber"], year=positive(v["year"]), make=unescape(v["make"]), model=unescape(v["model"]), bodyType=v["bodyStyle"], fuelType=v["fuelType"],
-        price=first_filled(final, v["pricing"]["retailPrice"]), mileage=F.regexp_replace(attribute(v, "odometer"), r"(?i)\s*(?:miles?|mi\.?)\s*$", ""), images=filled(F.transform(v["images"], lambda i: i["uri"])), color=attribute(v, "exteriorColor"), engine=attribute(v, "engine"),
+        price=first_filled(final, v["pricing"]["retailPrice"]), mileage=F.regexp_replace(attribute(v, "odometer"), r"(?i)\s*(?:miles|mi)\.?\s*$", ""), images=filled(F.transform(v["images"], lambda i: i["uri"])), color=attribute(v, "exteriorColor"), engine=attribute(v, "engine"),
         transmission=attribute(v, "transmission"), driveType=attribute(v, "normalDriveLine", "driveLine"), cityMPG=attribute(v, "cityFuelEconomy"), highwayMPG=attribute(v, "highwayFuelEconomy"),
     )
 
@@ -145,10 +145,11 @@ def dealer_sync(payloads: DataFrame) -> DataFrame:
     return _item(rows, title=first_filled(v["VehicleTitle"], v["VehicleName"], joined(v["Year"], v["Make"], v["Model"], v["Trim"])), url=rooted(F.col("source_url"), text.trim(F.coalesce(v["VehicleDetailUrl"], F.lit("")))), vin=text.trim(F.coalesce(v["Vin"], F.lit(""))), stockId=text.trim(F.coalesce(v["StockNo"], F.lit(""))), mileage=positive(v["Mileage"]), price=F.when(price > 0, F.concat(F.lit("$"), whole(price))), images=F.filter(F.array(image), lambda i: i != ""))
 
 
-def driven_motion(payloads: DataFrame, dealer_id: int) -> DataFrame:
-    """One store's active retail vehicles, once by number or stock."""
-    rows, v = _rows(payloads, DRIVEN_MOTION, "props.pageProps.inventory.results"), F.col("v")
-    rows = rows.where(F.coalesce(v["dealer_id"], F.lit(0)).isin(0, dealer_id) & (blank(v["status"]) | (F.lower(v["status"]) == "active")) & (F.coalesce(v["wholesale"], F.lit(0)) == 0))
+def driven_motion(payloads: DataFrame, dealer_id: int | Column, *carried: str) -> DataFrame:
+    """One store's active retail vehicles, once by number or stock; ``carried`` names columns that ``dealer_id`` is made of."""
+    rows, v = _rows(payloads, DRIVEN_MOTION, "props.pageProps.inventory.results", *carried), F.col("v")
+    store = F.coalesce(v["dealer_id"], F.lit(0))
+    rows = rows.where(((store == 0) | (store == dealer_id)) & (blank(v["status"]) | (F.lower(v["status"]) == "active")) & (F.coalesce(v["wholesale"], F.lit(0)) == 0))
     rows = once(rows, F.upper(first_filled(v["vin"], v["stocknumber"])))
     return _item(rows, title=joined(v["year"], v["make"], v["model"], v["trim"]), url=rooted(F.col("source_url"), v["url"]), vin=identity.valid_vin(F.coalesce(v["vin"], F.lit(""))), stockId=v["stocknumber"], year=v["year"], make=v["make"], model=v["model"], price=whole(v["price"]), mileage=whole(v["mileage"]), images=filled(v["photos"]), color=v["exteriorcolor"], bodyType=v["body"], fuelType=v["fuel"], driveType=v["drivetrainstandard"])
 
@@ -172,10 +173,12 @@ def imotor(payloads: DataFrame) -> DataFrame:
 
 
 def space_auto(payloads: DataFrame, links: DataFrame) -> DataFrame:
-    """Vehicles with a title; the discounted price if positive; URLs joined from (vin, url, pos), the last of a vin."""
+    """Vehicles with a title; the discounted price if positive; URLs joined from (vin, url, pos), the last of a vin, and of
+    its run and source where ``links`` has them."""
     rows, v = _rows(payloads, SPACE_AUTO, "vehicles"), F.col("v")
-    known = links.groupBy(F.upper("vin").alias("_vin")).agg(F.max_by("url", "pos").alias("_url"))
-    rows = rows.join(known, F.upper(v["vin"]) == F.col("_vin"), "left")
+    own = [c for c in ("run_id", "source_url") if c in links.columns]
+    known = links.groupBy(*own, F.upper("vin").alias("_vin")).agg(F.max_by("url", "pos").alias("_url"))
+    rows = rows.withColumn("_vin", F.upper(v["vin"])).join(known, [*own, "_vin"], "left")
     title = joined(positive(v["year"]), v["make"], v["model"], v["trim"])
     price = F.when(v["discountedPrice"] > 0, v["discountedPrice"]).otherwise(v["price"])
     url = F.coalesce(F.nullif("_url", F.lit("")), F.concat(F.lit("/vehicle/"), F.lower(v["vin"]), F.lit("/")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import landed
 from .samples import ITEMS_ORACLE
 
 # The pieces of a URL u, as SQL.
@@ -204,3 +205,4 @@ ORACLE_SQL["site_freshness"] = """WITH i AS (SELECT l_orderkey AS o, l_partkey A
   SELECT o_orderkey, o_orderkey % 5 <> 0 AND CASE o_orderkey % 3 WHEN 0 THEN NOT coalesce(poor OR odd, false) WHEN 1 THEN NOT coalesce(poor, false) ELSE true END AS fresh FROM orders LEFT JOIN c ON o = o_orderkey"""
 ORACLE_SQL["idempotency_lookup"] = """SELECT c_custkey, max(o_orderkey) AS o_orderkey, max(o_orderkey) % 3 <> 0 AS same FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey % 7 <> 0 GROUP BY c_custkey"""
 ORACLE_SQL["idempotency_release"] = """SELECT o_orderkey, CASE WHEN c_acctbal < 0 THEN '' ELSE 'k' || o_custkey END AS "idempotencyKey" FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""
+ORACLE_SQL |= landed.SQL

@@ -256,7 +256,7 @@ def payload(spark, obj):
 
 def test_platforms(spark):
     vin = "1HGCM82633A004352"
-    ddc = {"INVENTORY": [{"vin": vin, "stockNumber": "S1", "year": 2020, "make": "A&amp;B", "model": "M", "link": "/v/1", "pricing": {"retailPrice": "$9", "dprice": [{"value": "$8", "isFinalPrice": True}]}, "trackingAttributes": [{"name": "Odometer", "value": "12 miles"}], "images": [{"uri": "u"}]}, {"vin": "x"}]}
+    ddc = {"WIS": {"inventory": [{"vin": vin, "stockNumber": "S1", "year": 2020, "make": "A&amp;B", "model": "M", "link": "/v/1", "pricing": {"retailPrice": "$9", "dprice": [{"value": "$8", "isFinalPrice": True}]}, "trackingAttributes": [{"name": "Odometer", "value": "12 miles"}], "images": [{"uri": "u"}]}, {"vin": "x"}]}}
     got = rows(platforms.dealer_dot_com(payload(spark, ddc)), "pos")
     assert [(g["title"], g["price"], g["mileage"], g["images"]) for g in got] == [("2020 A&B M", "$8", "12", ["u"])]
     on = {"DisplayCards": [{"VehicleCard": {"VehicleVin": "V", "VehicleYear": 2021, "VehicleMake": "Kia", "VehicleInternetPrice": 0, "VehicleImageModel": {"VehiclePhotoSrc": "/i.jpg"}, "WasabiVehiclePricingPanelViewModel": {"PriceStakViewModel": {"PriceStakTabsModel": {"BuyContent": "$5 SALE PRICE"}}}}}] * 2}
