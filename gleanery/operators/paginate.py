@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from .steps import written
 PAGE_OF = r"(?i)page[\s]*:?[\s]*([0-9]+)[\s]+of[\s]+([0-9]+)"
 SHOWING = r"(?i)showing[\s]*([0-9]+)[\s]*-[\s]*([0-9]+)[\s]*of[\s]*([0-9]+)"
 TOTALS = (r"(?i)(?:[0-9]+\s*[-–—]\s*[0-9]+\s+of\s+|total\s+)([0-9][0-9,]{0,8})\s*(?:vehicles?|cars?|results?|inventory|listings?)?", r"(?i)(?<![A-Za-z0-9_])([0-9][0-9,]{0,8})\s+(?:vehicles?|cars?|results?|listings?)\s+available(?![A-Za-z0-9_])")
-MOST_LINKED, MOST_OFFSETS, MAX_PAGES = 500, 120, 20
+MOST_LINKED, MOST_OFFSETS, MAX_PAGES, MOST_STATED, MOST_SECTION_PAGES = 500, 120, 20, 200, 15
+NO_CARDS, NOT_LANDED = "pagination page returned zero inventory cards", "page not landed"
 
 
 def number(c: Column) -> Column:
@@ -30,11 +33,19 @@ def total(text: Column) -> Column:
 
 
 def with_parameter(url: Column, name: str, value: Column) -> Column:
-    """The URL with a query parameter set; the others keep their places, the fragment goes."""
-    had = urls.query(url).rlike(rf"[?&]{name}=")
-    changed = F.regexp_replace(urls.query(url), rf"([?&]{name}=)[^&]*", F.concat(F.lit("$1"), value.cast("string")))
-    added = F.concat(urls.query(url), F.when(urls.query(url) == "", "?").otherwise("&"), F.lit(f"{name}="), value.cast("string"))
-    return F.concat(urls.part(url, 1), urls.part(url, 3), urls.path(url), F.when(had, changed).otherwise(added))
+    """The URL with a query parameter set: its parameters are written anew, by name, values of one name in their order.
+
+    Pairs that do not decode, and those with a semicolon, are left out.
+    """
+    text = lambda c: F.try_url_decode(c)
+    pairs = F.transform(F.split(F.substring(urls.query(url), 2, 1 << 30), "&"), lambda p: F.struct(text(F.substring_index(p, "=", 1)).alias("k"), F.when(p.contains("="), text(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("v"), p.alias("raw")))
+    kept = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull() & ~p["raw"].contains(";") & (p["raw"] != "") & (p["k"] != name))
+    own = F.array(F.struct(F.lit(name).alias("k"), value.cast("string").alias("v")))
+    every = F.concat(F.transform(kept, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v"))), own)
+    placed = F.array_sort(F.transform(every, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v"))))
+    escaped = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    query = F.array_join(F.transform(placed, lambda p: F.concat(escaped(p["k"]), F.lit("="), escaped(p["v"]))), "&")
+    return F.concat(urls.part(url, 1), urls.part(url, 3), urls.path(url), F.lit("?"), query, urls.part(url, 8))
 
 
 def pages_between(url: Column, name: str, first: Column, last: Column, step: int | Column = 1) -> Column:
@@ -84,20 +95,96 @@ def elided_urls(template: Column, name: str, linked: Column) -> Column:
     return F.transform(gaps, lambda n: with_parameter(template, name, n))
 
 
-def walk(pages: DataFrame, links: DataFrame, starts: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
-    """Landed pages reached from each run's first, breadth first: ``run_id, url, page_seq``.
+class Walk(NamedTuple):
+    """``pages``: run_id, page_seq (from 1), url. ``refused``: run_id, url, message, and the link's parent page and place."""
+
+    pages: DataFrame
+    refused: DataFrame
+
 
-    ``pages`` is (url, cards), ``links`` (url, next_url), ``starts`` (run_id, url). Pages without cards are not
-    followed. Each round is one join of the frontier, and rounds are bounded by ``max_pages``.
+def judged(landed: DataFrame) -> DataFrame:
+    """``url, message`` of landed pages (url, cards, served): why a page is not taken, else null. ``served`` is the page that
+    the pager says it is, 0 if it says nothing; ``cards`` is null where the site has no card selector."""
+    asked, served = urls.page_number(F.col("url")), F.coalesce("served", F.lit(0))
+    other = F.concat(F.lit("requested page "), asked.cast("string"), F.lit(" but got page "), served.cast("string"))
+    return landed.select("url", F.when(F.col("cards") == 0, NO_CARDS).when((asked > 1) & (served > 0) & (served != asked), other).alias("message"))
+
+
+def walk(landed: DataFrame, links: DataFrame, starts: DataFrame, max_pages: int = MAX_PAGES) -> Walk:
+    """The pages reached from each run's first, in the order in which a queue finds them, and those refused on the way.
+
+    ``landed`` is (url, message) as ``judged`` gives it; ``links`` is (url, place, next_url), a page's links in order; ``starts``
+    is (run_id, url) and may hold each run's own ``max_pages``. A page is found by the first link to it, of the first page
+    that links it. A page that is not landed or has a message is refused, anew for every link to it that is read before the
+    run has its pages. Each turn is one join of the last turn's pages with their links, so turns are as many as the longest
+    way; a run's pages of a turn are numbered together, and are fewer than its bound times a page's links.
     """
-    good = pages.where("cards > 0").select("url").distinct()
-    seen = frontier = starts.select("run_id", "url", F.lit(0).alias("page_seq"))
-    for turn in range(1, max_pages):
-        following = frontier.select("run_id", "url").join(links, "url").select("run_id", F.col("next_url").alias("url")).distinct()
-        reached = following.join(good, "url").join(seen, ["run_id", "url"], "left_anti")
-        frontier = written(reached.select("run_id", "url", F.lit(turn).alias("page_seq")), "walk")
+    most = F.col("max_pages") if "max_pages" in starts.columns else F.lit(max_pages)
+    first = starts.select("run_id", "url", F.lit(1).alias("page_seq"), most.cast("int").alias("most")).dropDuplicates(["run_id"])
+    seen, refused = first, None
+    frontier = first.withColumn("found", F.lit(1)).where("found < most")
+    known = landed.select(F.col("url").alias("next_url"), "message", F.lit(True).alias("here")).dropDuplicates(["next_url"])
+    turn_order = Window.partitionBy("run_id").orderBy("at")
+    while True:
+        reached = frontier.join(links, "url").select("run_id", "most", "found", F.struct(F.col("page_seq").alias("parent"), F.col("place").alias("place")).alias("at"), F.col("url").alias("from_url"), "next_url")
+        new = reached.join(seen.select("run_id", F.col("url").alias("next_url")), ["run_id", "next_url"], "left_anti").join(known, "next_url", "left")
+        new = written(new.withColumn("message", F.when(F.col("here"), F.col("message")).otherwise(NOT_LANDED)).drop("here"), "walk-reached")
+        taken = new.where("message is null").groupBy("run_id", "most", "found", F.col("next_url").alias("url")).agg(F.min("at").alias("at"))
+        taken = taken.withColumn("page_seq", F.col("found") + F.row_number().over(turn_order)).where(F.col("page_seq") <= F.col("most"))
+        taken = written(taken.withColumn("found", F.max("page_seq").over(Window.partitionBy("run_id"))), "walk-taken")
+        full = taken.where(F.col("page_seq") == F.col("most")).select("run_id", F.col("at").alias("last"))
+        left = new.where("message is not null").join(full, "run_id", "left").where(F.col("last").isNull() | (F.col("at") < F.col("last")))
+        left = left.select("run_id", F.col("next_url").alias("url"), "message", "from_url", F.col("at.parent").alias("parent_seq"), F.col("at.place").alias("place"))
+        refused = left if refused is None else refused.unionByName(left)
+        seen = seen.unionByName(taken.select("run_id", "url", "page_seq", "most"))
+        frontier = taken.where("found < most").select("run_id", "url", "page_seq", "most", "found")
         if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    ordered = F.row_number().over(Window.partitionBy("run_id").orderBy("page_seq", "url"))
-    return seen.withColumn("page_seq", ordered).where(F.col("page_seq") <= max_pages)
+            return Walk(seen.select("run_id", "page_seq", "url"), refused)
+
+
+def bounds(starts: DataFrame, features: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """``run_id, url, max_pages``: the site's bound, or the page count that the first page's result counts state where that
+    is more, up to 200. ``features`` is (url, stated_total, stated_count)."""
+    pages = stated_pages(F.col("stated_total"), F.col("stated_count"))
+    known = starts.join(features.dropDuplicates(["url"]), "url", "left")
+    return known.select("run_id", "url", F.when(pages > max_pages, F.least(pages, F.lit(MOST_STATED))).otherwise(max_pages).alias("max_pages"))
+
+
+def stated_pages(total: Column, count: Column) -> Column:
+    """The pages that a result total and a page's count make, at least one; 0 where either is missing."""
+    return F.when((total > 0) & (count > 0), F.greatest(F.ceil(total / count), F.lit(1)).cast("int")).otherwise(0)
+
+
+def remaining_zero_based(url: Column, items: Column, size: Column) -> Column:
+    """All following ``ai_page`` URLs."""
+    last = F.ceil(items / F.greatest(size, F.lit(1))).cast("int") - 1
+    return F.when((size > 0) & (items > size), pages_between(url, "ai_page", urls.query_int(url, "ai_page") + 1, last)).otherwise(F.array().cast("array<string>"))
+
+
+def first_added(cards: DataFrame, keys: list[str], sections: list[str], pages: int = MOST_SECTION_PAGES) -> DataFrame:
+    """Cards of sections that are read page by page until one adds nothing new; ``keys`` tell a run.
+
+    ``cards`` is (keys, section, page, pos, key): the landed pages' cards. Sections are read in the given order, pages from 1
+    to ``pages``. A card counts where its key (trimmed, in lower case) is seen first
+    among all pages that are read; a page without a new card, or that is missing, ends its section. Cards without a key
+    never count. Returned: the cards that count, in a run's order (section, page, pos).
+
+    The sections are settled one after the other: what counts in a section depends on those before it only. Within one,
+    each key's first page is an aggregation, pages that are first for no key end the prefix, and as later pages cannot make
+    an earlier one add something, one pass settles it.
+    """
+    number = F.lower(F.trim("key"))
+    rows = written(cards.withColumn("_key", number).where("_key <> ''").where(F.col("page").between(1, pages)), "section-cards")
+    kept = None
+    for section in sections:
+        own = rows.where(F.col("section") == section)
+        if kept is not None:
+            own = own.join(kept.select(*keys, "_key"), [*keys, "_key"], "left_anti")
+        first = own.groupBy(*keys, "_key").agg(F.min(F.struct("page", "pos")).alias("at"))
+        adding = first.groupBy(*keys, F.col("at.page").alias("page")).agg(F.count("*").alias("added"))
+        run = F.row_number().over(Window.partitionBy(*keys).orderBy("page"))  # at most ``pages`` rows a run
+        read = adding.withColumn("_nth", run).where("_nth = page").groupBy(*keys).agg(F.max("page").alias("last"))
+        counted = own.join(first.select(*keys, "_key", "at"), [*keys, "_key"]).where((F.col("at.page") == F.col("page")) & (F.col("at.pos") == F.col("pos")))
+        counted = written(counted.drop("at").join(read, keys).where(F.col("page") <= F.col("last")).drop("last").dropDuplicates([*keys, "_key"]), f"section-{section}")
+        kept = counted if kept is None else kept.unionByName(counted)
+    return kept.drop("_key")

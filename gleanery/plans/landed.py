@@ -3,10 +3,10 @@ the SQL that gives the same rows from the table itself."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import embedded, platforms
+from ..operators import embedded, page_links, paginate, platforms
 from .catalog import query
 from .samples import table
 
@@ -192,3 +192,78 @@ def platform_horne_motors(spark, sf_dir):
 SQL["platform_horne_motors"] = f"""WITH p AS (SELECT *, {PAGE_OF_PART} AS k, {PLACE_SQL} AS pos, CASE WHEN p_partkey % 2 = 0 THEN ' S/E  +' ELSE '' END AS t, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS b FROM part)
   SELECT 'https://w.example/l' || k AS source_url, pos, (1990 + p_size) || ' Land Rover ' || p_brand || t AS title, '/inventory/' || (1990 + p_size) || '-land-rover-' || b || CASE WHEN p_partkey % 2 = 0 THEN '-s-e' ELSE '' END || '-61-' || p_partkey AS url, {NUMBER_SQL} AS vin, '61-' || p_partkey AS "stockId",
     floor(p_retailprice)::BIGINT::VARCHAR AS price, (p_partkey * 2)::VARCHAR AS mileage, 'Red' AS color, 'https://w.example/p/1,https://c.example/' || p_partkey AS images FROM p WHERE p_partkey % 5 <> 0"""
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> paginate.Walk:
+    """Customers as runs, their orders as numbered pages: page n links 2n + 1, 2n and 3n + 1. Some pages have no cards, some
+    are not the one asked for, some are not landed; six pages a run."""
+    n, c = _c("n"), _text("o_custkey")
+    orders = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).withColumn("m", F.count("*").over(Window.partitionBy("o_custkey")))
+    base = F.concat(F.lit("https://c"), c, F.lit(".example/inventory?page="))
+    link = lambda to: F.when(to <= _c("m"), F.concat(F.lit('<a class="x-next" href="?page='), _text(to), F.lit('">n</a>'))).otherwise("")
+    html = F.concat(F.when((n > 1) & (n % 7 == 3), "").otherwise('<div class="card"></div>'), F.lit('<div class="pager">'), F.when((n > 1) & (n % 5 == 0), "Page 1 of 9").otherwise(""), F.lit("</div>"), link(2 * n + 1), link(2 * n), link(3 * n + 1))
+    pages = orders.where("n = 1 or n % 11 <> 10").select(F.concat(base, _text(n)).alias("url"), html.alias("html"))
+    starts = orders.where("n = 1").select(c.alias("run_id"), F.concat(base, F.lit("1")).alias("url"))
+    return page_links.collect(pages, starts, {"cardSelector": ".card", "pagination": {"maxPages": 6}})
+
+
+_WALK_SQL = """WITH RECURSIVE o AS (SELECT o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders),
+  g AS (SELECT *, CASE WHEN n = 1 THEN NULL WHEN n % 11 = 10 THEN 'page not landed' WHEN n % 7 = 3 THEN 'pagination page returned zero inventory cards' WHEN n % 5 = 0 THEN 'requested page ' || n || ' but got page 1' END AS message FROM o),
+  e AS (SELECT c, n, 0 AS place, 2 * n + 1 AS child FROM g UNION ALL SELECT c, n, (2 * n + 1 <= m)::INT, 2 * n FROM g UNION ALL SELECT c, n, (2 * n + 1 <= m)::INT + (2 * n <= m)::INT, 3 * n + 1 FROM g),
+  l AS (SELECT e.c, e.n, place, child, message FROM e JOIN g ON g.c = e.c AND g.n = child),
+  w AS (SELECT c, n, 0::BIGINT AS parent, 0 AS depth, []::INT[] AS path FROM g WHERE n = 1 UNION ALL SELECT l.c, child, l.n, depth + 1, list_append(path, place) FROM w JOIN l ON l.c = w.c AND l.n = w.n WHERE message IS NULL),
+  f AS (SELECT c, n, min({'d': depth, 'p': path}) AS way, arg_min(parent, {'d': depth, 'p': path}) AS parent FROM w GROUP BY c, n), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY way) AS seq FROM f) WHERE seq <= 6)"""
+SQL["paging_walk"] = _WALK_SQL + " SELECT c::VARCHAR AS run_id, seq::INT AS page_seq, 'https://c' || c || '.example/inventory?page=' || n AS url FROM a"
+SQL["paging_refused"] = _WALK_SQL + """, x AS (SELECT a.c, b.seq AS seq, list_last(a.way.p) AS place FROM a JOIN a b ON a.c = b.c AND a.parent = b.n WHERE a.seq = 6)
+  SELECT l.c::VARCHAR AS run_id, 'https://c' || l.c || '.example/inventory?page=' || child AS url, message, a.seq::INT AS parent_seq, l.place::INT AS place FROM l JOIN a ON a.c = l.c AND a.n = l.n LEFT JOIN x ON x.c = l.c WHERE message IS NOT NULL AND (x.c IS NULL OR (a.seq, l.place) < (x.seq, x.place))"""
+
+
+@query
+def paging_walk(spark, sf_dir):
+    """Pages in the order in which a queue finds them."""
+    return _walked(spark, sf_dir).pages
+
+
+@query
+def paging_refused(spark, sf_dir):
+    """Pages that are refused on the way, and why."""
+    return _walked(spark, sf_dir).refused.select("run_id", "url", "message", "parent_seq", "place")
+
+
+@query
+def paging_links(spark, sf_dir):
+    """Further pages under each kind of pager, in order."""
+    p, n = _c("p_partkey"), _c("p_size") % 7
+    kind = p % 6
+    given = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else _text(x) for x in parts])
+    html = (
+        F.when(kind == 0, given('<ul dealr-pagination="', n, '"></ul>')).when(kind == 1, given('<div class="x-pager-summary">Page: 2 of ', n, "</div>")).when(kind == 2, given('<div class="x-pagination">PrevPage 1 of ', n, "Next</div>"))
+        .when(kind == 3, given('<b class="pagination_settings__page_count"> ', n, ' </b><input class="pagination_settings__input" value="2">')).when(kind == 4, given('<div data-role="pager">Showing 1 - 10 of ', n * 10 - 3, " Results</div>"))
+        .otherwise(given('<div class="pager"><a href="?a=1&amp;page=2">2</a><a href="?a=1&amp;page=', n + 3, '">last</a></div>'))
+    )
+    pages = table(spark, sf_dir, "part").select(given("https://p", p, ".example/inventory?a=1").alias("url"), html.alias("html"))
+    return page_links.page_links(page_links.features(pages, {}))
+
+
+SQL["paging_links"] = """WITH p AS (SELECT p_partkey % 6 AS kind, p_size % 7 AS n, 'https://p' || p_partkey || '.example/inventory?' AS u FROM part),
+  k AS (SELECT kind, u, CASE kind WHEN 5 THEN [2, n + 3] || range(3, n + 3) WHEN 1 THEN range(3, n + 1) WHEN 3 THEN range(3, n + 1) ELSE range(2, n + 1) END AS pages FROM p), f AS (SELECT kind, u, unnest(pages) AS page, generate_subscripts(pages, 1) - 1 AS place FROM k)
+  SELECT u || 'a=1' AS url, place::INT AS place, u || CASE kind WHEN 2 THEN 'PageNumber=' || page || '&PageSize=100&a=1' WHEN 3 THEN 'a=1&p=' || page WHEN 4 THEN 'Paging.Page=' || page || '&a=1' ELSE 'a=1&page=' || page END AS next_url FROM f"""
+
+
+@query
+def section_union(spark, sf_dir):
+    """Orders as runs, their lines as cards of two sections, read until a page adds nothing new."""
+    line = table(spark, sf_dir, "lineitem")
+    cards = line.select("l_orderkey", F.when(_c("l_suppkey") % 2 == 0, "new").otherwise("used").alias("section"), F.expr("cast(1 + l_linenumber div 2 as int)").alias("page"), _c("l_linenumber").alias("pos"), F.when(_c("l_partkey") % 9 == 0, " ").otherwise(F.concat(F.lit(" /Viewdetails/"), _text(_c("l_partkey") % 5))).alias("key"))
+    return paginate.first_added(cards, ["l_orderkey"], ["new", "used"], 3).select("l_orderkey", "section", "page", "pos", F.trim("key").alias("key"))
+
+
+def _section_sql() -> str:
+    """A section's keys that the sections before do not have, their first places, and the prefix of pages that each add."""
+    part = lambda name, own, before: f"""{name}f AS (SELECT o, key, min((page, pos)) AS spot FROM c WHERE section = '{own}' AND page <= 3 AND key <> '' {before} GROUP BY o, key), {name}a AS (SELECT o, spot[1] AS page FROM {name}f GROUP BY ALL),
+      {name}r AS (SELECT o, max(page) AS last FROM (SELECT o, page, row_number() OVER (PARTITION BY o ORDER BY page) AS nth FROM {name}a) WHERE nth = page GROUP BY o), {name} AS (SELECT o, '{own}' AS section, spot[1] AS page, spot[2] AS pos, key FROM {name}f JOIN {name}r USING (o) WHERE spot[1] <= last)"""
+    return f"""WITH c AS (SELECT l_orderkey AS o, CASE WHEN l_suppkey % 2 = 0 THEN 'new' ELSE 'used' END AS section, 1 + l_linenumber // 2 AS page, l_linenumber AS pos, CASE WHEN l_partkey % 9 = 0 THEN '' ELSE '/viewdetails/' || l_partkey % 5 END AS key FROM lineitem),
+      {part("n", "new", "")}, {part("u", "used", "AND (o, key) NOT IN (SELECT o, key FROM n)")} SELECT o AS l_orderkey, section, page::INT AS page, pos, replace(key, '/v', '/V') AS key FROM (FROM n UNION ALL FROM u)"""
+
+
+SQL["section_union"] = _section_sql()
