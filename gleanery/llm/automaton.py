@@ -7,9 +7,10 @@ right: where a state has no arc for the next word, failure arcs are followed, an
 
 The model grows with the corpus, so no task holds it. Texts are dealt into blocks of bounded size, written once as numbers
 of words. Every block sends the hashes of its distinct n-grams, with its own counts, to the part of the key range they
-belong to; parts add up all blocks' counts and send back what other blocks add to a block's own; a block then has whole
-corpus counts for every n-gram it holds, which is the part of the automaton that its texts can reach. An n-gram has at most
-one entry a block, so a common one is no hot key, and parts are ranges of hashes of about equal size.
+belong to; parts add up all blocks' counts and send back what other blocks add to a block's own, in the order in which the
+block sorts its n-grams; a block then has whole corpus counts for every n-gram it holds, which is the part of the automaton
+that its texts can reach. An n-gram has at most one entry a block, so a common one is no hot key, and parts are ranges of
+hashes of about equal size.
 
 Probabilities are hierarchical Dirichlet estimates (MacKay and Peto): p(w | h) = (c(hw) + m p(w | h')) / (c(h) + m), where h'
 is h without its first word; words alone are discounted by n1 / (n1 + 2 n2), and what that leaves belongs to one unknown
@@ -75,22 +76,27 @@ class Block:
     def ngrams(self, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For n from 1 to ``order``: hashes of the distinct n-grams, their counts in texts that train, for each the number
         of the (n-1)-gram that it begins and ends with, and its last word."""
-        at = np.arange(len(self.tokens)) - np.repeat(self.starts, self.sizes)
+        at = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.sizes)
         learns = np.repeat(self.trains, self.sizes)
         count = np.bincount(self.tokens, learns, len(self.words)).astype(np.int64)
-        zero, all_words = np.zeros(len(self.words), np.int64), np.arange(len(self.words))
+        zero, all_words = np.zeros(len(self.words), np.int32), np.arange(len(self.words), dtype=np.int32)
         out = [(mix(self.words + U64(order)), count, zero, zero, all_words)]
-        number, base = self.tokens.astype(np.int64), len(self.words)
+        number, base = self.tokens, np.int64(len(self.words))
         for n in range(2, order + 1):
-            ends = np.flatnonzero(at >= n - 1)
-            pair = number[ends - 1] * base + self.tokens[ends]
-            distinct, first, own = np.unique(pair, return_index=True, return_inverse=True)
-            parent, last = distinct // base, distinct % base
-            suffix = number[ends[first]]
-            count = np.bincount(own.reshape(-1), learns[ends], len(distinct)).astype(np.int64)
+            ends = np.flatnonzero(at >= n - 1).astype(np.int32)
+            pair = number[ends - 1] * base
+            pair += self.tokens[ends]
+            distinct, own = np.unique(pair, return_inverse=True)
+            own = own.reshape(-1).astype(np.int32)
+            del pair
+            parent, last = (distinct // base).astype(np.int32), (distinct % base).astype(np.int32)
+            suffix = np.empty(len(distinct), np.int32)
+            suffix[own] = number[ends]  # the same for all of an n-gram
+            count = np.bincount(own, learns[ends], len(distinct)).astype(np.int64)
             out.append((mix(out[-1][0][parent] * U64(0x9E3779B97F4A7C15) + self.words[last]), count, parent, suffix, last))
-            number = np.full(len(self.tokens), -1, np.int64)
-            number[ends] = own.reshape(-1)
+            if n < order:
+                number = np.full(len(self.tokens), -1, np.int32)
+                number[ends] = own
         return out
 
 
@@ -125,7 +131,14 @@ def _block(row) -> Block:
     return Block(unpacked(row.words, np.uint64), unpacked(row.texts, np.int32), unpacked(row.sizes, np.int64), unpacked(row.held, np.int8) == 0)
 
 
-def _pieces(order: int, parts: int):
+def _sorted(ngrams: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a block's n-grams of all lengths, ascending, and their places: the same whenever it is asked."""
+    keys = np.concatenate([n[0] for n in ngrams])
+    place = np.argsort(keys, kind="stable")
+    return keys[place], place
+
+
+def _pieces(order: int, parts: int, tokens_only: bool = False):
     """Sorted hashes of a block's n-grams and its own counts, a row for each part of the key range."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,11 +146,10 @@ def _pieces(order: int, parts: int):
         for rows in batches:
             for row in rows.itertuples():
                 found = _block(row).ngrams(order)
-                if order == 1:
+                if tokens_only:
                     found = [tuple(x[1:] for x in found[0])]  # BEGIN is no token
-                keys, counts = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-                place = np.argsort(keys)
-                keys, counts = keys[place], counts[place]
+                keys, place = _sorted(found)
+                counts = np.concatenate([f[1] for f in found])[place]
                 cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
                 yield pd.DataFrame([(p, row.block, packed(keys[a:b]), packed(counts[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b], columns=["part", "block", "keys", "counts"])
 
@@ -156,15 +168,11 @@ def _gathered(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _others(rows: pd.DataFrame) -> pd.DataFrame:
-    """What other blocks add to each block's own counts, where they add anything."""
-    keys, counts, owner, totals = _gathered(rows)
-    more = totals > counts
-    keys, others, owner = keys[more], (totals - counts)[more], owner[more]
-    place = np.argsort(owner, kind="stable")
-    keys, others, owner = keys[place], others[place], owner[place]
-    cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
-    out = [(b, packed(keys[i:j]), packed(others[i:j])) for b, i, j in zip(rows["block"], cuts[:-1], cuts[1:], strict=True) if i < j]
-    return pd.DataFrame(out, columns=["block", "keys", "others"])
+    """What other blocks add to each of a block's own counts, in the order of its piece: the hashes need not go back."""
+    _, counts, owner, totals = _gathered(rows)
+    others = (totals - counts)[np.argsort(owner, kind="stable")]
+    cuts = [0, *np.cumsum(np.bincount(owner, minlength=len(rows))).tolist()]
+    return pd.DataFrame({"block": rows["block"], "part": rows["part"], "others": [packed(others[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]})
 
 
 def _word_totals(rows: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +207,7 @@ class Automaton:
                 mass = masses[min(n, len(masses)) - 1]
                 p = np.where(seen, (c + mass * p[suffix]) / (counts[n - 1][parent] + mass), 0.0)
             at = np.flatnonzero(seen)
-            arcs.append((offsets[n - 1] + parent[at] if n else parent[at]) * self.width + last[at])
+            arcs.append((parent[at].astype(np.int64) + (offsets[n - 1] if n else 0)) * self.width + last[at])
             weights.append(np.log10(p[at]))
             if n < order - 1:
                 mass = masses[min(n + 1, len(masses)) - 1]
@@ -209,7 +217,8 @@ class Automaton:
                 targets.append(offsets[n] + at)
             else:  # the state of the longest n-grams lacks their first word
                 targets.append(offsets[n - 1] + suffix[at] if n else np.zeros(len(at), np.int64))
-        place = np.argsort(arcs := np.concatenate(arcs))
+        arcs = np.concatenate(arcs)
+        place = np.argsort(arcs)
         self.arcs, self.weights, self.targets = arcs[place], np.concatenate(weights)[place], np.concatenate(targets)[place]
         self.start = offsets[0] if order > 1 and counts[0][0] else 0
 
@@ -245,16 +254,14 @@ class Automaton:
 def _score(order: int, masses: tuple[float, ...], statistics: tuple[int, int, int, int]):
     def run(blocks: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         out = []
-        far, add = ((np.concatenate([unpacked(x, kind) for x in others[c]]) if len(others) else np.zeros(0, kind)) for c, kind in (("keys", np.uint64), ("others", np.int64)))
-        place = np.argsort(far)
-        far, add = np.append(far[place], U64(0)), np.append(add[place], 0)
-        for row in blocks.itertuples():
+        for row in blocks.itertuples():  # one
             block = _block(row)
             ngrams = block.ngrams(order)
-            counts = []
-            for keys, own, *_ in ngrams:
-                at = np.searchsorted(far[:-1], keys)
-                counts.append(own + np.where(far[at] == keys, add[at], 0))
+            _, place = _sorted(ngrams)
+            counts = np.concatenate([n[1] for n in ngrams])
+            counts[place] += np.concatenate([unpacked(x, np.int64) for x in others.sort_values("part")["others"]])
+            counts = np.split(counts, np.cumsum([len(n[1]) for n in ngrams])[:-1])
+            ngrams = [(None, None, *n[2:]) for n in ngrams]
             model = Automaton(ngrams, counts, statistics, masses)
             scores = model.scores(block.tokens, block.starts + 1, block.sizes - 1)
             tokens, distinct = statistics[:2]
@@ -294,9 +301,9 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 2, masses: tuple
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     blocks = materialize(rows.mapInArrow(_to_blocks, _ROWS), "lm-blocks")
     tokens = blocks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    pieces = lambda n: blocks.select("block", "held", "sizes", "words", "texts").mapInPandas(_pieces(n, max(1, -(-tokens * n // PART_ENTRIES))), "part int, block long, keys binary, counts binary").groupBy("part")
-    totals = pieces(1).applyInPandas(_word_totals, "n long, v long, n1 long, n2 long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2")])
+    pieces = lambda n, only=False: blocks.select("block", "held", "sizes", "words", "texts").mapInPandas(_pieces(n, max(1, -(-tokens * n // PART_ENTRIES)), only), "part int, block long, keys binary, counts binary").groupBy("part")
+    totals = pieces(1, only=True).applyInPandas(_word_totals, "n long, v long, n1 long, n2 long").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n1", "n2")])
     statistics = tuple(totals.first())
-    others = pieces(order).applyInPandas(_others, "block long, keys binary, others binary")
+    others = pieces(order).applyInPandas(_others, "block long, part int, others binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.drop("tokens").groupBy("block").cogroup(others.groupBy("block")).applyInPandas(_score(order, masses, statistics), schema)
