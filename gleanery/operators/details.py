@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as tree
+from ..functions import urls
 from .extract import image_of, vin_of
 
 # Labels by field, in order of trust; labels of numbers; body types; classes of named title/value blocks.
@@ -31,9 +32,10 @@ KNOWN = {"color", *(x for labels in (*LABELS.values(), *IDENTITY.values()) for x
 #: Bytes of a text that may be one label with its value, and of one that may be a bare value.
 MOST_PAIR, MOST_TILE = 160, 80
 LEAST_SIDE = 300
-#: ``found`` fills blanks, ``named`` replaces what an item has.
-SCHEMA = "url string, found map<string,string>, named map<string,string>, images array<string>"
+#: ``found`` fills blanks, ``named`` replaces what an item has; ``large`` are the images that the page states to be so.
+SCHEMA = "url string, found map<string,string>, named map<string,string>, images array<string>, large array<string>"
 
+# The patterns of bare values.
 _flags = re.I | re.A
 _MILES = re.compile(r"\b([0-9][0-9,]*)\s*(miles?|mi)\b", _flags)
 _GEARS = re.compile(r"\b([0-9]{1,2}\s*speed|automatic|manual|dual\s+clutch|cvt)\b", _flags)
@@ -137,8 +139,26 @@ def value_of(found: dict[str, str], labels: tuple[str, ...]) -> str:
     return ""
 
 
-def page_details(html: str | None, site: dict) -> tuple[dict[str, str], dict[str, str], list[str]]:
-    """Fields that fill blanks, fields that replace, and images of a page.
+def dimension(node: tree.Node, name: str) -> int:
+    """A stated side, 0 if there is none."""
+    stated = (node.attr(name), node.attr(f"data-{name}"))
+    return next((int(v) for v in stated if v.isascii() and v.isdigit() and int(v) > 0), 0)
+
+
+def page_images(doc: tree.Node, selector: str) -> tuple[list[str], list[str]]:
+    """Images that the page does not state to be small, and those of them that it states to be large."""
+    images, large = [], []
+    for node in doc.find(selector):
+        sides = [dimension(node, name) for name in ("width", "height")]
+        image = image_of(node) or node.attr("href")
+        if image and not any(0 < side < LEAST_SIDE for side in sides):
+            images.append(image)
+            large += [image] * (min(sides) >= LEAST_SIDE)
+    return list(dict.fromkeys(images)), list(dict.fromkeys(large))
+
+
+def page_details(html: str | None, site: dict) -> tuple[dict[str, str], dict[str, str], list[str], list[str]]:
+    """Fields that fill blanks, fields that replace, images of a page, and those of them that it states to be large.
 
     A bare value comes before a labelled one. ``drive label`` is the labelled drive type alone: it also replaces a drive
     type that still holds its own label.
@@ -159,26 +179,37 @@ def page_details(html: str | None, site: dict) -> tuple[dict[str, str], dict[str
     fields["vin"] = vin_of(fields["vin"]) or vin_of(doc.first_text(site.get("vinSelector", ""))) or next((v for m in re.findall(r"\b[A-HJ-NPR-Z0-9]{17}\b", doc.text().upper()) if (v := vin_of(m))), "")
     fields["stockId"] = fields["stockId"] or doc.first_text(site.get("stockSelector", "")).strip()
     blocks = named_blocks(doc, after)
-    side = lambda n, name: int(v) if (v := n.attr(name) or n.attr(f"data-{name}")).isdigit() else LEAST_SIDE
-    images = [image_of(n) or n.attr("href") for n in doc.find(site.get("imageSelector", "")) if min(side(n, "width"), side(n, "height")) >= LEAST_SIDE]
-    return {k: v for k, v in fields.items() if v}, {f: blocks[x] for f, x in NAMED.items() if x in blocks}, list(dict.fromkeys(i for i in images if i))
+    return {k: v for k, v in fields.items() if v}, {f: blocks[x] for f, x in NAMED.items() if x in blocks}, *page_images(doc, site.get("imageSelector", ""))
 
 
 def parse_details(details: DataFrame, site: dict) -> DataFrame:
-    """``url, found, named, images`` of landed detail pages (url, html), each parsed once."""
+    """``url, found, named, images, large`` of landed detail pages (url, html), each parsed once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             got = [page_details(h, site) for h in rows["html"]]
-            yield pd.DataFrame({"url": rows["url"], "found": [g[0] for g in got], "named": [g[1] for g in got], "images": [g[2] for g in got]})
+            yield pd.DataFrame({"url": rows["url"], "found": [g[0] for g in got], "named": [g[1] for g in got], "images": [g[2] for g in got], "large": [g[3] for g in got]})
 
     return details.select("url", "html").mapInPandas(run, SCHEMA)
 
 
-def enrich(items: DataFrame, details: DataFrame, site: dict) -> DataFrame:
+def without_small_images(parsed: DataFrame, sizes: DataFrame, least: int = LEAST_SIDE) -> DataFrame:
+    """Parsed pages without the images that are known to be small by ``sizes`` (url, w, h), and that the page does not state
+    to be large. Images are compared by their URLs as the page's own URL resolves them; those of no known size stay."""
+    images = parsed.select("url", F.posexplode("images").alias("pos", "image"), "large")
+    known = sizes.select(F.col("url").alias("_at"), "w", "h")
+    kept = images.withColumn("_at", urls.resolve(F.col("url"), F.col("image"))).join(known, "_at", "left")
+    kept = kept.where(F.array_contains("large", F.col("image")) | F.col("w").isNull() | (F.least("w", "h") >= least))
+    lists = kept.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "image"))), lambda x: x["image"]).alias("_kept"))
+    return parsed.join(lists, "url", "left").withColumn("images", F.coalesce("_kept", F.array().cast("array<string>"))).drop("_kept")
+
+
+def enrich(items: DataFrame, details: DataFrame, site: dict, sizes: DataFrame | None = None) -> DataFrame:
     """Items with blank fields filled from their detail page, and those of named blocks replaced; found images replace the
-    list's. Normalise afterwards."""
-    pages = parse_details(details, site).select(F.col("url").alias("_url"), "found", "named", F.col("images").alias("_images")).dropDuplicates(["_url"])
+    list's, without those that ``sizes`` (url, w, h) knows to be small. Normalise afterwards."""
+    parsed = parse_details(details, site).dropDuplicates(["url"])
+    parsed = parsed if sizes is None else without_small_images(parsed, sizes)
+    pages = parsed.select(F.col("url").alias("_url"), "found", "named", F.col("images").alias("_images"))
     joined = items.join(pages, items["url"] == F.col("_url"), "left")
     of = lambda column, key: F.try_element_at(column, F.lit(key))
     fill = {f: F.when(F.col(f) == "", F.coalesce(of("found", f), F.lit(""))).otherwise(F.col(f)) for f in LABELS | IDENTITY}

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import embedded, page_links, paginate, platforms
+from .. import schemas
+from ..operators import details, embedded, page_links, paginate, platforms
+from ..sources import images
 from .catalog import query
 from .samples import table
 
@@ -267,3 +269,51 @@ def _section_sql() -> str:
 
 
 SQL["section_union"] = _section_sql()
+
+
+def _image_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as images of their own sizes: PNG, GIF and JPEG with segments before the frame, some of them cut, and no images."""
+    p = _c("p_partkey")
+    w, h = (p % 1000 + 1).cast("int"), (_c("p_size") * 12).cast("int")
+    big, little = (lambda c, n: F.lpad(F.hex(c), 2 * n, "0")), (lambda c: F.concat(F.lpad(F.hex(c % 256), 2, "0"), F.lpad(F.hex(F.floor(c / 256)), 2, "0")))
+    head = F.concat(F.lit("49484452"), big(w, 4), big(h, 4), F.lit("0802000000"))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D"), head, big(F.crc32(F.unhex(head)), 4), F.lit("00000000"))
+    gif = F.concat(F.lit("474946383961"), little(w), little(h), F.lit("800000"), F.lit("00" * 6), F.lit("3B"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600" + "00" * 9), F.lit("FFFE"), big((p % 50) + 2, 2), F.repeat(F.lit("FF"), (p % 50).cast("int")), F.lit("FFFFC2001108"), big(h, 2), big(w, 2), F.lit("03" + "012200" * 3))
+    whole = F.when(p % 4 == 0, png).when(p % 4 == 1, gif).when(p % 4 == 2, jpeg).otherwise(F.lit("3C737667"))
+    cut = F.when(p % 7 == 3, F.substring(whole, 1, 40)).otherwise(whole)
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("https://v.example/i/"), _text(p)).alias("url"), F.unhex(cut).alias("content"))
+
+
+@query
+def image_sizes(spark, sf_dir):
+    return images.sizes(_image_bytes(spark, sf_dir))
+
+
+SQL["image_sizes"] = "SELECT 'https://v.example/i/' || p_partkey AS url, p_partkey % 1000 + 1 AS w, (p_size * 12)::BIGINT AS h FROM part WHERE p_partkey % 4 < 3 AND (p_partkey % 7 <> 3 OR p_partkey % 4 = 1)"
+
+
+@query
+def detail_fields(spark, sf_dir):
+    """Parts as items whose blank fields their detail pages fill, and whose images are those that are not known to be small."""
+    p = _c("p_partkey")
+    url = F.concat(F.lit("https://v.example/d/"), _text(p))
+    row = lambda label, value: F.concat(F.lit(f"<tr><td>{label}</td><td>"), value, F.lit("</td></tr>"))
+    image = lambda k, more="": F.concat(F.lit('<img class="g" src="/i/'), _text(p + k), F.lit(f'"{more}>'))
+    html = F.concat(
+        F.lit("<script>Year: 1900</script><table>"), row("Stock #", F.concat(F.lit("K"), _text(p))), row("Year", _text(1990 + _c("p_size"))), row("Drivetrain", F.lit("AWD")), row("Fuel Type", F.when(p % 3 == 0, "").otherwise("Gas")), F.lit("</table>"),
+        F.when(p % 2 == 0, F.lit('<div><div class="vdp-info-block__info-item-title">Engine</div><div></div><div class="vdp-info-block__info-item-description">3.6L V6</div></div>')).otherwise(""),
+        image(0), image(1, ' width="640" height="480"'), image(2, ' data-height="299"'), image(4),
+    )
+    parts = table(spark, sf_dir, "part")
+    given = {"url": url, "engine": F.lit("old"), "stockId": F.when(p % 5 == 0, F.concat(F.lit("own"), _text(p))).otherwise("")}
+    items = parts.select(p.alias("id"), *[given.get(n, F.lit("")).alias(n) for n in schemas.ITEM_TEXTS], F.array(F.lit("/card.jpg")).alias("images"))
+    pages = parts.where("p_partkey % 11 <> 4").select(url.alias("url"), html.alias("html"))
+    found = details.enrich(items, pages, {"imageSelector": "img.g"}, images.sizes(_image_bytes(spark, sf_dir)))
+    return found.select("id", "stockId", "year", "driveType", "fuelType", "engine", F.array_join("images", ",").alias("images"))
+
+
+SQL["detail_fields"] = f"""WITH s AS ({SQL["image_sizes"]}), p AS (SELECT p_partkey AS id, p_size, p_partkey % 11 <> 4 AS has FROM part),
+  k AS (SELECT id, unnest([0, 1, 4]) AS k FROM p), g AS (SELECT id, string_agg('/i/' || (id + k), ',' ORDER BY k) AS images FROM k LEFT JOIN s ON url = 'https://v.example/i/' || (id + k) WHERE k = 1 OR w IS NULL OR least(w, h) >= 300 GROUP BY id)
+  SELECT id, CASE WHEN id % 5 = 0 THEN 'own' || id WHEN has THEN 'K' || id ELSE '' END AS "stockId", CASE WHEN has THEN (1990 + p_size)::VARCHAR ELSE '' END AS year, CASE WHEN has THEN 'AWD' ELSE '' END AS "driveType", CASE WHEN has AND id % 3 > 0 THEN 'Gas' ELSE '' END AS "fuelType",
+    CASE WHEN has AND id % 2 = 0 THEN '3.6L V6' ELSE 'old' END AS engine, CASE WHEN has THEN images ELSE '/card.jpg' END AS images FROM p LEFT JOIN g USING (id)"""

@@ -17,17 +17,18 @@ class Result:
     runs: DataFrame
 
 
-def run(pages: DataFrame, site: dict, detail_pages: DataFrame | None = None, dealer_id: str = "", cap: int = 0) -> Result:
+def run(pages: DataFrame, site: dict, detail_pages: DataFrame | None = None, dealer_id: str = "", cap: int = 0, image_sizes: DataFrame | None = None) -> Result:
     """Extract, normalise, alias, dedupe, enrich, dedupe again, validate, count, derive the status.
 
     ``pages`` is ``run_id, page_seq, url, html``. Order within a run is (page, extractor, position).
+    ``image_sizes`` (url, w, h) drops small images of detail pages.
     """
     rows = extract.extract(pages, site).withColumns({"dealer_id": F.lit(dealer_id), "seq": F.row_number().over(Window.partitionBy("run_id").orderBy("page_seq", "extractor", "pos"))})
     first = pages.groupBy("run_id").agg(F.min_by("url", "page_seq").alias("site_url"))
     ready = normalize.aliases(normalize.normalize(rows)).join(first, "run_id").withColumn("website", F.col("site_url")).drop("site_url")
     items = dedupe.dedupe(ready, ["run_id"])
     if detail_pages is not None:
-        based = details.enrich(items, detail_pages, site.get("detailPage", {})).withColumns({"source_url": F.col("website"), "dealer_id": F.lit(dealer_id)})
+        based = details.enrich(items, detail_pages, site.get("detailPage", {}), image_sizes).withColumns({"source_url": F.col("website"), "dealer_id": F.lit(dealer_id)})
         items = dedupe.dedupe(normalize.aliases(normalize.normalize(based)), ["run_id"])
     if cap:
         items = inventory.capped(items, ["run_id"], cap)

@@ -200,7 +200,7 @@ def test_pipeline(spark):
 
 
 def test_details_page():
-    found, named, images = details.page_details("<table><tr><th>Stock #</th><td>K1</td></tr></table><p>Transmission: Auto</p><img class=g src=/a.jpg width=100><img class=g src=/b.jpg>", {"imageSelector": "img.g"})
+    found, named, images, _ = details.page_details("<table><tr><th>Stock #</th><td>K1</td></tr></table><p>Transmission: Auto</p><img class=g src=/a.jpg width=100><img class=g src=/b.jpg>", {"imageSelector": "img.g"})
     assert found["stockId"] == "K1" and found["transmission"] == "Auto" and images == ["/b.jpg"] and not named
 
 
