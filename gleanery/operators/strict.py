@@ -10,10 +10,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import identity, text
+from ..functions import html as tree
+from ..functions import identity, text, urls
 
 # Item fields by their place in a listing.
 PLACES = {
@@ -95,3 +96,74 @@ def joined_posts(listing_rows: DataFrame, posts: DataFrame, media: DataFrame) ->
     gallery = media.groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda m: m["url"]).alias("images"))
     good = both.join(failed, "run_id", "left_anti").join(gallery, F.col("id") == F.col("parent"), "left")
     return good.select("run_id", "id", "vin", "stock", F.coalesce("images", F.array().cast("array<string>")).alias("images")), failed
+
+
+# What a listing page states of its set, and the rules' messages.
+STATUS_SELECT, STATUS_KEPT, SET_PAGER, SET_TOTAL, MOST_SET_PAGES = "select[name='SoldStatus']", "AvailableVehicles", "[class*='pagination']", "input.data-inventory-total-records", 1000
+SET_PAGE = r"(?i)page\s+([0-9]+)\s+of\s+([0-9]+)"
+NO_FILTER = "site did not retain the Available status filter; refusing to sync unfiltered inventory"
+NO_PAGER, BAD_PAGER, BAD_TOTAL = "missing 'Page X of Y' pagination; refusing to guess completeness", "invalid pagination counts", "invalid inventory total"
+CHANGED = "inventory totals changed during scraping; rerun to get a consistent inventory"
+
+
+def available_page_url(source: Column, page: Column) -> Column:
+    """The URL of a page of the filtered listing."""
+    return F.concat(source, F.lit(f"?SoldStatus={STATUS_KEPT}&PageNumber="), page.cast("string"), F.lit("&PageSize=100"))
+
+
+def set_features(pages: DataFrame) -> DataFrame:
+    """``run_id, page_seq, status, pager, total``: the selected status, the pagers' text and the stated total of each page."""
+
+    def of(page: str | None) -> tuple[str, str, str]:
+        top = tree.parse(page)
+        select = top.first(STATUS_SELECT)
+        options = select.find("option") if select else []
+        chosen = next((o for o in options if "selected" in o.attrs), options[0] if options else None)
+        return chosen.attrs.get("value", "") if chosen else "", "".join(n.text() for n in top.find(SET_PAGER)), top.first_attr(SET_TOTAL, "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = pd.DataFrame([of(h) for h in rows["html"]], columns=["status", "pager", "total"])
+            yield pd.concat([rows[["run_id", "page_seq"]].reset_index(drop=True), found], axis=1)
+
+    return pages.select("run_id", "page_seq", "html").mapInPandas(run, "run_id string, page_seq int, status string, pager string, total string")
+
+
+def complete_sets(features: DataFrame, items: DataFrame, host: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """The items (run_id, page_seq, pos, url, ...) of runs whose pages are proven to be a whole set, and ``run_id, message`` of the
+    others: the first rule that fails when the pages are read in order, and on a page in this order.
+
+    The status filter is kept; the pager states "page X of Y" with sane counts and a total that is a number; the page is
+    the one asked for; page count and total are those of page 1; the page has items; each is an https URL of ``host`` below
+    ``path`` and none came before. At the end there are as many items as stated. Pages after the stated last are not read; a
+    page that is not landed is an error. Nothing of a run passes in part.
+    """
+    counts = features.select("run_id", "page_seq", "status", F.regexp_extract("pager", SET_PAGE, 1).alias("_x"), F.regexp_extract("pager", SET_PAGE, 2).alias("_y"), F.translate("total", ",", "").alias("_t"))
+    counts = counts.withColumns({"x": F.col("_x").try_cast("int"), "y": F.col("_y").try_cast("int"), "t": F.when(F.col("_t") == "", F.lit(0)).otherwise(F.col("_t").try_cast("int"))})
+    first = counts.where("page_seq = 1").select("run_id", F.col("y").alias("pages"), F.col("t").alias("expected")).dropDuplicates(["run_id"])
+    runs = features.select("run_id").distinct().join(first, "run_id", "left")
+    asked = runs.select("*", F.explode(F.sequence(F.lit(1), F.least(F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1)), F.lit(MOST_SET_PAGES)))).alias("page_seq"))
+    seen = asked.join(counts.withColumn("here", F.lit(True)), ["run_id", "page_seq"], "left")
+    sizes = items.groupBy("run_id", "page_seq").agg(F.count("*").alias("items"))
+    seen = seen.join(sizes, ["run_id", "page_seq"], "left")
+    sane = F.coalesce((F.col("x") >= 1) & (F.col("y") >= F.col("x")) & (F.col("y") <= MOST_SET_PAGES), F.lit(False))
+    rules = [
+        (F.col("here").isNull(), F.lit("page not landed")), (F.coalesce("status", F.lit("")) != STATUS_KEPT, F.lit(NO_FILTER)), (F.coalesce("_x", F.lit("")) == "", F.lit(NO_PAGER)), (~sane, F.lit(BAD_PAGER)),
+        (F.col("t").isNull() | ((F.col("_t") != "") & (F.col("t") < 1)), F.lit(BAD_TOTAL)), (F.col("x") != F.col("page_seq"), F.concat(F.lit("requested page "), "page_seq", F.lit(" but received page "), "x", F.lit("; refusing partial sync"))),
+        (~(F.col("y").eqNullSafe(F.col("pages")) & F.col("t").eqNullSafe(F.col("expected"))), F.lit(CHANGED)), (F.coalesce("items", F.lit(0)) == 0, F.concat(F.lit("page "), "page_seq", F.lit(" has no usable inventory or extraction errors"))),
+    ]
+    broken, place = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for k, (rule, message) in reversed(list(enumerate(rules))):
+        broken, place = F.when(rule, message).otherwise(broken), F.when(rule, k).otherwise(place)
+    of_pages = seen.select("run_id", F.struct("page_seq", place.alias("rule"), F.lit(0).alias("pos"), broken.alias("message")).alias("fault")).where("fault.message is not null")
+    read = items.join(asked.select("run_id", "page_seq"), ["run_id", "page_seq"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("run_id", "url").orderBy("page_seq", "pos"))
+    url = F.coalesce("url", F.lit(""))
+    valid = (urls.scheme(url) == "https") & (urls.hostname(url) == host) & urls.path(url).startswith(path)
+    fault = F.when(~valid, F.concat(F.lit('unexpected detail URL "'), url, F.lit('"'))).when(F.col("_nth") > 1, F.concat(F.lit("repeated vehicle "), url, F.lit(" on page "), "page_seq", F.lit("; refusing partial sync")))
+    of_items = read.withColumn("_nth", nth).select("run_id", F.struct("page_seq", F.lit(len(rules)).alias("rule"), "pos", fault.alias("message")).alias("fault")).where("fault.message is not null")
+    totals = read.groupBy("run_id").agg(F.count("*").alias("came")).join(runs, "run_id")
+    short = F.concat(F.lit("collected "), "came", F.lit(" vehicles, site reports "), "expected", F.lit("; refusing partial sync"))
+    of_runs = totals.where("expected > 0 and came <> expected").select("run_id", F.struct(F.lit((1 << 31) - 1).alias("page_seq"), F.lit(0).alias("rule"), F.lit(0).alias("pos"), short.alias("message")).alias("fault"))
+    failed = of_pages.unionByName(of_items).unionByName(of_runs).groupBy("run_id").agg(F.min("fault")["message"].alias("message"))
+    return read.join(failed, "run_id", "left_anti"), failed

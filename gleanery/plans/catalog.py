@@ -93,15 +93,6 @@ def next_page_urls(spark, sf_dir):
     return numbered.where("n > current").select("page_id", F.regexp_replace("url", r"([?&]page=)[0-9]+", F.concat(F.lit("$1"), F.col("n").cast("string"))).alias("next_url"))
 
 
-@query
-def card_selector_counts(spark, sf_dir):
-    """The two commonest class names of each page, ties by name; there is no least count."""
-    names = F.flatten(F.transform(F.regexp_extract_all("html", F.lit(r'class="([^"]*)"'), F.lit(1)), lambda c: F.split(c, " +")))
-    counts = _pages(spark, sf_dir).select("page_id", F.explode(names).alias("name")).where("name <> ''").groupBy("page_id", "name").agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "name")))
-    return ranked.where("place <= 2")
-
-
 @query
 def redact_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(F.col("text"))).alias("redacted_md5"))

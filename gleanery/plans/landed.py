@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import details, embedded, page_links, paginate, platforms
+from ..operators import captures, details, discover, embedded, page_links, paginate, platforms, strict
 from ..sources import images
 from .catalog import query
 from .samples import table
@@ -317,3 +317,99 @@ SQL["detail_fields"] = f"""WITH s AS ({SQL["image_sizes"]}), p AS (SELECT p_part
   k AS (SELECT id, unnest([0, 1, 4]) AS k FROM p), g AS (SELECT id, string_agg('/i/' || (id + k), ',' ORDER BY k) AS images FROM k LEFT JOIN s ON url = 'https://v.example/i/' || (id + k) WHERE k = 1 OR w IS NULL OR least(w, h) >= 300 GROUP BY id)
   SELECT id, CASE WHEN id % 5 = 0 THEN 'own' || id WHEN has THEN 'K' || id ELSE '' END AS "stockId", CASE WHEN has THEN (1990 + p_size)::VARCHAR ELSE '' END AS year, CASE WHEN has THEN 'AWD' ELSE '' END AS "driveType", CASE WHEN has AND id % 3 > 0 THEN 'Gas' ELSE '' END AS "fuelType",
     CASE WHEN has AND id % 2 = 0 THEN '3.6L V6' ELSE 'old' END AS engine, CASE WHEN has THEN images ELSE '/card.jpg' END AS images FROM p LEFT JOIN g USING (id)"""
+
+
+def _set_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers as runs, every four of their orders as a page: some runs lose their filter, state other counts, lack a page, or
+    repeat a vehicle or name one of another host."""
+    c, n = _c("o_custkey"), _c("n")
+    orders = table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).withColumn("m", F.count("*").over(Window.partitionBy("o_custkey")))
+    orders = orders.withColumn("page_seq", F.expr("cast(n div 4 + 1 as int)")).withColumn("last", F.expr("cast((m + 3) div 4 as int)"))
+    slug = F.when((c % 9 == 4) & (n == 5), F.lit(0)).otherwise(n)  # a vehicle again
+    url = F.concat(F.when((c % 9 == 5) & (n == 2), F.lit("http")).otherwise("https"), F.lit("://www.a.example/details/"), _text(c), F.lit("-"), _text(slug))
+    items = orders.select(_text(c).alias("run_id"), "page_seq", (n % 4).cast("int").alias("pos"), url.alias("url"))
+    p = _c("page_seq")
+    status = F.when((c % 9 == 1) & (p == 2), F.lit("")).otherwise(" selected")
+    total = F.when((c % 9 == 2) & (p == 2), _c("m") + 1).when(c % 9 == 6, _c("m") + 2).otherwise(_c("m"))
+    pager = F.when((c % 9 == 7) & (p == 1), F.lit("no pages")).otherwise(F.concat(F.lit("Page "), _text(F.when((c % 9 == 3) & (p == 3), 1).otherwise(p)), F.lit(" of "), _text("last")))
+    html = F.concat(F.lit('<select name="SoldStatus"><option value="All">a</option><option value="AvailableVehicles"'), status, F.lit('>b</option></select><div class="x-pagination"> '), pager, F.lit(' </div><input class="data-inventory-total-records" value="'), _text(total), F.lit('">'))
+    pages = orders.where("n % 4 = 0").where(~((c % 9 == 8) & (p == 2))).select(_text(c).alias("run_id"), "page_seq", html.alias("html"))
+    return pages, items
+
+
+@query
+def complete_page_sets(spark, sf_dir):
+    """How many vehicles each proven run has, and why the others are refused."""
+    pages, items = _set_pages(spark, sf_dir)
+    good, failed = strict.complete_sets(strict.set_features(pages), items, "www.a.example", "/details/")
+    return good.groupBy("run_id").agg(F.count("*").alias("items"), F.lit("").alias("message")).unionByName(failed.select("run_id", F.lit(0).cast("long").alias("items"), "message"))
+
+
+SQL["complete_page_sets"] = """WITH r AS (SELECT o_custkey AS c, count(*) AS m, (count(*) + 3) // 4 AS y FROM orders GROUP BY 1),
+  e AS (SELECT c, m, CASE
+    WHEN c % 9 = 1 AND y >= 2 THEN 'site did not retain the Available status filter; refusing to sync unfiltered inventory' WHEN c % 9 = 2 AND y >= 2 THEN 'inventory totals changed during scraping; rerun to get a consistent inventory'
+    WHEN c % 9 = 3 AND y >= 3 THEN 'requested page 3 but received page 1; refusing partial sync' WHEN c % 9 = 4 AND m >= 6 THEN 'repeated vehicle https://www.a.example/details/' || c || '-0 on page 2; refusing partial sync'
+    WHEN c % 9 = 5 AND m >= 3 THEN 'unexpected detail URL "http://www.a.example/details/' || c || '-2"' WHEN c % 9 = 6 THEN 'collected ' || m || ' vehicles, site reports ' || (m + 2) || '; refusing partial sync'
+    WHEN c % 9 = 7 THEN 'missing ''Page X of Y'' pagination; refusing to guess completeness' WHEN c % 9 = 8 AND y >= 2 THEN 'page not landed' ELSE '' END AS message FROM r) SELECT c::VARCHAR AS run_id, CASE WHEN message = '' THEN m ELSE 0 END AS items, message FROM e"""
+
+
+@query
+def capture_choice(spark, sf_dir):
+    """Orders as URLs, their lines as captures by five ways: challenged, blocked, without cards, failed and good ones."""
+    k, n = _c("l_orderkey"), _c("l_linenumber")
+    kind = (k + n * n) % 8
+    html = F.when(kind == 0, F.lit("<a href='https://captcha-delivery.com/x'>")).when(kind == 1, F.lit("Please enable JS and disable any ad blocker")).when(kind == 2, F.lit("<title>Just a moment...</title>/cdn-cgi/challenge-platform/")).when(kind != 3, F.lit("<p>page</p>"))
+    way = F.element_at(F.array(*map(F.lit, captures.WAYS)), (n % 5 + 1).cast("int"))
+    made = table(spark, sf_dir, "lineitem").select(F.lit("r").alias("run_id"), k.alias("url"), way.alias("way"), n.alias("at"), html.alias("html"), F.when(k % 6 == 0, F.lit(None)).otherwise((kind - 4) % 3).cast("int").alias("cards"), F.when(kind == 3, F.lit("HTTP 500")).alias("error"))
+    return captures.choose(made).select("url", F.coalesce("way", F.lit("")).alias("way"), F.coalesce("at", F.lit(-1)).alias("at"), F.coalesce("cards", F.lit(-1)).alias("cards"), F.coalesce("message", F.lit("")).alias("message"))
+
+
+SQL["capture_choice"] = """WITH c AS (SELECT l_orderkey AS url, l_linenumber % 5 AS way, l_linenumber AS spot, (l_orderkey + l_linenumber * l_linenumber) % 8 AS kind, CASE WHEN l_orderkey % 6 = 0 THEN NULL ELSE ((l_orderkey + l_linenumber * l_linenumber) % 8 - 4) % 3 END AS cards FROM lineitem),
+  d AS (SELECT url, way, arg_max({'spot': spot, 'error': CASE WHEN kind = 3 THEN 'HTTP 500' WHEN kind < 3 THEN 'blocked' END, 'cards': cards, 'challenge': kind = 0}, spot) AS s FROM c GROUP BY url, way),
+  w AS (SELECT url, max(s) FILTER (way = 0) AS f, max(s) FILTER (way = 1) AS r, max(s) FILTER (way = 2) AS a, max(s) FILTER (way = 3) AS b, max(s) FILTER (way = 4) AS p FROM d GROUP BY url),
+  g AS (SELECT *, f IS NOT NULL AND f.error IS NULL AS fok, a IS NOT NULL AND a.error IS NULL AS aok, b IS NOT NULL AND NOT (a IS NOT NULL AND a.error IS NULL AND coalesce(a.cards >= 2, true)) AS second FROM w),
+  h AS (SELECT *, CASE WHEN coalesce(f.challenge, false) THEN NULL WHEN fok AND coalesce(f.cards >= 1, true) THEN 'fetch' WHEN fok AND r IS NOT NULL AND r.error IS NULL AND coalesce(r.cards, 0) > 0 THEN 'rendered' WHEN aok AND NOT second THEN 'first' WHEN second AND b.error IS NULL THEN 'second' WHEN aok THEN NULL WHEN p IS NOT NULL AND p.error IS NULL THEN 'plain' END AS way FROM g),
+  i AS (SELECT *, CASE way WHEN 'fetch' THEN f WHEN 'rendered' THEN r WHEN 'first' THEN a WHEN 'second' THEN b WHEN 'plain' THEN p END AS s FROM h)
+  SELECT url, coalesce(way, '') AS way, coalesce(s.spot, -1)::INT AS "at", coalesce(s.cards, -1)::INT AS cards, CASE WHEN coalesce(f.challenge, false) THEN 'datadome challenge still present after all bypass strategies' WHEN way IS NULL THEN coalesce(CASE WHEN second THEN b.error END, p.error, a.error, CASE WHEN fok THEN 'HTTP response contained no configured inventory cards' END, 'fetch failed: ' || f.error, 'page not landed') ELSE '' END AS message FROM i"""
+
+
+def _container_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as pages, their orders as containers with classes by the order's key, some without a link."""
+    o, c = _c("o_orderkey"), _c("o_custkey")
+    box = F.concat(F.lit('<div class="c'), _text(o % 3), F.lit("  k"), _text(o % 5), F.lit(' 9bad">'), F.when(o % 7 == 0, "x").otherwise('<b><a href="/x">x</a></b>'), F.lit("</div>"))
+    lists = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(box)), "").alias("boxes"))
+    marked = F.when(c % 4 == 1, F.lit('<i class="vehicle-card"><a href="#">a</a></i><i class="vehicle-card"><a href="#">a</a></i><i class="vehicle-card"></i>')).when(c % 4 == 2, F.lit('<i class="vehicle-card"><a href="#">a</a></i><i class="vehicle-card"></i>')).otherwise("")
+    return lists.select(_text(c).alias("url"), F.concat(F.lit("<nav>"), "boxes", F.lit("</nav>"), marked).alias("html"))
+
+
+@query
+def card_selectors(spark, sf_dir):
+    """The selector of each page's cards: a well-known one that is dense in links, else the commonest classes."""
+    return discover.card_selector(discover.features(_container_pages(spark, sf_dir)))
+
+
+@query
+def card_selector_counts(spark, sf_dir):
+    """The two commonest classes of a page's linked containers, of three at least."""
+    found = discover.features(_container_pages(spark, sf_dir)).select("url", F.posexplode(discover.common_classes(_c("classes"))).alias("place", "c"))
+    return found.select("url", (_c("place") + 1).alias("place"), "c.name", "c.n")
+
+
+_CLASSES_SQL = """WITH n AS (SELECT o_custkey AS c, unnest(['c' || o_orderkey % 3, 'k' || o_orderkey % 5]) AS name FROM orders WHERE o_orderkey % 7 <> 0), t AS (SELECT c, name, count(*) AS n FROM n GROUP BY ALL HAVING count(*) >= 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY n DESC, name) AS place FROM t QUALIFY place <= 2)"""
+SQL["card_selector_counts"] = _CLASSES_SQL + " SELECT c::VARCHAR AS url, place::INT AS place, name, n::INT AS n FROM r"
+SQL["card_selectors"] = _CLASSES_SQL + """, s AS (SELECT c, string_agg('.' || name, ', ' ORDER BY place) AS s FROM r GROUP BY c), p AS (SELECT DISTINCT o_custkey AS c FROM orders)
+  SELECT c::VARCHAR AS url, CASE WHEN c % 4 = 1 THEN '.vehicle-card' ELSE coalesce(s, '.inventory-item, article, li') END AS selector FROM p LEFT JOIN s USING (c)"""
+
+
+@query
+def block_pages(spark, sf_dir):
+    """Texts of documents, some with a block page's words: which of the four rules' pages they are."""
+    d = _c("doc_id")
+    words = F.when(d % 11 == 0, F.lit(captures.BLOCK_HOST)).when(d % 11 == 1, F.lit(captures.BLOCK_ASK)).when(d % 11 == 2, F.lit(captures.FIREWALL[1])).when(d % 11 == 3, F.concat(F.lit(captures.WAIT_PATH), F.lit(captures.WAIT_TITLE))).when(d % 11 == 4, F.lit(captures.WAIT_TITLE)).otherwise("")
+    page = F.concat("text", words)
+    return table(spark, sf_dir, "documents").select("doc_id", captures.is_blocked(F.when(d % 22 >= 11, F.repeat(page, 20)).otherwise(page)).alias("blocked"))
+
+
+SQL["block_pages"] = """WITH p AS (SELECT doc_id, text || CASE doc_id % 11 WHEN 0 THEN 'captcha-delivery.com' WHEN 1 THEN 'Please enable JS and disable any ad blocker' WHEN 2 THEN 'Attention Required! | Cloudflare' WHEN 3 THEN '/cdn-cgi/challenge-platform/Just a moment...' WHEN 4 THEN 'Just a moment...' ELSE '' END AS t FROM documents),
+  q AS (SELECT doc_id, t, length(t) * CASE WHEN doc_id % 22 >= 11 THEN 20 ELSE 1 END AS n FROM p) SELECT doc_id, coalesce(contains(t, 'captcha-delivery.com') OR contains(t, 'id="cf-error-details"') OR contains(t, 'Attention Required! | Cloudflare') OR (n < 4000 AND contains(t, 'Please enable JS and disable any ad blocker')) OR (n < 200000 AND contains(t, 'Just a moment...') AND contains(t, '/cdn-cgi/challenge-platform/')), false) AS blocked FROM q"""

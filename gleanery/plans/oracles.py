@@ -128,7 +128,6 @@ ORACLE_SQL = {
       b AS (SELECT page_id, pos, {absolute('url', 'href')} AS link, {clean("regexp_replace(label, '<[^>]*>', '', 'g')")} AS label FROM a), c AS (SELECT page_id, link, label, min(pos) AS pos FROM b GROUP BY ALL)
       SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place, link, {at_most('label', 280)} AS label FROM c QUALIFY place <= 120""",
     "next_page_urls": rf"SELECT page_id, regexp_replace(u, '([?&]page=)[0-9]+', '\1' || n) AS next_url FROM (SELECT page_id, u, {PAGE} AS cur FROM (SELECT page_id, url AS u FROM pages)), (SELECT unnest([1, 2, 3, 4]) AS n) WHERE cur > 0 AND n > cur",
-    "card_selector_counts": "WITH a AS (SELECT page_id, unnest(flatten(list_transform(regexp_extract_all(html, 'class=\"([^\"]*)\"', 1), lambda c: string_split_regex(c, ' +')))) AS name FROM pages), b AS (SELECT page_id, name, count(*) AS n FROM a WHERE name <> '' GROUP BY ALL) SELECT page_id, name, n, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, name) AS place FROM b QUALIFY place <= 2",
     "redact_text": f"SELECT doc_id, md5({at_most('y', 3000, ' [truncated]')}) AS redacted_md5 FROM (SELECT doc_id, {REDACT} AS y FROM (SELECT doc_id, text AS x FROM documents))",
     "block_predicate": f"SELECT kind, id, contains(lower(x), 'captcha-delivery.com') OR (strlen(x) < 4000 AND contains(lower(x), 'datadome')) AS challenge, {MARKER} AS marker FROM (SELECT 'page' AS kind, page_id AS id, html AS x FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents)",
     "clean_text": f"SELECT doc_id, md5({clean('text')}) AS cleaned_md5 FROM documents",
