@@ -68,9 +68,15 @@ def stock_key(c=F.col) -> Column:
 
 
 def inventory_counts(items: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct vehicle numbers, stock numbers and identities; the inventory is the identities, else the rows."""
-    identity_key = F.coalesce(F.concat(F.lit("vin:"), vin_key()), F.concat(F.lit("stock:"), stock_key()))
-    counted = items.groupBy(*by).agg(F.countDistinct(vin_key()).alias("unique_vins"), F.countDistinct(stock_key()).alias("unique_stocks"), F.countDistinct(identity_key).alias("identities"), F.count("*").alias("n"))
+    """Distinct vehicle numbers, stock numbers and identities; the inventory is the identities, else the rows.
+
+    An identity is a vehicle number, or the stock number of a row without one. Every row is two keys, which are combined
+    before they are shuffled.
+    """
+    keys = F.explode(F.array(F.struct(F.lit("vin").alias("kind"), vin_key().alias("key")), F.struct(F.lit("stock").alias("kind"), stock_key().alias("key"))))
+    each = items.select(*by, vin_key().isNull().alias("alone"), keys.alias("k")).groupBy(*by, "k").agg(F.max("alone").alias("alone"), F.count("*").alias("n"))
+    of = lambda kind, rule=None: F.count_if((F.col("k.kind") == kind) & F.col("k.key").isNotNull() & (rule if rule is not None else F.lit(True)))
+    counted = each.groupBy(*by).agg(of("vin").alias("unique_vins"), of("stock").alias("unique_stocks"), (of("vin") + of("stock", F.col("alone"))).alias("identities"), F.sum(F.when(F.col("k.kind") == "vin", F.col("n"))).alias("n"))
     return counted.select(*by, "unique_vins", "unique_stocks", "identities", F.when(F.col("identities") > 0, F.col("identities")).otherwise(F.col("n")).alias("inventory"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import captures, details, discover, embedded, page_links, paginate, platforms, strict
+from ..operators import captures, details, discover, embedded, page_links, paginate, platforms, schedule, strict
 from ..sources import images
 from .catalog import query
 from .samples import table
@@ -413,3 +413,47 @@ def block_pages(spark, sf_dir):
 
 SQL["block_pages"] = """WITH p AS (SELECT doc_id, text || CASE doc_id % 11 WHEN 0 THEN 'captcha-delivery.com' WHEN 1 THEN 'Please enable JS and disable any ad blocker' WHEN 2 THEN 'Attention Required! | Cloudflare' WHEN 3 THEN '/cdn-cgi/challenge-platform/Just a moment...' WHEN 4 THEN 'Just a moment...' ELSE '' END AS t FROM documents),
   q AS (SELECT doc_id, t, length(t) * CASE WHEN doc_id % 22 >= 11 THEN 20 ELSE 1 END AS n FROM p) SELECT doc_id, coalesce(contains(t, 'captcha-delivery.com') OR contains(t, 'id="cf-error-details"') OR contains(t, 'Attention Required! | Cloudflare') OR (n < 4000 AND contains(t, 'Please enable JS and disable any ad blocker')) OR (n < 200000 AND contains(t, 'Just a moment...') AND contains(t, '/cdn-cgi/challenge-platform/')), false) AS blocked FROM q"""
+
+
+def _scheduled(spark: SparkSession, sf_dir: str) -> schedule.Outcome:
+    """Customers as source entries of a daily job, with runs and caches of every kind made from their keys."""
+    c = _c("c_custkey")
+    url = F.concat(F.lit("https://d"), _text(c), F.lit(".example/inventory"))
+    customers = table(spark, sf_dir, "customer")
+    entries = customers.select(
+        F.concat(F.lit("a"), _text(c % 7)).alias("accountID"), F.when(c % 31 == 0, "").otherwise(F.concat(F.lit("d"), _text(c))).alias("dealershipId"), url.alias("url"), F.lit(None).cast("boolean").alias("ftp_sync"), (c % 13 != 5).alias("scrape_sync"),
+        F.lit(None).cast("boolean").alias("spreadsheet_sync"), F.when(c % 11 == 3, 10080).otherwise(0).alias("scrapeFrequencyMinutes"), F.lit(None).cast("string").alias("spreadsheetUrl"), F.struct(F.when(c % 17 == 4, " Weekly").otherwise("").alias("type")).alias("schedule"),
+    )
+    item = lambda stock, vin: F.struct(stock.alias("stockId"), F.lit("").alias("stock"), vin.alias("vin"))
+    numbers = F.sequence(F.lit(1), (c % 4).cast("int"))
+    items = F.when(c % 4 == 0, F.array().cast("array<struct<stockId:string,stock:string,vin:string>>")).otherwise(F.transform(numbers, lambda i: item(F.when(c % 3 == 0, "").otherwise(F.concat(F.lit("S"), i.cast("string"))), F.when(i == 2, F.lit("V")).otherwise("v "))))
+    error = F.struct(F.lit("SCRAPE_RENDER_FAILED").alias("code"), F.when(c % 8 == 0, "all strategies failed").otherwise("HTTP 500").alias("message"))
+    runs = customers.where("c_custkey % 19 <> 6").select(url.alias("url"), F.lit(1).alias("at"), F.when(c % 23 == 7, "no template").alias("config_error"), items.alias("items"), F.when(c % 5 < 2, F.array(error)).otherwise(F.array().cast("array<struct<code:string,message:string>>")).alias("errors"))
+    at = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
+    cache = customers.where("c_custkey % 3 = 1").select(F.concat(F.lit("https://www.d"), _text(c), F.lit(".example/used")).alias("source_url"), at.alias("updated_at"), F.when(c % 10 == 1, F.slice(items, 1, 0)).otherwise(F.array(item(F.lit("C"), F.lit("")))).alias("items"))
+    flagged = customers.where("c_custkey % 9 = 2").select(F.concat(url, F.lit("/")).alias("source_url"))
+    return schedule.outcomes(entries, runs, cache, flagged, flagged.limit(0), "daily-upsert", "daily")
+
+
+@query
+def scheduled_activity(spark, sf_dir):
+    """What each due entry's run and import report."""
+    return _scheduled(spark, sf_dir).activity.select("dealershipId", "accountID", "phase", "status", "sourceUrl", "itemCount", "message")
+
+
+@query
+def scheduled_imports(spark, sf_dir):
+    """Rows that the job imports."""
+    return _scheduled(spark, sf_dir).inventory.select("accountID", "dealershipId", "sourceUrl", "pos", "stockId")
+
+
+_SCHEDULED_SQL = """WITH e AS (SELECT c_custkey AS c, 'a' || c_custkey % 7 AS a, 'd' || c_custkey AS d, 'https://d' || c_custkey || '.example/inventory' AS u FROM customer WHERE c_custkey % 31 <> 0 AND c_custkey % 13 <> 5 AND c_custkey % 11 <> 3 AND c_custkey % 17 <> 4),
+  r AS (SELECT *, c % 19 <> 6 AS has_run, c % 3 = 1 AS has_cache, CASE WHEN c % 10 = 1 THEN 0 ELSE 1 END AS in_cache, c % 4 AS n, c % 5 < 2 AS err, CASE WHEN c % 8 = 0 THEN 'all strategies failed' ELSE 'HTTP 500' END AS err_message FROM e),
+  w AS (SELECT *, CASE WHEN c % 9 = 2 THEN CASE WHEN has_cache THEN 'cache' ELSE 'no_cache' END WHEN NOT has_run THEN 'no_run' WHEN c % 23 = 7 THEN 'no_config' WHEN n = 0 AND err AND c % 8 = 0 THEN CASE WHEN has_cache THEN 'fallback' ELSE 'blocked' END ELSE 'run' END AS way FROM r),
+  m AS (SELECT *, CASE WHEN way IN ('cache', 'fallback') THEN in_cache WHEN way = 'run' THEN CASE WHEN n >= 1 THEN 1 ELSE 0 END ELSE 0 END AS items, CASE WHEN err THEN err_message WHEN n = 0 THEN 'No inventory items returned' ELSE '' END AS said FROM w),
+  s AS (SELECT *, CASE WHEN way IN ('cache', 'fallback') THEN in_cache WHEN way = 'run' AND c % 3 > 0 THEN n ELSE 0 END AS stocked FROM m)"""
+SQL["scheduled_activity"] = _SCHEDULED_SQL + """ SELECT d AS "dealershipId", a AS "accountID", 'scrape' AS phase, CASE WHEN items = 0 THEN 'failed' WHEN way <> 'run' THEN 'cached' WHEN err THEN 'partial_success' ELSE 'success' END AS status, u AS "sourceUrl", items::BIGINT AS "itemCount",
+    CASE WHEN way = 'no_cache' THEN 'Cache-only source has no cached inventory' WHEN way = 'no_run' THEN 'Scrape did not complete' WHEN way = 'no_config' THEN 'Site configuration failed: no template' WHEN way IN ('cache', 'fallback') AND in_cache = 0 THEN 'Cached inventory is empty'
+      WHEN way = 'cache' THEN 'Used cached inventory from 2024-01-02T03:04:05Z' WHEN way = 'fallback' THEN 'Live scrape failed; used cached inventory from 2024-01-02T03:04:05Z: ' || said ELSE said END AS message FROM s
+  UNION ALL SELECT d, a, 'import', CASE WHEN stocked > 0 THEN 'success' ELSE 'skipped' END, u, stocked, CASE WHEN stocked > 0 THEN '' ELSE 'No rows with stock IDs to import' END FROM s WHERE way IN ('cache', 'fallback', 'run')"""
+SQL["scheduled_imports"] = _SCHEDULED_SQL + """ SELECT a AS "accountID", d AS "dealershipId", u AS "sourceUrl", (k - 1)::INT AS pos, CASE WHEN way = 'run' THEN 'S' || k ELSE 'C' END AS "stockId" FROM (SELECT *, unnest(range(1, stocked + 1)) AS k FROM s)"""
