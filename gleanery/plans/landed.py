@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import captures, details, discover, embedded, page_links, paginate, platforms, schedule, strict
+from ..operators import captures, details, discover, embedded, page_links, paginate, platforms, refine, schedule, strict
 from ..sources import images
+from ..streaming import events
 from .catalog import query
 from .samples import table
 
@@ -457,3 +458,35 @@ SQL["scheduled_activity"] = _SCHEDULED_SQL + """ SELECT d AS "dealershipId", a A
       WHEN way = 'cache' THEN 'Used cached inventory from 2024-01-02T03:04:05Z' WHEN way = 'fallback' THEN 'Live scrape failed; used cached inventory from 2024-01-02T03:04:05Z: ' || said ELSE said END AS message FROM s
   UNION ALL SELECT d, a, 'import', CASE WHEN stocked > 0 THEN 'success' ELSE 'skipped' END, u, stocked, CASE WHEN stocked > 0 THEN '' ELSE 'No rows with stock IDs to import' END FROM s WHERE way IN ('cache', 'fallback', 'run')"""
 SQL["scheduled_imports"] = _SCHEDULED_SQL + """ SELECT a AS "accountID", d AS "dealershipId", u AS "sourceUrl", (k - 1)::INT AS pos, CASE WHEN way = 'run' THEN 'S' || k ELSE 'C' END AS "stockId" FROM (SELECT *, unnest(range(1, stocked + 1)) AS k FROM s)"""
+
+
+@query
+def diagnostic_log(spark, sf_dir):
+    """Runs of events as the outputs of fetchers, some lines noise or of other types: the events that a bounded log keeps."""
+    e = _c("event_id")
+    line = F.when(e % 5 == 0, F.lit("noise")).when(e % 7 == 0, F.lit(events.PREFIX + '{"count": "x"}')).when(e % 11 == 0, F.lit(events.PREFIX + "{")).otherwise(F.concat(F.lit(events.PREFIX + '{"stage": "'), "event_type", F.lit('", "count": '), _text(e), F.lit(', "message": "token=abc"}')))
+    outputs = table(spark, sf_dir, "events").groupBy(F.expr("event_id div 400").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("output"))
+    return events.output_events(outputs.select(_text("k").alias("log"), "output")).select("log", "place", "dropped", "stage", "count", "message")
+
+
+SQL["diagnostic_log"] = """WITH l AS (SELECT event_id // 400 AS k, event_id, event_type FROM events WHERE event_id % 5 > 0 AND event_id % 7 > 0 AND event_id % 11 > 0), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY event_id) AS up, count(*) OVER (PARTITION BY k) AS n FROM l)
+  SELECT k::VARCHAR AS log, (CASE WHEN up <= 16 THEN up ELSE up - greatest(n - 160, 0) END)::BIGINT AS place, greatest(n - 160, 0) AS dropped, event_type AS stage, event_id AS count, 'token=[redacted]' AS message FROM r WHERE up <= 16 OR up > n - 144"""
+
+
+@query
+def url_refinements(spark, sf_dir):
+    """Parts as listing URLs with parameters of every kind: the sort and types that they ask for, or what is wrong."""
+    p = _c("p_partkey")
+    given = F.concat(
+        F.when(p % 3 == 0, F.concat(F.lit("_dFR%5Btype%5D%5B1%5D="), F.element_at(F.array(*map(F.lit, ("Used", "New", "Old"))), (p % 9 / 3 + 1).cast("int")), F.lit("&"))).otherwise(""), F.when(p % 5 == 0, "_dFR[type][0]=New&").otherwise(""), F.when(p % 7 == 0, "idx=year_high_to_low&").when(p % 7 == 1, "idx=other&").otherwise(""),
+        F.when(p % 11 == 0, "page=2&").otherwise(""), F.when(p % 13 == 0, "idx=a&idx=b&").otherwise(""), F.when(p % 17 == 0, "a;b&").otherwise(""), F.lit("utm_source=x&utm_source=y&gclid=1"),
+    )
+    url = F.concat(F.when(p % 19 == 0, "https://b.example/used").otherwise("https://A.example/used/"), F.lit("?"), given)
+    sources = table(spark, sf_dir, "part").select(p.alias("id"), url.alias("url"), F.lit("https://a.example/used").alias("base_url"), F.when(p % 23 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("Used"), F.lit("New"))).alias("vehicle_types"), F.lit("").alias("vehicle_type"))
+    return refine.refinements(sources).select("id", F.coalesce("sort", F.lit("")).alias("sort"), F.coalesce(F.array_join("types", ","), F.lit("")).alias("types"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+SQL["url_refinements"] = """WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN CASE p_partkey % 9 WHEN 0 THEN 'Used' WHEN 3 THEN 'New' ELSE 'Old' END END AS t1, CASE WHEN p_partkey % 5 = 0 THEN 'New' END AS t0, CASE WHEN p_partkey % 7 = 0 THEN 'year_high_to_low' WHEN p_partkey % 7 = 1 THEN 'other' END AS idx FROM part),
+  e AS (SELECT *, CASE WHEN id % 23 = 0 THEN 'Cars Commerce vehicle types are required' WHEN id % 19 = 0 THEN 'Cars Commerce template does not match source host/path' WHEN id % 17 = 0 THEN 'invalid semicolon separator in query'
+    WHEN t1 = 'Old' THEN 'inventory type does not match configured ["Used" "New"] page' WHEN id % 13 = 0 THEN 'unsupported repeated inventory parameter "idx"' WHEN idx = 'other' THEN 'unsupported inventory sort "other"' WHEN id % 11 = 0 THEN 'unsupported inventory query parameter "page"' ELSE '' END AS error FROM p)
+  SELECT id, CASE WHEN error <> '' THEN '' WHEN idx IS NULL THEN 'low_price' ELSE 'year' END AS sort, CASE WHEN error <> '' THEN '' WHEN t0 IS NULL AND t1 IS NULL THEN 'Used,New' WHEN t0 = t1 OR t1 IS NULL THEN t0 ELSE concat_ws(',', t0, t1) END AS types, error FROM e"""
