@@ -80,7 +80,8 @@ def template_files(spark: SparkSession, path: str) -> DataFrame:
     """``key, name, template, error``: a row for each YAML file (.yaml, .yml) of a folder in any store that Spark reads.
 
     The key is decoded from the file's name, the name is the template's own, else the key; ``template`` is its JSON with
-    defaults; a file that is no template has an error and no template. Of two files of a key the .yaml one counts.
+    defaults; a file that is no template has an error and no template;
+    files without a byte, which Spark does not read, have no row. Of two files of a key the .yaml one counts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
