@@ -119,7 +119,11 @@ def dedupe(items: DataFrame, by: list[str]) -> DataFrame:
 
     groups = written(groups.withColumns({"strong": has_identity(), "link": urls.canonical_key(F.col("url"))}), "dedupe-groups")
     strong = groups.where("strong and link <> ''").groupBy(*by, "link").agg(F.min("seq").alias("target"))
-    home = F.when(F.col("strong"), F.col("seq")).otherwise(F.coalesce("target", "seq"))
-    placed = _beside(groups, strong, [*by, "link"]).withColumn("home", home).withColumn("seq", F.when(F.col("seq") == F.col("home"), F.lit(-1)).otherwise(F.col("seq")))
-    merged = _merged(written(placed.select(*by, "home", "seq", *fields), "dedupe-homes"), [*by, "home"])
-    return merged.select(*by, F.col("home").alias("seq"), *fields)
+    # Only homes that a weak row moves to are merged again; all other groups stay as they are.
+    placed = written(_beside(groups, strong, [*by, "link"]).withColumn("home", F.when(F.col("strong"), F.col("seq")).otherwise(F.coalesce("target", "seq"))), "dedupe-homes")
+    moved = placed.where("home <> seq").select(*by, "home").distinct()
+    joined = _beside(placed, moved.withColumn("_joined", F.lit(True)), [*by, "home"]).withColumn("_joined", F.coalesce("_joined", F.lit(False)))
+    alone = joined.where("not _joined").select(*by, "seq", *fields)
+    meet = joined.where("_joined").withColumn("seq", F.when(F.col("seq") == F.col("home"), F.lit(-1)).otherwise(F.col("seq")))
+    merged = _merged(written(meet.select(*by, "home", "seq", *fields), "dedupe-joined"), [*by, "home"])
+    return alone.unionByName(merged.select(*by, F.col("home").alias("seq"), *fields))

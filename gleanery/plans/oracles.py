@@ -204,4 +204,24 @@ ORACLE_SQL["site_freshness"] = """WITH i AS (SELECT l_orderkey AS o, l_partkey A
   SELECT o_orderkey, o_orderkey % 5 <> 0 AND CASE o_orderkey % 3 WHEN 0 THEN NOT coalesce(poor OR odd, false) WHEN 1 THEN NOT coalesce(poor, false) ELSE true END AS fresh FROM orders LEFT JOIN c ON o = o_orderkey"""
 ORACLE_SQL["idempotency_lookup"] = """SELECT c_custkey, max(o_orderkey) AS o_orderkey, max(o_orderkey) % 3 <> 0 AS same FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey % 7 <> 0 GROUP BY c_custkey"""
 ORACLE_SQL["idempotency_release"] = """SELECT o_orderkey, CASE WHEN c_acctbal < 0 THEN '' ELSE 'k' || o_custkey END AS "idempotencyKey" FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""
+
+
+def _dedupe_sql() -> str:
+    """Each group folded in order by the rule for two rows, then rows without identity into the first with one of their URL."""
+    first = lambda n: f"'{n}': CASE WHEN a.\"{n}\" = '' THEN b.\"{n}\" ELSE a.\"{n}\" END"
+    priced = lambda x: f"regexp_matches(trim({x}), '^\\$?\\s*[0-9][0-9,]*(?:\\.[0-9]{{2}})?$')"
+    longer = "trim(a.model) <> '' AND length(trim(b.model)) > length(trim(a.model)) AND lower(substr(trim(b.model), 1, length(trim(a.model)))) = lower(trim(a.model)) AND substr(trim(b.model), length(trim(a.model)) + 1, 1) = ' '"
+    images = "list_concat(a.images, list_filter(b.images, lambda x: NOT list_contains(a.images, x)))"
+    fold = f"""list_reduce(rows, lambda a, b: {{'seq': a.seq, 'stockId': a."stockId", {", ".join(map(first, ("vin", "url", "price", "mileage")))}, 'title': CASE WHEN a.title = '' OR ({priced("a.title")} AND NOT {priced("b.title")}) THEN b.title ELSE a.title END,
+      'model': CASE WHEN a.model = '' OR ({longer}) THEN b.model ELSE a.model END, 'primaryImage': CASE WHEN a."primaryImage" <> '' THEN a."primaryImage" WHEN b."primaryImage" <> '' THEN b."primaryImage" ELSE coalesce(({images})[1], '') END, 'images': {images}}})"""
+    names = ("seq", "stockId", "vin", "url", "price", "mileage", "title", "model", "primaryImage", "images")
+    row = "{" + ", ".join(f"'{n}': \"{n}\"" for n in names) + "}"
+    return f"""WITH {NORMAL}, k AS (SELECT *, {KEY} AS key, CASE WHEN "primaryImage" = '' THEN []::VARCHAR[] ELSE ["primaryImage"] END AS images FROM norm), f AS (SELECT *, arg_min(vin, seq) FILTER (vin <> '') OVER (PARTITION BY dealer_id, key) AS fv FROM k WHERE key <> ''),
+      g AS (SELECT dealer_id, CASE WHEN vin <> '' AND vin <> fv THEN 'vin:' || vin ELSE key END AS grp, list({row} ORDER BY seq) AS rows FROM f GROUP BY ALL), m AS (SELECT dealer_id, unnest({fold}) FROM g),
+      s AS (SELECT *, "stockId" <> '' OR vin <> '' AS strong, CASE WHEN url = '' THEN '' ELSE {CANONICAL.replace('(u,', '(url,')} END AS link FROM m), t AS (SELECT dealer_id, link, min(seq) AS target FROM s WHERE strong AND link <> '' GROUP BY ALL),
+      h AS (SELECT s.dealer_id, CASE WHEN strong THEN seq ELSE coalesce(target, seq) END AS home, list({row} ORDER BY strong DESC, seq) AS rows FROM s LEFT JOIN t ON t.dealer_id = s.dealer_id AND t.link = s.link GROUP BY ALL), w AS (SELECT dealer_id, unnest({fold}) FROM h)
+      SELECT dealer_id, seq, "stockId", vin, url, title, model, price, mileage, "primaryImage", len(images)::INT AS n_images FROM w"""
+
+
+ORACLE_SQL["dedupe_items_full"] = _dedupe_sql()
 ORACLE_SQL |= landed.SQL
