@@ -104,6 +104,17 @@ def _merged(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, F.col("_first.seq").alias("seq"), *[made[n].alias(n) for n in (*schemas.ITEM_TEXTS, *schemas.ITEM_ARRAYS)])
 
 
+def grouped(items: DataFrame, by: list[str]) -> DataFrame:
+    """``by, group, seq`` and item columns, written: rows of one group are one vehicle by the ladder of keys. Rows without any
+    key are dropped; a number other than its key's first makes a group of its own."""
+    fields = [*schemas.ITEM_TEXTS, *schemas.ITEM_ARRAYS]
+    keyed = items.select(*by, F.col("seq").cast("long").alias("seq"), *fields, dedupe_key().alias("key"), F.upper(text.trim(F.col("vin"))).alias("own"))
+    keyed = written(keyed, "dedupe-keys").where("key <> ''")
+    first = keyed.where("own <> ''").groupBy(*by, "key").agg(F.min(F.struct("seq", "own")).alias("f")).select(*by, "key", F.col("f.own").alias("first"))
+    group = F.when((F.col("own") != "") & (F.col("own") != F.col("first")), F.concat(F.lit("vin:"), "own")).otherwise(F.col("key"))
+    return written(_beside(keyed, first, [*by, "key"]).select(*by, group.alias("group"), "seq", *fields), "dedupe-rows")
+
+
 def dedupe(items: DataFrame, by: list[str]) -> DataFrame:
     """One row a vehicle within the run columns ``by``: item columns and the ``seq`` of its first row.
 
@@ -111,11 +122,7 @@ def dedupe(items: DataFrame, by: list[str]) -> DataFrame:
     written to the shared folder.
     """
     fields = [*schemas.ITEM_TEXTS, *schemas.ITEM_ARRAYS]
-    keyed = items.select(*by, F.col("seq").cast("long").alias("seq"), *fields, dedupe_key().alias("key"), F.upper(text.trim(F.col("vin"))).alias("own"))
-    keyed = written(keyed, "dedupe-keys").where("key <> ''")
-    first = keyed.where("own <> ''").groupBy(*by, "key").agg(F.min(F.struct("seq", "own")).alias("f")).select(*by, "key", F.col("f.own").alias("first"))
-    group = F.when((F.col("own") != "") & (F.col("own") != F.col("first")), F.concat(F.lit("vin:"), "own")).otherwise(F.col("key"))
-    groups = _merged(written(_beside(keyed, first, [*by, "key"]).select(*by, group.alias("group"), "seq", *fields), "dedupe-rows"), [*by, "group"]).drop("group")
+    groups = _merged(grouped(items, by), [*by, "group"]).drop("group")
 
     groups = written(groups.withColumns({"strong": has_identity(), "link": urls.canonical_key(F.col("url"))}), "dedupe-groups")
     strong = groups.where("strong and link <> ''").groupBy(*by, "link").agg(F.min("seq").alias("target"))

@@ -88,11 +88,15 @@ def zero_based_url(url: Column, items: Column, size: Column) -> Column:
     return F.when((size > 0) & (items > size) & (following < last), with_parameter(url, "ai_page", following))
 
 
-def elided_urls(template: Column, name: str, linked: Column) -> Column:
-    """The pages between 2 and the highest linked that no link names."""
+def elided(linked: Column) -> Column:
+    """The page numbers between 2 and the highest linked that no link names."""
     top = F.coalesce(F.array_max(linked), F.lit(0))
-    gaps = F.when((top > 1) & (top <= MOST_LINKED), F.array_except(F.sequence(F.lit(2), F.greatest(top, F.lit(2))), linked)).otherwise(F.array().cast("array<int>"))
-    return F.transform(gaps, lambda n: with_parameter(template, name, n))
+    return F.when((top > 1) & (top <= MOST_LINKED), F.array_except(F.sequence(F.lit(2), F.greatest(top, F.lit(2))), linked)).otherwise(F.array().cast("array<int>"))
+
+
+def elided_urls(template: Column, name: str, linked: Column) -> Column:
+    """The URLs of the pages that ``elided`` gives."""
+    return F.transform(elided(linked), lambda n: with_parameter(template, name, n))
 
 
 class Walk(NamedTuple):

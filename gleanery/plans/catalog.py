@@ -88,9 +88,8 @@ def anchor_candidates(spark, sf_dir):
 @query
 def next_page_urls(spark, sf_dir):
     """Pages 2 to 4 of every listing whose URL has a page parameter, other parameters kept."""
-    u = F.col("url")
-    numbered = _pages(spark, sf_dir).where(urls.page_number(u) > 0).select("page_id", u, urls.page_number(u).alias("current"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n"))
-    return numbered.where("n > current").select("page_id", F.regexp_replace("url", r"([?&]page=)[0-9]+", F.concat(F.lit("$1"), F.col("n").cast("string"))).alias("next_url"))
+    numbered = _pages(spark, sf_dir).where(urls.page_number(F.col("url")) > 0)
+    return numbered.select("page_id", F.explode(paginate.counted_urls(F.col("url"), F.lit(4))).alias("next_url"))
 
 
 @query
@@ -195,9 +194,7 @@ def dedupe_keys(spark, sf_dir):
 @query
 def dedupe_items(spark, sf_dir):
     """Groups of the key ladder with its rule on conflicting vehicle numbers: first row, rows, first non-empty fields."""
-    rows = step(nz.normalize(items(spark, sf_dir)).withColumn("key", dd.dedupe_key()), "keyed").where("key <> ''")
-    first = F.first(F.nullif("vin", F.lit("")), ignorenulls=True).over(Window.partitionBy("dealer_id", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    grouped = rows.withColumn("first_vin", first).withColumn("grp", F.when((F.col("vin") != "") & (F.col("vin") != F.col("first_vin")), F.concat(F.lit("vin:"), "vin")).otherwise(F.col("key")))
+    grouped = dd.grouped(nz.normalize(items(spark, sf_dir)), ["dealer_id"]).withColumnRenamed("group", "grp")
     filled = lambda n: F.coalesce(F.min_by(n, F.when(F.col(n) != "", F.col("seq"))), F.lit("")).alias(n)
     return grouped.groupBy("dealer_id", "grp").agg(F.min("seq").alias("seq"), F.count("*").alias("n"), *[filled(n) for n in ("vin", "url", "price", "mileage", "primaryImage")])
 
@@ -272,8 +269,9 @@ def json_pick(spark, sf_dir):
 
 @query
 def regex_extract_rows(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit(r"(?i)(?:key|token|secret)\s*[:=]\s*\"?([A-Za-z0-9]+)"), F.lit(1))
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("pos", "value"))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run_id"), F.lit(1).alias("page_seq"), F.lit("").alias("url"), F.col("text").alias("html"))
+    found = extract.pattern_rows(pages, [r"(?i)(?:key|token|secret)\s*[:=]\s*\"?([A-Za-z0-9]+)"])
+    return found.select(F.col("run_id").alias("doc_id"), "pos", F.col("item.stockId").alias("value"))
 
 
 @query
@@ -351,8 +349,7 @@ def keyed_delete(spark, sf_dir):
 def elided_pages(spark, sf_dir):
     """Page numbers between 2 and the highest linked one that no link names."""
     linked = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set((F.col("l_linenumber") * 2).cast("int"))).alias("linked"))
-    gaps = F.array_except(F.sequence(F.lit(2), F.array_max("linked")), "linked")
-    return linked.select("l_orderkey", F.explode(gaps).alias("page"))
+    return linked.select("l_orderkey", F.explode(paginate.elided(F.col("linked"))).alias("page"))
 
 
 @query

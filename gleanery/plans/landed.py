@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import captures, details, discover, embedded, page_links, paginate, platforms, refine, schedule, strict
+from ..operators import captures, details, discover, embedded, extract, page_links, paginate, platforms, refine, schedule, strict
 from ..sources import images
 from ..streaming import events
 from .catalog import query
@@ -490,3 +490,29 @@ SQL["url_refinements"] = """WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partk
   e AS (SELECT *, CASE WHEN id % 23 = 0 THEN 'Cars Commerce vehicle types are required' WHEN id % 19 = 0 THEN 'Cars Commerce template does not match source host/path' WHEN id % 17 = 0 THEN 'invalid semicolon separator in query'
     WHEN t1 = 'Old' THEN 'inventory type does not match configured ["Used" "New"] page' WHEN id % 13 = 0 THEN 'unsupported repeated inventory parameter "idx"' WHEN idx = 'other' THEN 'unsupported inventory sort "other"' WHEN id % 11 = 0 THEN 'unsupported inventory query parameter "page"' ELSE '' END AS error FROM p)
   SELECT id, CASE WHEN error <> '' THEN '' WHEN idx IS NULL THEN 'low_price' ELSE 'year' END AS sort, CASE WHEN error <> '' THEN '' WHEN t0 IS NULL AND t1 IS NULL THEN 'Used,New' WHEN t0 = t1 OR t1 IS NULL THEN t0 ELSE concat_ws(',', t0, t1) END AS types, error FROM e"""
+
+
+@query
+def extract_rows(spark, sf_dir):
+    """All extractors over pages of four kinds: embedded JSON with keys in several spellings, repeated and other objects; loop
+    markup; cards; and plain text, where the template's patterns count."""
+    p, k = _c("p_partkey"), _c("k")
+    given = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else _text(x) for x in parts])
+    stock = F.when(p % 2 == 0, given('"Stock_No": "S', p, '"')).otherwise(given('"stock-number": "S', p, '"'))
+    car = F.concat(F.lit('{"Make": "'), "p_brand", F.lit('", "MODEL": " '), "p_type", F.lit('", "model year": 0, "year": '), _text(1990 + _c("p_size")), F.lit(", "), stock, given(', "vdp_url": "/v/', p, '", "price": ', p, '.4, "odometer": "', p, ' mi", "photos": [{"src": "/i/', p, '.jpg"}, "no", "/j.jpg"], "vin": null}'))
+    json = F.concat(F.when(p % 7 == 0, '{"make": "x", "model": "y"}, ').otherwise(""), car, F.when(p % 5 == 0, F.concat(F.lit(", "), car)).otherwise(""))
+    loop = given('<div data-elementor-type="loop-item" class="x vehicle type-vehicle make-land-rover model-m', p, ' stock-s-9"><h3><a href="https://a.example/vehicle-details/', p, '">Title ', p, '</a></h3><img src="data:image/x" data-src="/i/', p, '.jpg"> Now $ 1,', p, " with 12,345 miles ", F.when(p % 2 == 0, given("STOCK# K", p)).otherwise(""), "</div>")
+    card = given('<article class="card"><h2 class="t">Card ', p, '</h2><a href="#">x</a><a href="/inventory/', p, '">y</a><a href="/finance">z</a><span class="p">', F.when(p % 2 == 0, given("$", p)).otherwise("call"), '</span><meta itemprop="sku" content="S', p, '"><b data-vin="', _number(), '"></b> or $77 <img data-src="/i/', p, '.jpg"></article>')
+    part = F.when(k % 4 == 0, json).when(k % 4 == 1, loop).when(k % 4 == 2, card).otherwise(given("STK", p, ";"))
+    lists = table(spark, sf_dir, "part").withColumn("k", F.expr(f"p_partkey div {PAGE_PARTS}")).withColumn("v", part).groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "v"))), lambda x: x["v"]), "\n").alias("body"))
+    html = F.when(k % 4 == 0, F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"props": [{"list": ['), F.replace("body", F.lit("}\n{"), F.lit("},\n{")), F.lit("]}]}</script>"))).otherwise(_c("body"))
+    pages = lists.select(F.lit("r").alias("run_id"), k.cast("int").alias("page_seq"), F.lit("https://a.example/list").alias("url"), html.alias("html"))
+    site = {"cardSelector": "article.card", "titleSelector": ".t", "urlSelector": "a[href]", "priceSelector": ".p", "imageSelector": "img", "stockPatterns": ["STK([0-9]+)"]}
+    return extract.extract(pages, site).select("page_seq", "extractor", "pos", "title", "url", "stockId", "vin", "year", "make", "model", "price", "mileage", "primaryImage", F.size("images").alias("images"))
+
+
+SQL["extract_rows"] = f"""WITH p AS (SELECT *, {PAGE_OF_PART} AS k, {PLACE_SQL} AS n, '/i/' || p_partkey || '.jpg' AS i FROM part)
+  SELECT k::INT AS page_seq, 3::INT AS extractor, n AS pos, (1990 + p_size) || ' ' || p_brand || '  ' || p_type AS title, '/v/' || p_partkey AS url, 'S' || p_partkey AS "stockId", '' AS vin, (1990 + p_size)::VARCHAR AS year, p_brand AS make, ' ' || p_type AS model, p_partkey::VARCHAR AS price, p_partkey || ' mi' AS mileage, i AS "primaryImage", 2::INT AS images FROM p WHERE k % 4 = 0
+  UNION ALL SELECT k, 1, n + 1, 'Title ' || p_partkey, 'https://a.example/vehicle-details/' || p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'K' || p_partkey ELSE 'S9' END, '', '', 'land rover', 'm' || p_partkey, '$1,' || p_partkey, '12,345 mi', i, 1 FROM p WHERE k % 4 = 1
+  UNION ALL SELECT k, 2, n, 'Card ' || p_partkey, '/inventory/' || p_partkey, 'S' || p_partkey, {NUMBER_SQL}, '', '', '', CASE WHEN p_partkey % 2 = 0 THEN '$' || p_partkey ELSE '$77' END, '', i, 1 FROM p WHERE k % 4 = 2
+  UNION ALL SELECT k, 4, n, '', '', p_partkey::VARCHAR, '', '', '', '', '', '', '', 0 FROM p WHERE k % 4 = 3"""
