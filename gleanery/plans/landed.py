@@ -516,3 +516,43 @@ SQL["extract_rows"] = f"""WITH p AS (SELECT *, {PAGE_OF_PART} AS k, {PLACE_SQL}
   UNION ALL SELECT k, 1, n + 1, 'Title ' || p_partkey, 'https://a.example/vehicle-details/' || p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'K' || p_partkey ELSE 'S9' END, '', '', 'land rover', 'm' || p_partkey, '$1,' || p_partkey, '12,345 mi', i, 1 FROM p WHERE k % 4 = 1
   UNION ALL SELECT k, 2, n, 'Card ' || p_partkey, '/inventory/' || p_partkey, 'S' || p_partkey, {NUMBER_SQL}, '', '', '', CASE WHEN p_partkey % 2 = 0 THEN '$' || p_partkey ELSE '$77' END, '', i, 1 FROM p WHERE k % 4 = 2
   UNION ALL SELECT k, 4, n, '', '', p_partkey::VARCHAR, '', '', '', '', '', '', '', 0 FROM p WHERE k % 4 = 3"""
+
+
+@query
+def strict_listings(spark, sf_dir):
+    """Listings of runs whose pages agree: others state another total, repeat a number, lack a stock number or a page."""
+    p, k, run = _c("p_partkey"), _c("k"), F.expr("k div 4")
+    styles, mechanical, own_run = F.struct(F.lit("Red").alias("exterior_color")), F.struct(F.lit("V6").alias("engine"), (p % 50).alias("city_mpg")), F.expr(f"p_partkey div {4 * PAGE_PARTS}")
+    again = F.concat(F.lit("1HGCM82633A"), F.lpad(_text((p - 1) % 1_000_000), 6, "0"))
+    car = F.struct(
+        F.when((own_run % 5 == 2) & (p % 100 == 7), again).otherwise(_number()).alias("vin"), F.when((own_run % 5 == 3) & (p % 100 == 9), F.lit(None)).otherwise(F.concat(F.lit("s"), _text(p))).alias("stock"),
+        (1990 + _c("p_size")).alias("year"), _c("p_brand").alias("make"), _c("p_type").alias("model"), F.lit("LX").alias("trim"), F.concat(F.lit("/v/"), _text(p)).alias("vdp_url"), (p * 10).alias("mileage"), styles.alias("styles"), mechanical.alias("mechanical"), F.struct(_text(F.floor("p_retailprice")).alias("our_price")).alias("pricing"), F.struct(F.array(F.concat(F.lit("/i/"), _text(p)), F.lit("/j")).alias("images")).alias("media"),
+    )
+    lists = _lists(spark, sf_dir, car, F.expr(f"p_partkey div {PAGE_PARTS}"))
+    sizes = lists.select(run.alias("run"), F.size("list").alias("n")).groupBy("run").agg(F.sum("n").alias("all"), F.count("*").alias("pages"))
+    body = F.struct((k % 4 + 1).alias("page"), _c("pages").alias("total_pages"), F.when((run % 5 == 1) & (k % 4 == 1), _c("all") + 1).otherwise(_c("all")).alias("total"), _c("list").alias("listings"))
+    payloads = lists.withColumn("run", run).join(sizes, "run").where((_c("run") % 5 != 4) | (k % 4 != 0)).select(_text("run").alias("run_id"), k.cast("int").alias("page_seq"), F.to_json(body).alias("payload"))
+    good, _ = strict.all_or_nothing(strict.listings(payloads))
+    return good.select("run_id", "page_seq", "pos", "title", "vin", "stockId", "url", "year", "make", "model", "price", "mileage", "color", "engine", "cityMPG", "primaryImage", F.size("images").alias("images"))
+
+
+SQL["strict_listings"] = f"""WITH p AS (SELECT *, {PAGE_OF_PART} AS k, {PAGE_OF_PART} // 4 AS run, {PLACE_SQL} AS pos FROM part), r AS (SELECT run, count(DISTINCT k) AS pages, bool_or(p_partkey % 100 = 7) AS seven, bool_or(p_partkey % 100 = 9) AS nine, bool_or(k % 4 = 1) AS second, bool_or(k % 4 = 0) AS first FROM p GROUP BY run)
+  SELECT run::VARCHAR AS run_id, k::INT AS page_seq, pos, (1990 + p_size) || ' ' || p_brand || ' ' || p_type || ' LX' AS title, {NUMBER_SQL} AS vin, 's' || p_partkey AS "stockId", '/v/' || p_partkey AS url, (1990 + p_size)::VARCHAR AS year, p_brand AS make, p_type AS model, floor(p_retailprice)::BIGINT::VARCHAR AS price,
+    (p_partkey * 10)::VARCHAR AS mileage, 'Red' AS color, 'V6' AS engine, (p_partkey % 50)::VARCHAR AS "cityMPG", '/i/' || p_partkey AS "primaryImage", 2::INT AS images
+  FROM p JOIN r USING (run) WHERE NOT (run % 5 = 1 AND second) AND NOT (run % 5 = 3 AND nine) AND NOT (run % 5 = 4 AND first) AND NOT (run % 5 = 2 AND seven)"""
+
+
+@query
+def joined_posts(spark, sf_dir):
+    """Listings with the stock numbers and galleries of their posts; a run with one that does not fit is left out."""
+    p = _c("p_partkey")
+    parts = table(spark, sf_dir, "part")
+    listed = parts.select(F.expr("p_partkey div 10").alias("run_id"), p.alias("id"), F.lower(_number()).alias("vin"))
+    posts = parts.where("p_partkey % 97 <> 5").select(p.alias("id"), F.when(p % 83 == 3, "other").otherwise(_number()).alias("vin"), F.when(p % 89 == 4, F.lower(_number())).otherwise(F.concat(F.lit("S"), _text(p))).alias("stock"))
+    media = parts.where("p_partkey % 3 > 0").select(p.alias("parent"), F.explode(F.sequence(F.lit(1), (p % 3).cast("int"))).alias("rank")).select("parent", (-_c("rank")).alias("rank"), F.concat(F.lit("/i/"), _text("rank")).alias("url"))
+    good, _ = strict.joined_posts(listed, posts, media)
+    return good.select("run_id", "id", "vin", "stock", F.array_join("images", ",").alias("images"))
+
+
+SQL["joined_posts"] = f"""WITH p AS (SELECT p_partkey AS id, p_partkey // 10 AS run_id, lower({NUMBER_SQL}) AS vin, p_partkey % 97 = 5 OR p_partkey % 83 = 3 OR p_partkey % 89 = 4 AS bad FROM part)
+  SELECT run_id, id, vin, 'S' || id AS stock, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '/i/1' ELSE '/i/2,/i/1' END AS images FROM p WHERE run_id NOT IN (SELECT run_id FROM p WHERE bad)"""
