@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html import entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,3 +101,33 @@ def split_and_trim(c: Column) -> Column:
 def or_else(c: Column, default: Column | str) -> Column:
     """``default`` where the text is blank."""
     return F.when(trim(c) == "", default).otherwise(c)
+
+
+#: Pieces of a text: a reference to a character with or without its end, text between, a lone mark.
+_REFERENCES = "&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z0-9]+;?|[^&]+|&"
+_LONGEST_BARE = 6
+
+
+def html_unescape(c: Column) -> Column:
+    """HTML's character references as characters: decimal, hexadecimal and named ones, of the old names also those without
+    their end, or that begin a longer word. References to no character become U+FFFD, unknown names stay."""
+    names = F.from_json(F.lit(json.dumps(entities.html5)), "map<string,string>")  # of the standard library, folded to a literal
+    windows = F.from_json(F.lit(json.dumps({str(n): chr(n) if n in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([n]).decode("cp1252") for n in range(0x80, 0xA0)})), "map<string,string>")
+
+    def numbered(t: Column) -> Column:
+        hexed = F.regexp_extract(t, "^&#[xX]([0-9a-fA-F]+)", 1)
+        digits = F.when(hexed != "", hexed).otherwise(F.regexp_extract(t, "^&#([0-9]+)", 1))
+        plain = F.regexp_replace(digits, "^0+(?=.)", "")
+        code = F.when(F.length(plain) > 8, F.lit("2000000000")).otherwise(F.when(hexed != "", F.conv(plain, 16, 10)).otherwise(plain)).cast("long")
+        bad = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        made = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(bad, "\ufffd").when(code.between(0x80, 0x9F), F.try_element_at(windows, code.cast("string"))).otherwise(made)
+
+    def named(t: Column) -> Column:
+        name, body = F.substring(t, 2, 1 << 20), F.regexp_extract(t, "^&([A-Za-z0-9]+)", 1)
+        begun = [F.when(F.length(body) > k, F.concat(F.try_element_at(names, F.substring(body, 1, k)), F.substring(name, k + 1, 1 << 20))) for k in range(_LONGEST_BARE, 1, -1)]
+        bare = F.when(name.endswith(";") & (F.length(body) <= _LONGEST_BARE), F.concat(F.try_element_at(names, body), F.lit(";")))
+        return F.coalesce(F.try_element_at(names, name), bare, *begun, t)
+
+    pieces = F.regexp_extract_all(c, F.lit(_REFERENCES), F.lit(0))
+    return F.when(c.contains("&"), F.array_join(F.transform(pieces, lambda t: F.when(t.startswith("&#") & (F.length(t) > 2), numbered(t)).when(t.startswith("&") & (F.length(t) > 1), named(t)).otherwise(t)), "")).otherwise(c)

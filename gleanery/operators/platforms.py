@@ -73,10 +73,8 @@ def filled(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    """The named and numeric entities that payloads carry, ``&amp;`` last."""
-    for code, mark in (("quot|#34|#x22", '"'), ("apos|#39|#x27", "'"), ("lt|#60", "<"), ("gt|#62", ">"), ("nbsp|#160", " "), ("reg|#174", "®"), ("amp|#38", "&")):
-        c = F.regexp_replace(c, f"&(?:{code});", mark)
-    return text.trim(c)
+    """A payload's text without character references and outer spaces."""
+    return text.trim(text.html_unescape(c))
 
 
 def once(rows: DataFrame, key: Column) -> DataFrame:

@@ -303,3 +303,16 @@ def test_joined_posts(spark):
     media = spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "parent int, rank int, url string")
     got, failed = strict.joined_posts(listed, posts, media)
     assert [(r.id, r.stock, r.images) for r in got.orderBy("id").collect()] == [(1, "s1", ["x", "y"]), (2, "s2", [])] and [r.run_id for r in failed.collect()] == ["b"]
+
+
+def test_html_unescape(spark):
+    import html
+    import random
+
+    from gleanery.functions import text
+
+    rng = random.Random(8)
+    parts = ["&amp;", "&amp", "&ampx", "&reg;", "&regx;", "&notit;", "&notin;", "&nbsp;", "&#174;", "&#x1F600;", "&#X41", "&#65x", "&#0;", "&#xD800;", "&#1114112;", "&#99999999999;", "&#128;", "&#x9f;", "&", "&;", "&#", "&#;", "&#x;", "&unknown;", "&NotEqualTilde;", "&lt", "&CounterClockwiseContourIntegral;", "a b", "é", "\n", "&amp;amp;"]
+    cases = [*parts, *("".join(rng.choices(parts, k=6)) for _ in range(300)), "x" * 10_000 + "&lt;" * 2_000]
+    got = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string").select("i", text.html_unescape(F.col("c")).alias("v")).collect()
+    assert {r.i: r.v for r in got} == {i: html.unescape(c) for i, c in enumerate(cases)}
