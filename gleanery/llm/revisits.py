@@ -3,9 +3,10 @@
 A revisit (a 304 capture) has no payload. It takes the payload and headers of the latest earlier full response of its
 canonical URL, if its validators agree, and its own headers replace those that a 304 may update.
 
-The as-of join needs no single task for a busy URL: captures fall into time slices, each slice keeps its latest
-response, a running maximum over the small slice table carries responses forward, and only captures of one slice of one
-URL are ordered against each other.
+The as-of join needs no single task for a busy URL: the latest response of each second is an aggregation with map-side
+combine; seconds fall into time slices, a running maximum over the small slice table carries responses forward, and only the
+seconds of one slice of one URL, as many as the slice has at most, are ordered against each other. Captures, however many a
+second has, are joined with what their second sees.
 """
 
 from __future__ import annotations
@@ -67,12 +68,14 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = 3600) -> DataFrame
     rows = rows.withColumn("slice", F.floor(F.col("at") / slice_seconds)).withColumn("stored", stored)
     timed, untimed = rows.where(valid), rows.where(~valid)
 
-    slices = timed.groupBy("url_key", "slice").agg(F.max("stored").alias("latest"))
-    before = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.select("url_key", "slice", F.max("latest").over(before).alias("carried"))
-    earlier = Window.partitionBy("url_key", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    found = timed.withColumn("near", F.max("stored").over(earlier)).join(carried, ["url_key", "slice"]).withColumn("found", F.coalesce("near", "carried"))
-    every = found.drop("near", "carried").unionByName(untimed.withColumn("found", F.lit(None).cast(found.schema["found"].dataType)))
+    seconds = timed.groupBy("url_key", "slice", "at").agg(F.max("stored").alias("latest"))
+    slices = seconds.groupBy("url_key", "slice").agg(F.max("latest").alias("latest"))
+    before = lambda *by: Window.partitionBy("url_key", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.select("url_key", "slice", F.max("latest").over(before("slice")).alias("carried"))
+    near = seconds.withColumn("near", F.max("latest").over(before("slice", "at")))
+    seen = near.join(carried, ["url_key", "slice"]).select("url_key", "at", F.coalesce("near", "carried").alias("found"))
+    found = timed.join(seen, ["url_key", "at"])
+    every = found.unionByName(untimed.withColumn("found", F.lit(None).cast(found.schema["found"].dataType)))
 
     tag, since = field(F.col("headers"), "etag"), field(F.col("headers"), "last-modified")
     same_tag = F.regexp_replace(tag, "^W/", "") == F.regexp_replace(field(F.col("found.headers"), "etag"), "^W/", "")

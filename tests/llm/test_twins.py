@@ -167,3 +167,25 @@ def test_interleaving_order(spark, sf):
         want[r[3]] = (shard, at - -(-shard * total // 16))
     got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_rows(spark.read.parquet(f"{sf}/documents.parquet"), bucket_rows=37).collect()}
     assert got == want
+
+
+def test_revisits_of_one_busy_url(spark):
+    """A third of all captures in a few seconds of one URL: each revisit finds the latest response of an earlier second."""
+    from gleanery.llm import revisits
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(900):
+        busy = i % 3 == 0
+        at = 7_200 + int(rng.integers(0, 5)) if busy else int(rng.integers(0, 40_000))
+        url = "http://busy.test/" if busy else f"http://h{rng.integers(0, 20)}.test/"
+        response = rng.random() < 0.4
+        rows.append((i, url, at, "response" if response else "revisit", 200 if response else 304, [("ETag", f"t{rng.integers(0, 2)}")], None))
+    df = spark.createDataFrame(rows, "record_id long, url string, at long, kind string, status int, headers array<struct<name:string,value:string>>, digest string")
+    want = {}
+    for i, url, at, kind, _, headers, _ in rows:
+        earlier = max(((t, r, h) for r, u, t, k, _, h, _ in rows if k == "response" and u == url and t < at), default=None)
+        outcome = "full" if kind == "response" else "no_earlier_response" if earlier is None else "resolved" if earlier[2] == headers else "validator_mismatch"
+        want[i] = (outcome, earlier[1] if outcome == "resolved" else None)
+    got = {r["record_id"]: (r["outcome"], r["source_record_id"]) for r in revisits.resolve_revisits(df).collect()}
+    assert got == want and len({w[0] for w in want.values()}) >= 3
