@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import captures, details, discover, embedded, extract, page_links, paginate, platforms, refine, schedule, strict
+from ..operators import captures, details, discover, embedded, extract, ingest, page_links, paginate, platforms, refine, schedule, strict
 from ..sources import images
 from ..streaming import events
 from .catalog import query
@@ -556,3 +556,23 @@ def joined_posts(spark, sf_dir):
 
 SQL["joined_posts"] = f"""WITH p AS (SELECT p_partkey AS id, p_partkey // 10 AS run_id, lower({NUMBER_SQL}) AS vin, p_partkey % 97 = 5 OR p_partkey % 83 = 3 OR p_partkey % 89 = 4 AS bad FROM part)
   SELECT run_id, id, vin, 'S' || id AS stock, CASE id % 3 WHEN 0 THEN '' WHEN 1 THEN '/i/1' ELSE '/i/2,/i/1' END AS images FROM p WHERE run_id NOT IN (SELECT run_id FROM p WHERE bad)"""
+
+
+@query
+def sync_responses(spark, sf_dir):
+    """Customers as syncs of inventory, some without owner, refused, or for the cache alone."""
+    c = _c("c_custkey")
+    customers = table(spark, sf_dir, "customer")
+    host = lambda n: F.concat(F.lit("https://s"), _text(n), F.lit(".example/list"))
+    item = lambda i: F.struct(F.when(i % 2 == 1, F.concat(F.lit("S"), i.cast("string"))).otherwise("").alias("stockId"), F.lit("").alias("stock"))
+    items = F.when(c % 3 == 0, F.array().cast("array<struct<stockId:string,stock:string>>")).otherwise(F.transform(F.sequence(F.lit(1), (c % 3).cast("int")), item))
+    url = F.when(c % 7 == 0, "no url").otherwise(F.concat(host(c % 40), F.when(c % 3 == 0, "/").otherwise("")))
+    requests = customers.select(c.alias("id"), url.alias("url"), c.alias("at"), F.when(c % 5 == 0, "").otherwise(F.concat(F.lit("d"), _text(c))).alias("dealershipId"), F.when(c % 4 > 0, F.concat(F.lit("a"), _text(c))).alias("accountID"), (c % 6 == 1).alias("skipUpsert"), items.alias("items"))
+    entries = customers.where("c_custkey < 40 and c_custkey % 3 < 2").select(c.alias("seq"), F.upper(F.concat(F.lit("https://s"), _text(c), F.lit(".example"))).alias("h"), F.concat(F.lit("D"), _text(c)).alias("dealershipId"), F.concat(F.lit("A"), _text(c)).alias("accountID"))
+    return ingest.sync_requests(requests, entries.withColumn("url", F.concat("h", F.lit("/list")))).responses
+
+
+SQL["sync_responses"] = """WITH r AS (SELECT c_custkey AS c, c_custkey % 7 > 0 AS valid, c_custkey % 6 = 1 AS skip, c_custkey % 40 AS k, (c_custkey % 3 > 0)::INT AS n FROM customer), o AS (SELECT *, valid AND k % 3 < 2 AND k IN (SELECT c_custkey FROM customer) AS known FROM r),
+  w AS (SELECT *, CASE WHEN skip THEN '' WHEN c % 5 > 0 THEN 'd' || c WHEN known THEN 'D' || k ELSE '' END AS d, CASE WHEN skip THEN '' WHEN c % 4 > 0 THEN 'a' || c WHEN known THEN 'A' || k ELSE '' END AS a FROM o)
+  SELECT c AS id, CASE WHEN valid THEN 'https://s' || k || '.example/list' || CASE WHEN c % 3 = 0 THEN '/' ELSE '' END ELSE 'no url' END AS url, CASE WHEN valid THEN '' ELSE 'INVALID_REQUEST' END AS code, CASE WHEN valid THEN '' ELSE 'valid url is required' END AS message, d AS "dealershipId", a AS "accountID",
+    CASE WHEN valid THEN n ELSE 0 END AS "cachedItems", valid AND NOT skip AND d <> '' AND a <> '' AND n > 0 AS upserted FROM w"""
