@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dedupe, details, extract, inventory, normalize
@@ -23,7 +23,8 @@ def run(pages: DataFrame, site: dict, detail_pages: DataFrame | None = None, dea
     ``pages`` is ``run_id, page_seq, url, html``. Order within a run is (page, extractor, position).
     ``image_sizes`` (url, w, h) drops small images of detail pages.
     """
-    rows = extract.extract(pages, site).withColumns({"dealer_id": F.lit(dealer_id), "seq": F.row_number().over(Window.partitionBy("run_id").orderBy("page_seq", "extractor", "pos"))})
+    place = F.shiftleft(F.col("page_seq").cast("long"), 36) + F.shiftleft(F.col("extractor").cast("long"), 33) + F.col("pos")  # unique and ascending in a run, without a sort of it
+    rows = extract.extract(pages, site).withColumns({"dealer_id": F.lit(dealer_id), "seq": place})
     first = pages.groupBy("run_id").agg(F.min_by("url", "page_seq").alias("site_url"))
     ready = normalize.aliases(normalize.normalize(rows)).join(first, "run_id").withColumn("website", F.col("site_url")).drop("site_url")
     items = dedupe.dedupe(ready, ["run_id"])
