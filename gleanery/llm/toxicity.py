@@ -31,7 +31,7 @@ class NgramOptions:
     least: int = 3
     sample_rows: int = 10_000
     smooth: float = 1.0
-    ridge: float = 1e-4
+    ridge: float = 3e-3
     steps: int = 600
 
 
