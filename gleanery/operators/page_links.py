@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, text, urls
 from . import embedded, paginate
+from .steps import map_pages, written
 
 # Where pages link their further pages and state their counts, in order.
 NEXT_LINKS = (
@@ -28,7 +29,7 @@ TOTAL_INPUT = "input.data-inventory-total-records"
 NUMBERED = r"(?i)[?&](page|p)=([0-9]+)"
 MOST_COUNTED = 500
 
-FEATURES = "url string, cards int, hrefs array<string>, pager string, pager_links int, role_pager string, role_links int, summary string, count_label string, count_input string, count_attribute string, stated_total int, stated_count int, widget array<string>, any_pager string, total_text string, body string, total_input string"
+FEATURES = "url string, html string, cards int, hrefs array<string>, pager string, pager_links int, role_pager string, role_links int, summary string, count_label string, count_input string, count_attribute string, stated_total int, stated_count int, widget array<string>, any_pager string, total_text string, body string, total_input string"
 
 
 def number(s: str) -> int:
@@ -53,7 +54,7 @@ def _features(site: dict):
         attribute, summary = top.first(f"[{COUNT_ATTRIBUTE}]"), top.first(SUMMARY_PAGER)
         texts = [t for s in hints if (t := top.first_text(s))]
         return (
-            url, len(top.find(site["cardSelector"])) if site.get("cardSelector") else None, [n.attrs["href"] for s in selectors for n in top.find(s) if n.attr("href")],
+            url, page, len(top.find(site["cardSelector"])) if site.get("cardSelector") else None, [n.attrs["href"] for s in selectors for n in top.find(s) if n.attr("href")],
             "".join(n.text() for n in top.find(PAGER)), _numbered(top, f"{PAGER} a[href]"), role.text() if role else None, sum(_numbered(n, "a[href]") for n in top.find(ROLE_PAGER)), summary.text() if summary else "",
             top.first_text(COUNT_LABEL), top.first_attr(COUNT_INPUT, "value"), attribute.attr(COUNT_ATTRIBUTE) if attribute else "", number(model.attr("data-results-total")) if model else 0, number(model.attr("data-results-count")) if model else 0,
             [n.attrs["href"] for n in top.find(ANY_PAGER_LINKS)], "".join(n.text() for n in top.find(ANY_PAGER)), "\n".join(texts), top.text(), top.first_attr(TOTAL_INPUT, "value"),
@@ -69,8 +70,7 @@ def _features(site: dict):
 
 def features(pages: DataFrame, site: dict) -> DataFrame:
     """``url, html`` and the features of each page (url, html) under a template's selectors."""
-    found = pages.select("url", "html").dropDuplicates(["url"])
-    return found.join(found.mapInPandas(_features(site), FEATURES), "url")
+    return map_pages(pages.select("url", "html").where("url is not null").dropDuplicates(["url"]), _features(site), FEATURES)
 
 
 def served_page(c: Column) -> Column:
@@ -106,6 +106,15 @@ def _elided(url: Column) -> Column:
 
 def page_links(f: DataFrame) -> DataFrame:
     """``url, place, next_url`` from ``features``: each page's links in order, each once."""
+    return _each_link(_link_lists(f))
+
+
+def _each_link(lists: DataFrame) -> DataFrame:
+    return lists.select("url", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("last"))).alias("place", "next_url"))
+
+
+def _link_lists(f: DataFrame, *others: Column | str) -> DataFrame:
+    """``url, found, last`` and other columns of ``features``: a page's links, and those that count if there are none."""
     url, none = F.col("url"), F.array().cast("array<string>")
     absolute = F.transform("hrefs", lambda h: urls.resolve(url, text.trim(h)))
     linked = F.filter(absolute, lambda u: (u != "") & urls.same_host(url, u) & urls.is_paging(u) & ~urls.is_bare_self_link(url, u))
@@ -128,15 +137,15 @@ def page_links(f: DataFrame) -> DataFrame:
     every = [linked, following, stated, summary, label, attribute, showing, _elided(url), next_pages, offsets]
     found = F.array_distinct(F.concat(*[F.coalesce(e, none) for e in every]))
     last = paginate.remaining_zero_based(url, F.col("stated_total"), F.col("stated_count"))
-    return f.select("url", found.alias("found"), last.alias("last")).select("url", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("last"))).alias("place", "next_url"))
+    return f.select("url", *others, found.alias("found"), last.alias("last"))
 
 
 def collect(pages: DataFrame, starts: DataFrame, site: dict) -> paginate.Walk:
     """All pages of each run, from landed pages (url, html) and each run's first (run_id, url), and those refused."""
-    found = features(pages, site)
     most = site.get("pagination", {}).get("maxPages", 0) or paginate.MAX_PAGES
-    landed = paginate.judged(found.select("url", "cards", served_page(F.col("any_pager")).alias("served")))
-    return paginate.walk(landed, page_links(found), paginate.bounds(starts, found.select("url", "stated_total", "stated_count"), most))
+    served = served_page(F.col("any_pager")).alias("served")
+    read = written(_link_lists(features(pages, site), "cards", served, "stated_total", "stated_count"), "paging-pages")  # parsed once, not every turn
+    return paginate.walk(paginate.judged(read), _each_link(read), paginate.bounds(starts, read.select("url", "stated_total", "stated_count"), most))
 
 
 # A platform whose landing page leads to two sections, and what its pages hold.
@@ -161,5 +170,6 @@ def section_union(landing: DataFrame, pages: DataFrame, notes: str = "", section
     runs = landing.where(is_landing(F.col("url"), F.col("html"), notes)).select("run_id", F.concat(urls.part(F.col("url"), 1), urls.part(F.col("url"), 3), F.lit(f"{LANDING}/")).alias("base")).distinct()
     every = runs.select("run_id", "base", F.explode(F.array(*map(F.lit, sections))).alias("section")).select("*", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("page"))
     asked = every.select("run_id", "section", "page", F.concat("base", "section", F.when(F.col("page") > 1, F.concat(F.lit("?page="), "page")).otherwise("")).alias("url"))
-    cards = pages.select("url", "html").dropDuplicates(["url"]).join(asked.select("url").distinct(), "url", "left_semi").mapInPandas(_section_cards, "url string, pos int, key string")
+    cards = pages.select("url", "html").dropDuplicates(["url"]).join(asked.select("url").distinct(), "url", "left_semi")
+    cards = map_pages(cards, _section_cards, "url string, pos int, key string")
     return paginate.first_added(cards.join(asked, "url"), ["run_id"], list(sections), most).select("run_id", "url", "section", "page", "pos", "key")

@@ -19,7 +19,8 @@ NO_CARDS, NOT_LANDED = "pagination page returned zero inventory cards", "page no
 
 
 def number(c: Column) -> Column:
-    return F.greatest(F.coalesce(F.trim(c).try_cast("int"), F.lit(0)), F.lit(0))
+    """A non-negative number, else 0. An empty text is not cast: the failed cast would raise and catch an error a row."""
+    return F.greatest(F.coalesce(F.nullif(F.trim(c), F.lit("")).try_cast("int"), F.lit(0)), F.lit(0))
 
 
 def group_number(text: Column, pattern: str, k: int) -> Column:
@@ -124,10 +125,11 @@ def walk(landed: DataFrame, links: DataFrame, starts: DataFrame, max_pages: int
     way; a run's pages of a turn are numbered together, and are fewer than its bound times a page's links.
     """
     most = F.col("max_pages") if "max_pages" in starts.columns else F.lit(max_pages)
-    first = starts.select("run_id", "url", F.lit(1).alias("page_seq"), most.cast("int").alias("most")).dropDuplicates(["run_id"])
+    first = written(starts.select("run_id", "url", F.lit(1).alias("page_seq"), most.cast("int").alias("most")).dropDuplicates(["run_id"]), "walk-starts")
     seen, refused = first, None
     frontier = first.withColumn("found", F.lit(1)).where("found < most")
-    known = landed.select(F.col("url").alias("next_url"), "message", F.lit(True).alias("here")).dropDuplicates(["next_url"])
+    known = landed.select(F.col("url").alias("next_url"), "message", F.lit(True).alias("here"))
+    known, links = written(known.dropDuplicates(["next_url"]), "walk-known"), written(links, "walk-links")  # read anew every turn
     turn_order = Window.partitionBy("run_id").orderBy("at")
     while True:
         reached = frontier.join(links, "url").select("run_id", "most", "found", F.struct(F.col("page_seq").alias("parent"), F.col("place").alias("place")).alias("at"), F.col("url").alias("from_url"), "next_url")
