@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as tree
 from ..functions import identity, text, urls
+from .steps import map_pages, written
 
 # Item fields by their place in a listing.
 PLACES = {
@@ -64,7 +65,7 @@ def listings(payloads: DataFrame) -> DataFrame:
                     out.append((run_id, seq, pos, scalar(page.get("page")), scalar(page.get("total_pages")), scalar(page.get("total")), *(item[f] for f in fields), item["images"]))
             yield pd.DataFrame(out, columns=["run_id", "page_seq", "pos", "page", "pages", "total", *fields, "images"])
 
-    return payloads.select("run_id", "page_seq", "payload").mapInPandas(run, schema)
+    return map_pages(payloads.select("run_id", "page_seq", "payload"), run, schema)
 
 
 def all_or_nothing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +127,7 @@ def set_features(pages: DataFrame) -> DataFrame:
             found = pd.DataFrame([of(h) for h in rows["html"]], columns=["status", "pager", "total"])
             yield pd.concat([rows[["run_id", "page_seq"]].reset_index(drop=True), found], axis=1)
 
-    return pages.select("run_id", "page_seq", "html").mapInPandas(run, "run_id string, page_seq int, status string, pager string, total string")
+    return map_pages(pages.select("run_id", "page_seq", "html"), run, "run_id string, page_seq int, status string, pager string, total string")
 
 
 def complete_sets(features: DataFrame, items: DataFrame, host: str, path: str) -> tuple[DataFrame, DataFrame]:
@@ -140,8 +141,9 @@ def complete_sets(features: DataFrame, items: DataFrame, host: str, path: str) -
     """
     counts = features.select("run_id", "page_seq", "status", F.regexp_extract("pager", SET_PAGE, 1).alias("_x"), F.regexp_extract("pager", SET_PAGE, 2).alias("_y"), F.translate("total", ",", "").alias("_t"))
     counts = counts.withColumns({"x": F.col("_x").try_cast("int"), "y": F.col("_y").try_cast("int"), "t": F.when(F.col("_t") == "", F.lit(0)).otherwise(F.col("_t").try_cast("int"))})
+    counts = written(counts, "set-pages")  # parsed once for the steps below
     first = counts.where("page_seq = 1").select("run_id", F.col("y").alias("pages"), F.col("t").alias("expected")).dropDuplicates(["run_id"])
-    runs = features.select("run_id").distinct().join(first, "run_id", "left")
+    runs = counts.select("run_id").distinct().join(first, "run_id", "left")
     asked = runs.select("*", F.explode(F.sequence(F.lit(1), F.least(F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1)), F.lit(MOST_SET_PAGES)))).alias("page_seq"))
     seen = asked.join(counts.withColumn("here", F.lit(True)), ["run_id", "page_seq"], "left")
     sizes = items.groupBy("run_id", "page_seq").agg(F.count("*").alias("items"))
