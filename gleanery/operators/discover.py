@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, text
+from .steps import map_pages
 
 # Selectors in order of trust, containers, what else cards are, how often a class must come, and a platform's defaults.
 PREFERRED = ("[data-listing-id]", "[data-vehicle-id]", "[itemtype*='Vehicle']", ".inventory-item", ".vehicle-card", "article", "li")
@@ -65,7 +66,7 @@ def features(pages: DataFrame) -> DataFrame:
             found = [page_features(h) for h in rows["html"]]
             yield pd.DataFrame({"url": rows["url"], "preferred": [f[0] for f in found], "classes": [[{"name": n, "n": c} for n, c in f[1]] for f in found]})
 
-    return pages.select("url", "html").mapInPandas(run, FEATURES)
+    return map_pages(pages.select("url", "html"), run, FEATURES)
 
 
 def common_classes(classes: Column) -> Column:
