@@ -186,6 +186,16 @@ def _pairs(groups: DataFrame, by: str, rule: str, percent: int) -> DataFrame:
     return met.select(F.col("b_x").alias("a"), F.col("b_y").alias("b")).distinct()
 
 
+def _block_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) as ``_pairs`` gives them, of buckets ``bucket, b, n, label`` of at most BLOCK members. A group's members share
+    many buckets, so buckets of the same members are one list, and pairs are made within lists."""
+    lists = buckets.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("b", "n", "label"))).alias("held")).select("held").distinct()
+    close = f"x.label <> y.label and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    pairs = f"flatten(transform(held, (x, i) -> transform(filter(slice(held, i + 2, size(held)), y -> {close}), y -> struct(x.b as a, y.b as b))))"
+    found = lists.select(F.array_distinct(F.expr(pairs)).alias("pairs")).where("size(pairs) > 0").distinct()
+    return found.select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct()
+
+
 def _bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From buckets ``bucket, a, b`` of a centre and a member: components of the links with centres, more links (a, b)
     between those, and stars ``star, a, b`` left to settle."""
@@ -199,7 +209,7 @@ def _bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
     held = materialize(members.join(touched, "bucket").join(named, ["a", "b"]), "minhash-touched")
     sizes = held.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "size")
     still = materialize(held.join(sizes, "bucket"), "minhash-open")
-    pairs = _pairs(still.where(f"size <= {BLOCK}").select("bucket", "b", "n", "label"), "bucket", "true", percent)
+    pairs = _block_pairs(still.where(f"size <= {BLOCK}").select("bucket", "b", "n", "label"), percent)
     found = materialize(_with_sets(pairs, sets).mapInPandas(_confirm(percent), "a long, b long"), "minhash-links")
     large = still.where(f"size > {BLOCK}")
     centres = materialize(large.groupBy("star", "a").agg(F.count("*").alias("c")).groupBy("star").agg(F.max(F.struct("c", "a")).alias("m")).select("star", "m.a"), "minhash-centres")
