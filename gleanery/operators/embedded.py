@@ -8,11 +8,14 @@ source URL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from . import paginate, platforms
+from .steps import step as passed
 
 # What the platforms' pages and scripts hold.
 DEALER_DOT_COM_STATE = r"""DDC\.WS\.state\[['"]ws-inv-data['"]\]\[['"][^'"]+['"]\]\s*=\s*"""
@@ -27,11 +30,38 @@ IMOTOR_MARK = "data-imotor-site"
 _TOKENS = r'(?s)\\.?|"|[{}]|[^\\"{}]+'
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def object_at(source: Column) -> Column:
     """The brace-balanced object that ``source`` begins with; null where it begins otherwise or never closes.
 
-    Braces inside string literals do not count; a backslash there takes the next character with it.
+    Braces inside string literals do not count; a backslash there takes the next character with it. What is inside of
+    literals is blanked first, so that only braces are folded, not every token. Blanking takes no backslash outside of a
+    literal; where one comes before the end, the text is folded token by token.
     """
+
+    def step(s: Column, token: Column) -> Column:
+        now = F.struct((s["depth"] + F.when(token.endswith("{"), 1).otherwise(-1)).alias("depth"), (s["length"] + F.char_length(token)).alias("length"))
+        return F.when((s["length"] > 0) & (s["depth"] == 0), s).otherwise(now)
+
+    def cut(s: Column) -> Column:
+        pieces = F.split(F.regexp_replace(s, r"(?s)\\.", r"\\\\"), '"')
+        bare = F.array_join(F.transform(pieces, lambda p, k: F.when(k % 2 == 1, F.translate(p, "{}\\", "___")).otherwise(p)), '"')
+        return _with(bare, lambda b: _with(F.aggregate(F.regexp_extract_all(b, F.lit("[^{}]*[{}]"), F.lit(0)), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length")), step), lambda end: folded(s, b, end)))
+
+    def folded(s: Column, bare: Column, end: Column) -> Column:
+        closed = end["depth"] == 0
+        seen = F.when(closed, F.substring(bare, F.lit(1), end["length"])).otherwise(bare)
+        return F.when(seen.contains("\\"), _object_by_tokens(s)).when(closed, F.substring(s, F.lit(1), end["length"]))
+
+    return F.when(source.startswith("{"), _with(source, cut))
+
+
+def _object_by_tokens(source: Column) -> Column:
+    """``object_at`` of a text that begins with a brace, whatever its backslashes."""
     state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("length"), F.lit(False).alias("closed"))
 
     def step(s: Column, token: Column) -> Column:
@@ -44,7 +74,7 @@ def object_at(source: Column) -> Column:
         return F.when(s["closed"], s).otherwise(now)
 
     end = F.aggregate(F.regexp_extract_all(source, F.lit(_TOKENS), F.lit(0)), state, step)
-    return F.when(source.startswith("{") & end["closed"], F.substring(source, F.lit(1), end["length"]))
+    return _with(end, lambda e: F.when(e["closed"], F.substring(source, F.lit(1), e["length"])))
 
 
 def after(html: Column, pattern: str) -> Column:
@@ -54,7 +84,7 @@ def after(html: Column, pattern: str) -> Column:
 
 def state_object(html: Column, pattern: str) -> Column:
     """The object that follows the first match; a later match is not tried."""
-    return object_at(after(html, pattern))
+    return _with(after(html, pattern), object_at)
 
 
 def next_data(html: Column) -> Column:
@@ -71,7 +101,8 @@ def holds(html: Column, marks: tuple[str, ...], every: bool = False) -> Column:
 
 
 def _payloads(pages: DataFrame, payload: Column) -> DataFrame:
-    return pages.select("run_id", F.col("url").alias("source_url"), "page_seq", payload.alias("payload")).where("payload is not null")
+    """Payloads are cut out of a page once: neither the filter nor what reads them repeats that."""
+    return passed(pages.select("run_id", F.col("url").alias("source_url"), "page_seq", payload.alias("payload")), "payloads").where("payload is not null")
 
 
 def _answered(pages: DataFrame, responses: DataFrame, rule: Column) -> DataFrame:
@@ -88,7 +119,7 @@ def dealer_dot_com(pages: DataFrame) -> DataFrame:
 def dealer_dot_com_paging(pages: DataFrame) -> DataFrame:
     """``run_id, page_seq, url, total, size, start, further``: what the state says of the listing, and its other pages."""
     info = "WIS struct<pageInfo:struct<totalCount:int,pageSize:int,pageStart:int>,inventory:array<struct<vin:string>>>"
-    state = pages.select("run_id", "page_seq", "url", F.from_json(state_object(F.col("html"), DEALER_DOT_COM_STATE), info)["WIS"].alias("s")).where("size(s.inventory) > 0")
+    state = passed(pages.select("run_id", "page_seq", "url", F.from_json(state_object(F.col("html"), DEALER_DOT_COM_STATE), info)["WIS"].alias("s")), "states").where("size(s.inventory) > 0")
     number = lambda name: F.coalesce(F.col(f"s.pageInfo.{name}"), F.lit(0))
     read = state.select("run_id", "page_seq", "url", number("totalCount").alias("total"), number("pageSize").alias("size"), number("pageStart").alias("start"))
     return read.withColumn("further", paginate.offset_urls(F.col("url"), F.col("total"), F.col("size")))
