@@ -8,8 +8,8 @@ keys agree, so a text's small keys that no other text has are dropped before any
 Texts with equal shingle sets are one class, so copies never meet as pairs. A bucket is compared as a star: each member
 with the centre, the member whose small keys the most texts share (so near the middle of its group); all pairs of a
 bucket are never formed. What that leaves are pairs of one bucket that the links found so far do not connect. In buckets
-of up to ``BLOCK`` such texts they are compared one by one. Larger ones are stars again, one for each component, and
-links of members that are not similar to the star's centre c are found exactly, by differences from it: with D(x) the
+of up to ``BLOCK`` such texts they are compared one by one. Components with a larger one are stars again, all of their
+buckets together, and links of members that are not similar to the star's centre c are found exactly, by differences from it: with D(x) the
 elements in one of x and c only, |D(x) & D(y)| = (|D(x)| + |D(y)| - |x ^ y|) / 2, a similar pair has
 |x ^ y| <= k (|x| + |y|) with k = (100 - p) / (100 + p), and so D(x) and D(y) share an element among their first few in
 any common order (the prefix principle). The order is the star's rarest elements first, so that few texts meet; those that
@@ -205,15 +205,17 @@ def _bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Da
     of = lambda end, name: labels.select(F.col("id").alias(end), F.col("label").alias(name))
     named = compared.join(of("b", "label"), "b", "left").join(of("a", "star"), "a", "left").select("a", "b", "n", F.coalesce("label", "b").alias("label"), F.coalesce("star", "a").alias("star"))
     named = materialize(named, "minhash-named")
-    touched = members.join(named.where("label <> star").select("a", "b"), ["a", "b"]).select("bucket").distinct()
-    held = materialize(members.join(touched, "bucket").join(named, ["a", "b"]), "minhash-touched")
-    sizes = held.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket", "size")
-    still = materialize(held.join(sizes, "bucket"), "minhash-open")
-    pairs = _block_pairs(still.where(f"size <= {BLOCK}").select("bucket", "b", "n", "label"), percent)
+    opened = named.join(_few(materialize(named.where("label <> star").select("star").distinct(), "minhash-open-stars")), "star")
+    held = materialize(members.join(opened, ["a", "b"]), "minhash-held")
+    buckets = held.groupBy("bucket").agg(F.min("star").alias("star"), F.min("a").alias("a"), F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    buckets = materialize(buckets.where("low < high").select("bucket", "star", "a", "size"), "minhash-open")
+    large = buckets.where(f"size > {BLOCK}").groupBy("star", "a").agg(F.sum("size").alias("c")).groupBy("star").agg(F.max(F.struct("c", "a")).alias("m"))
+    centres = _few(materialize(large.select("star", "m.a"), "minhash-centres"))
+    # All members of a star with a large bucket are settled by differences, those of its small buckets too.
+    small = buckets.join(centres.select("star"), "star", "left_anti").select("bucket")
+    pairs = _block_pairs(held.join(small, "bucket").select("bucket", "b", "n", "label"), percent)
     found = materialize(_with_sets(pairs, sets).mapInPandas(_confirm(percent), "a long, b long"), "minhash-links")
-    large = still.where(f"size > {BLOCK}")
-    centres = materialize(large.groupBy("star", "a").agg(F.count("*").alias("c")).groupBy("star").agg(F.max(F.struct("c", "a")).alias("m")).select("star", "m.a"), "minhash-centres")
-    stars = large.select("star", "b").distinct().join(_few(centres), "star").where("a <> b")
+    stars = opened.select("star", "b").distinct().join(centres, "star").where("a <> b")
     return labels, found, materialize(stars, "minhash-left")
 
 
