@@ -253,9 +253,12 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (id, label) of the components that more links (a, b) make of those of ``labels``: only the distinct links
-    between components are followed."""
+    between components are followed, and without any ``labels`` stay."""
     of = lambda end: labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b").distinct()
+    between = materialize(between, "labels-between")
+    if between.isEmpty():
+        return labels
     found = components(between)
     old = labels.join(found.select(F.col("id").alias("label"), F.col("label").alias("new")), "label", "left").select("id", F.coalesce("new", "label").alias("label"))
     return materialize(old.unionByName(found.join(labels.select("id"), "id", "left_anti")), "labels")

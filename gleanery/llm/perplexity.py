@@ -129,21 +129,26 @@ def _to_files(folder: str):
 
 
 def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
-    """``lang, kind, gram, value`` of the interpolated model from highest-order counts ``lang, gram, c``."""
+    """``lang, kind, gram, value`` of the interpolated model from highest-order counts ``lang, gram, c``.
+
+    Contexts and probabilities are written once for their uses, so what is returned only reads them.
+    """
     few = counts.select("lang").distinct().count() <= BROADCAST_LANGUAGES
     tables = {order: counts}
     for n in range(order - 1, 0, -1):  # continuation counts: the distinct bytes before
         tables[n] = materialize(tables[n + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("gram")).agg(F.count("*").alias("c")), f"grams-{n}")
-    out, lower = [], None
+    every = reduce(DataFrame.unionByName, [t.select("lang", F.lit(n).alias("n"), F.shiftright("gram", 8).alias("ctx"), "c") for n, t in tables.items()])
+    of_count = [F.count(F.when(F.col("c") == k, 1)).alias(f"m{k}") for k in (1, 2, 3, 4)]
+    own = materialize(every.groupBy("lang", "n", "ctx").agg(F.sum("c").alias("total"), *of_count, F.count(F.when(F.col("c") > 2, 1)).alias("more")), "context-counts")
+    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
+    discount = lambda k: F.greatest(F.lit(0.05), F.least(F.lit(k * 0.95), F.coalesce(k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0)), F.lit(k * 0.5)))).alias(f"d{k}")
+    discounts = own.groupBy("lang", "n").agg(*[F.sum(f"m{k}").cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]).select("lang", "n", discount(1), discount(2), discount(3))
+    gamma = (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("more")) / F.col("total")
+    contexts = own.join(F.broadcast(discounts) if few else discounts, ["lang", "n"]).select("n", "lang", "ctx", "total", "d1", "d2", "d3", gamma.alias("gamma"))
+    contexts = materialize(contexts, "contexts")
+    out, lower = [contexts.select("lang", (1 - F.col("n")).alias("kind"), F.col("ctx").alias("gram"), F.ln("gamma").alias("value"))], None
     for n in range(1, order + 1):
-        t = tables[n].withColumn("ctx", F.shiftright("gram", 8))
-        many = [F.count(F.when(F.col("c") == k, 1)).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-        y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
-        discount = lambda k: F.greatest(F.lit(0.05), F.least(F.lit(k * 0.95), F.coalesce(k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0)), F.lit(k * 0.5)))).alias(f"d{k}")  # noqa: B023, E731
-        discounts = t.groupBy("lang").agg(*many).select("lang", discount(1), discount(2), discount(3))
-        own = t.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), *[F.count(F.when(F.col("c") == k, 1)).alias(f"m{k}") for k in (1, 2)], F.count(F.when(F.col("c") > 2, 1)).alias("m3")).join(F.broadcast(discounts) if few else discounts, "lang")
-        own = own.withColumn("gamma", (F.col("d1") * F.col("m1") + F.col("d2") * F.col("m2") + F.col("d3") * F.col("m3")) / F.col("total"))
-        p = t.join(own, ["lang", "ctx"])
+        p = tables[n].withColumn("ctx", F.shiftright("gram", 8)).join(contexts.where(F.col("n") == n).drop("n"), ["lang", "ctx"])
         seen = (F.col("c") - F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
         if lower is None:
             p = p.select("lang", "gram", (seen + F.col("gamma") / 256).alias("p"))
@@ -152,7 +157,6 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
             p = p.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(low, ["lang", "suffix"]).select("lang", "gram", (seen + F.col("gamma") * F.col("low")).alias("p"))
         lower = materialize(p, f"probabilities-{n}")
         out.append(lower.select("lang", F.lit(n).alias("kind"), "gram", F.ln("p").alias("value")))
-        out.append(own.select("lang", F.lit(1 - n).alias("kind"), F.col("ctx").alias("gram"), F.ln("gamma").alias("value")))
     return reduce(DataFrame.unionByName, out)
 
 
