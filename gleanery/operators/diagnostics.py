@@ -10,19 +10,18 @@ from ..functions import text
 # What blocked pages say, in order, and the bounds of the log.
 BLOCK_MARKERS = ("sorry, you have been blocked", "cf-chl-", "captcha-delivery.com", "access denied", "just a moment", "verify you are human")
 CHALLENGE_HOST, CHALLENGE_BOOT, CHALLENGE_BYTES = "captcha-delivery.com", "datadome", 4000
-SAMPLE_BYTES = 256 * 1024
 FIRST_EVENTS, LAST_EVENTS = 16, 144
 
 
 def block_marker(html: Column) -> Column:
-    low, out = F.lower(text.byte_prefix(html, SAMPLE_BYTES)), F.lit("")
+    low, out = F.lower(html), F.lit("")
     for m in reversed(BLOCK_MARKERS):
         out = F.when(low.contains(m), m).otherwise(out)
     return out
 
 
 def title(html: Column) -> Column:
-    return text.trim(F.regexp_extract(text.byte_prefix(html, SAMPLE_BYTES), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return text.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def page_diagnostics(pages: DataFrame) -> DataFrame:
