@@ -6,7 +6,9 @@ URLs are expressions over those.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,27 +45,48 @@ def _numbered(top: html.Node, selector: str) -> int:
     return sum(number(n.text()) > 0 for n in top.find(selector))
 
 
+#: Bodies of up to so many characters are remembered by a worker with what was found in them, so many of them.
+MEMO_CHARS, MEMO_BODIES = 16_384, 256
+
+
+@lru_cache(maxsize=64)
+def _selectors(site: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
+    """The card selector, those of total hints and those of next links, of a template in JSON."""
+    given = json.loads(site)
+    hints = tuple(s for s in (given.get("totalSelector", ""), *given.get("totalHints", ())) if s)
+    first = given.get("pagination", {}).get("nextSelector")
+    return given.get("cardSelector", ""), hints, (*([first] if first else []), *NEXT_LINKS)
+
+
+def _found(page: str | None, site: str) -> tuple:
+    """What a page holds, in the order of ``FEATURES`` behind ``html``: it follows from the body alone."""
+    cards, hints, selectors = _selectors(site)
+    top = html.parse(page)
+    role, model = top.first(ROLE_PAGER), top.first(MODEL)
+    attribute, summary = top.first(f"[{COUNT_ATTRIBUTE}]"), top.first(SUMMARY_PAGER)
+    texts = [t for s in hints if (t := top.first_text(s))]
+    return (
+        len(top.find(cards)) if cards else None, [n.attrs["href"] for s in selectors for n in top.find(s) if n.attr("href")],
+        "".join(n.text() for n in top.find(PAGER)), _numbered(top, f"{PAGER} a[href]"), role.text() if role else None, sum(_numbered(n, "a[href]") for n in top.find(ROLE_PAGER)), summary.text() if summary else "",
+        top.first_text(COUNT_LABEL), top.first_attr(COUNT_INPUT, "value"), attribute.attr(COUNT_ATTRIBUTE) if attribute else "", number(model.attr("data-results-total")) if model else 0, number(model.attr("data-results-count")) if model else 0,
+        [n.attrs["href"] for n in top.find(ANY_PAGER_LINKS)], "".join(n.text() for n in top.find(ANY_PAGER)), "\n".join(texts), top.text(), top.first_attr(TOTAL_INPUT, "value"),
+    )
+
+
+@lru_cache(maxsize=MEMO_BODIES)
+def _remembered(page: str | None, site: str) -> tuple:
+    return _found(page, site)
+
+
 def _features(site: dict):
-    pagination = site.get("pagination", {})
-    hints = [s for s in (site.get("totalSelector", ""), *site.get("totalHints", ())) if s]
-    selectors = ([pagination["nextSelector"]] if pagination.get("nextSelector") else []) + list(NEXT_LINKS)
-
-    def of(url: str, page: str | None) -> tuple:
-        top = html.parse(page)
-        role, model = top.first(ROLE_PAGER), top.first(MODEL)
-        attribute, summary = top.first(f"[{COUNT_ATTRIBUTE}]"), top.first(SUMMARY_PAGER)
-        texts = [t for s in hints if (t := top.first_text(s))]
-        return (
-            url, page, len(top.find(site["cardSelector"])) if site.get("cardSelector") else None, [n.attrs["href"] for s in selectors for n in top.find(s) if n.attr("href")],
-            "".join(n.text() for n in top.find(PAGER)), _numbered(top, f"{PAGER} a[href]"), role.text() if role else None, sum(_numbered(n, "a[href]") for n in top.find(ROLE_PAGER)), summary.text() if summary else "",
-            top.first_text(COUNT_LABEL), top.first_attr(COUNT_INPUT, "value"), attribute.attr(COUNT_ATTRIBUTE) if attribute else "", number(model.attr("data-results-total")) if model else 0, number(model.attr("data-results-count")) if model else 0,
-            [n.attrs["href"] for n in top.find(ANY_PAGER_LINKS)], "".join(n.text() for n in top.find(ANY_PAGER)), "\n".join(texts), top.text(), top.first_attr(TOTAL_INPUT, "value"),
-        )
+    template = json.dumps(site)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
         for rows in batches:
-            yield pd.DataFrame([of(u, h) for u, h in zip(rows["url"], rows["html"], strict=True)], columns=names).astype({"cards": "Int32"})
+            made = [(u, h, *(_remembered if len(h or "") <= MEMO_CHARS else _found)(h, template)) for u, h in zip(rows["url"], rows["html"], strict=True)]
+            columns = zip(names, zip(*made, strict=True), strict=True)
+            yield pd.DataFrame({n: pd.array(c, dtype="Int32") if n == "cards" else list(c) for n, c in columns})
 
     return run
 
