@@ -21,7 +21,8 @@ def block_marker(html: Column) -> Column:
 
 
 def title(html: Column) -> Column:
-    return text.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    """Between the first opening tag and the next closing one: if the first has none, no later one has, and none is tried."""
+    return text.trim(F.regexp_extract(html, r"(?is)\A(?>.*?<title[^>]*)>(.*?)</title>", 1))
 
 
 def page_diagnostics(pages: DataFrame) -> DataFrame:
